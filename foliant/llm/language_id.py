@@ -80,9 +80,12 @@ def infer(texts: list[tuple[np.ndarray, bool]], logs: np.ndarray, rounds: int, p
     own = [i for i, (_, letters) in enumerate(texts) if letters]
     if not own or not len(logs):
         return best, score
-    sums = [np.bincount(_grams(texts[i][0]), minlength=BUCKETS) for i in own]
-    found = [np.flatnonzero(s) for s in sums]
-    counts = np.concatenate([s[f] for s, f in zip(sums, found, strict=True)]).astype(np.float32)
+    found, sums = [], []
+    for i in own:  # the dense counts of one text at a time
+        dense = np.bincount(_grams(texts[i][0]), minlength=BUCKETS)
+        found.append(np.flatnonzero(dense))
+        sums.append(dense[found[-1]].astype(np.float32))
+    counts = np.concatenate(sums)
     first = np.concatenate(([0], np.cumsum([len(f) for f in found])))[:-1]
     own_logs = logs.T[np.concatenate(found)]
     top = own_logs.max(axis=1, keepdims=True)
