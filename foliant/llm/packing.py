@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 1
 REMEMBERED = 400_000
+#: Bytes of text whose new runs are encoded together.
+BLOCK_BYTES = 4 << 20
 
 
 class WordEncoder:
@@ -37,22 +41,27 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        runs = [t.translate(_SPACES).split(" ") for t in texts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids begin and end. Null counts as empty."""
+        runs = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = runs.flatten().dictionary_encode()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
+        words, known = coded.dictionary.to_pylist(), self.known
         known[""] = b""
-        new = list(set().union(*runs) - known.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        new = [w for w in words if w not in known]
+        for at in range(0, len(new), 8192):
+            part = new[at : at + 8192]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for ws in runs:
-            yield b"".join([known[w] for w in ws])
-
-
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+                known[w] = array("I", e.ids).tobytes()
+        packed = [known[w] for w in words]
+        table, n = np.frombuffer(b"".join(packed), "<u4"), np.array([len(x) // 4 for x in packed], np.int64)
+        first = np.concatenate(([0], np.cumsum(n)))[:-1]
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        long = n[codes] if len(codes) else np.zeros(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(long)))
+        ids = table[np.repeat(first[codes] - ends[:-1], long) + np.arange(ends[-1])] if len(codes) else np.zeros(0, "<u4")
+        return ids, ends[np.concatenate(([0], np.cumsum(pc.list_value_length(runs).to_numpy(zero_copy_only=False))))]
 
 
 @cache
@@ -123,11 +132,11 @@ def cut_documents(df: DataFrame, key: str, text: str = "text", path: str | None
         part, enc, last = TaskContext.get().partitionId(), encoder(path), np.array([end_id], dtype="<u4").tobytes()
         numbers = [0] * (capacity + 1)
         for b in batches:
-            for at, end, _, _ in text_slices(b.column(1)):
+            for at, end, _, _ in text_slices(b.column(1), BLOCK_BYTES):
                 rows = [[] for _ in range(6)]
-                texts = [t or "" for t in b.column(1).slice(at, end - at).to_pylist()]
-                for i, packed in enumerate(enc.encode(texts)):
-                    packed += last
+                ids, edges = enc.encode(b.column(1).slice(at, end - at))
+                for i in range(end - at):
+                    packed = ids[edges[i] : edges[i + 1]].tobytes() + last
                     n = len(packed) // 4
                     for start in range(0, n, capacity):
                         length = min(capacity, n - start)
