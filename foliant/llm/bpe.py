@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -20,6 +19,8 @@ from foliant.llm.hashing import text_slices
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words that a worker remembers between blocks; then it starts anew, so its memory doesn't grow with the corpus.
 REMEMBERED = 400_000
+#: Bytes of text whose new words are replayed together.
+BLOCK_BYTES = 4 << 20
 
 
 class MergeReplay:
@@ -36,64 +37,67 @@ class MergeReplay:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, r in self.ranks.items():
             self.tokens[r] = token
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        #: Rank of a pair of ids, by first id << 32 | second id, from every way to cut a token in two tokens.
         self.pairs: dict[int, int] = {}
+        for token, r in self.ranks.items():
+            for i in range(1, len(token)):
+                x, y = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if x is not None and y is not None:
+                    self.pairs[x << 32 | y] = r
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        first, second = np.repeat(self.single, 256), np.tile(self.single, 256)
+        self.byte_pairs = np.array([self.pairs.get(k, -1) for k in (first << 32 | second).tolist()], dtype=np.int64)
         self.words: dict[str, bytes] = {}
 
-    def _rank(self, a: int, b: int) -> int:
-        key = a << 32 | b
-        r = self.pairs.get(key)
-        if r is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return r
-
     def replay(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        ids: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        spans: list[tuple[int, int, int]] = []
-        index: dict[int, list[int]] = {}
-        rank, single = self._rank, self.single
+        whole, out = self.ranks, [b""] * len(words)
+        parts, places = [], []
         for k, w in enumerate(words):
-            whole = self.ranks.get(w)
-            if whole is not None:
-                out[k] = whole.to_bytes(4, "little")
-                continue
-            at, n = len(ids), len(w)
-            if not n:
-                continue
-            ids.extend([single[b] for b in w])
-            after.extend(range(at + 1, at + n + 1))
-            after[-1] = -1
-            before.extend(range(at - 1, at + n - 1))
-            before[at] = -1
-            spans.append((k, at, at + n))
-            for i in range(at, at + n - 1):
-                r = rank(ids[i], ids[i + 1])
-                if r >= 0:
-                    if r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
-        heap = list(index)
+            r = whole.get(w)
+            if r is None:
+                parts.append(w)
+                places.append(k)
+            else:
+                out[k] = r.to_bytes(4, "little")
+        if not parts:
+            return out
+        data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(w) for w in parts])
+        n = len(data)
+        inner = np.ones(n, bool)  # symbols with a next one in their word
+        inner[ends[ends > 0] - 1] = False
+        rank = np.full(n, -1, np.int64)
+        rank[:-1] = self.byte_pairs[data[:-1] << 8 | data[1:]]
+        rank[~inner] = -1
+        at = np.flatnonzero(rank >= 0)
+        order = at[np.argsort(rank[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[order], prepend=-1))
+        index = {int(rank[own[0]]): own.tolist() for own in np.split(order, cuts[1:]) if len(own)}
+        ids = self.single[data].tolist()
+        after = np.where(inner, np.arange(1, n + 1), -1)
+        before = np.full(n, -1, np.int64)
+        before[1:][inner[:-1]] = np.flatnonzero(inner[:-1])
+        after, before = after.tolist(), before.tolist()
+        pairs, heap = self.pairs.get, list(index)
         heapq.heapify(heap)
         while heap:
             r = heapq.heappop(heap)
-            for i in sorted(index.pop(r)):
-                a = ids[i]
+            own = index.pop(r)
+            own.sort()
+            top = r << 32
+            for i in own:
                 j = after[i]
-                if a < 0 or j < 0 or rank(a, ids[j]) != r:
+                a = ids[i]
+                if j < 0 or a < 0 or pairs(a << 32 | ids[j]) != r:
                     continue
-                ids[i], ids[j] = r, -1
+                ids[i] = r
+                ids[j] = -1
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    q = rank(r, ids[k])
-                    if q >= 0:
+                    q = pairs(top | ids[k])
+                    if q is not None:
                         if q in index:
                             index[q].append(i)
                         else:
@@ -101,15 +105,20 @@ class MergeReplay:
                             heapq.heappush(heap, q)
                 h = before[i]
                 if h >= 0:
-                    q = rank(ids[h], r)
-                    if q >= 0:
+                    q = pairs(ids[h] << 32 | r)
+                    if q is not None:
                         if q in index:
                             index[q].append(h)
                         else:
                             index[q] = [h]
                             heapq.heappush(heap, q)
-        for k, at, end in spans:
-            out[k] = array("I", [x for x in ids[at:end] if x >= 0]).tobytes()
+        left = np.array(ids, dtype=np.int64)
+        packed = left[left >= 0].astype("<u4").tobytes()
+        stops = (np.concatenate(([0], np.cumsum(left >= 0)))[ends] * 4).tolist()
+        start = 0
+        for k, stop in zip(places, stops, strict=True):
+            out[k] = packed[start:stop]
+            start = stop
         return out
 
     def encode(self, texts: list[str], pattern: regex.Pattern) -> Iterator[bytes]:
@@ -147,7 +156,7 @@ def encode_texts(df: DataFrame, key: str, text: str = "text", path: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, words = replayer(path), words_of(pattern)
         for b in batches:
-            for at, end, _, _ in text_slices(b.column(1)):
+            for at, end, _, _ in text_slices(b.column(1), BLOCK_BYTES):
                 texts = [t or "" for t in b.column(1).slice(at, end - at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(list(bpe.encode(texts, words)), pa.binary())], ["key", "ids"])
 
@@ -176,7 +185,7 @@ def digest_texts(df: DataFrame, key: str, text: str = "text", path: str | None =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, words = replayer(path), words_of(pattern)
         for b in batches:
-            for at, end, _, _ in text_slices(b.column(1)):
+            for at, end, _, _ in text_slices(b.column(1), BLOCK_BYTES):
                 texts = [t or "" for t in b.column(1).slice(at, end - at).to_pylist()]
                 n, ids, back = [], [], []
                 for packed in bpe.encode(texts, words):
