@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, chat_format, language_id, packing, sharding, url_filter
+from foliant.llm import bpe, chat_format, jaccard_join, language_id, near_vectors, packing, sharding, substring_dedup, topk, url_filter
 from foliant.session import ship
 
 
@@ -18,12 +18,16 @@ def _shipped(f):
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
+        topk.op1_topk,
         bpe.op2_bpe,
+        jaccard_join.op3_jaccard_join,
         url_filter.op4_url_filter,
+        near_vectors.op5_near_vectors,
+        substring_dedup.op6_substring_dedup,
         language_id.op7_language_id,
         packing.op8_packing,
         chat_format.op9_chat_format,
         sharding.op10_sharding,
     )
 }
-ORACLES = {"op9_chat_format": chat_format.OP9_SQL}
+ORACLES = {"op1_topk": topk.OP1_SQL, "op9_chat_format": chat_format.OP9_SQL}
