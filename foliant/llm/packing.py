@@ -25,42 +25,81 @@ CAPACITY = 2048
 END_ID = 1
 REMEMBERED = 400_000
 #: Bytes of text whose new runs are encoded together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+
+
+#: What a plain word is made of: letters whose lower case and normal form are single letters too, so it is one pre-token.
+PLAIN, TAIL = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", ".,!?;:"
 
 
 class WordEncoder:
-    """Ids of whole texts, where each run of characters between ASCII white space is encoded once for each worker.
+    """Ids of whole texts, where each distinct run of characters between ASCII white space is encoded once.
 
     The vocabulary's pre-tokeniser drops white space and never joins what it parts, and no character composes with it, so the
-    ids of a text are those of its runs in order.
+    ids of a text are those of its runs in order. A run that is a plain word and a tail of stops is those two pre-tokens. New plain
+    words are encoded many at a time, as one text; the ids that end a word part them again. All other runs go to the
+    tokeniser one by one.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 8192):
+            part = words[at : at + 8192]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+
+    def _learn_plain(self, words: list[str]) -> None:
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                self._learn(part)
+                continue
+            packed, start = ids.tobytes(), 0
+            for w, stop in zip(part, (4 * stops).tolist(), strict=True):
+                self.known[w] = packed[start:stop]
+                start = stop
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids begin and end. Null counts as empty."""
         runs = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = runs.flatten().dictionary_encode()
+        words = coded.dictionary
+        stems = pc.utf8_rtrim(words, characters=TAIL)
+        plain = pc.match_substring_regex(stems, PLAIN)
+        heads = pc.if_else(plain, pc.utf8_lower(stems), words).dictionary_encode()
+        cut = np.flatnonzero(pc.and_(plain, pc.not_equal(pc.binary_length(stems), pc.binary_length(words))).to_numpy(zero_copy_only=False))
+        tails = [w[n:].decode() for w, n in zip(words.take(pa.array(cut)).cast(pa.binary()).to_pylist(), pc.binary_length(stems.take(pa.array(cut))).to_pylist(), strict=True)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        words, known = coded.dictionary.to_pylist(), self.known
-        known[""] = b""
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        packed = [known[w] for w in words]
+        known = self.known
+        keys = heads.dictionary.to_pylist()
+        simple = pc.match_substring_regex(heads.dictionary, PLAIN).to_pylist()
+        self._learn_plain([w for w, p in zip(keys, simple, strict=True) if p and w not in known])
+        self._learn([w for w, p in zip(keys, simple, strict=True) if not p and w not in known])
+        ends_of = {w: len(keys) + 1 + i for i, w in enumerate(dict.fromkeys(tails))}
+        self._learn([w for w in ends_of if w not in known])
+        packed = [*(known[w] for w in keys), b"", *(known[w] for w in ends_of)]
         table, n = np.frombuffer(b"".join(packed), "<u4"), np.array([len(x) // 4 for x in packed], np.int64)
         first = np.concatenate(([0], np.cumsum(n)))[:-1]
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        long = n[codes] if len(codes) else np.zeros(0, np.int64)
+        # each run is its head and its tail; most tails are empty
+        both = np.full((len(words), 2), len(keys), np.int64)
+        both[:, 0] = heads.indices.to_numpy(zero_copy_only=False)
+        both[cut, 1] = [ends_of[w] for w in tails]
+        codes = both[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        long = n[codes]
         ends = np.concatenate(([0], np.cumsum(long)))
-        ids = table[np.repeat(first[codes] - ends[:-1], long) + np.arange(ends[-1])] if len(codes) else np.zeros(0, "<u4")
+        ids = table[np.repeat(first[codes] - ends[:-1], long) + np.arange(ends[-1])]
+        ends = ends[::2]
         return ids, ends[np.concatenate(([0], np.cumsum(pc.list_value_length(runs).to_numpy(zero_copy_only=False))))]
 
 
