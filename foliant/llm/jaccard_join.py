@@ -15,6 +15,8 @@ from foliant.llm.scratch import Scratch, components
 
 #: Bits of a signature, children of a tree's node, members of a block that meet in one task at most.
 BITS, FAN, BLOCK = 4096, 8, 512
+#: Bits of the signatures that travel without their sets; a prefix is longer by one in SPARE of its set.
+SHORT_BITS, SPARE = 1024, 16
 #: Bytes of text that a bucket of shingles stands for, about; buckets at least.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 #: Documents of the sample that names the frequent shingles, about, and how many of its texts make one frequent.
@@ -51,8 +53,13 @@ class Similarity:
         return -(-self.percent * (a + b) // (100 + self.percent))
 
     def prefix(self, n: int) -> int:
-        """So many first members, in any common order, of which linked sets share one."""
-        return n - -(-self.percent * n // 100) + 1 if n else 0
+        """So many first members, in any common order, of which at least 1 + n // SPARE are in a linked set."""
+        return n - -(-self.percent * n // 100) + 1 + n // SPARE if n else 0
+
+    def shared(self, n):
+        """So many of the first members of a set of n, at least, are also among those of any set that it is linked with: 1 + m // SPARE
+        for the smallest such set's size m."""
+        return -(-self.percent * n // 100) // SPARE + 1
 
 
 def signature(s: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -234,7 +241,7 @@ class Shingles:
         return run
 
     def blocks(self, table: pa.Table) -> pa.Table:
-        """Of one bucket: the lists of sets that share a prefix shingle, equal lists once.
+        """Of one bucket: the lists of sets that share a prefix shingle, equal lists once with the number of their shingles.
 
         A list of more than BLOCK sets is dealt by set id into pieces of about that; each piece is a row.
         """
@@ -249,30 +256,31 @@ class Shingles:
         size = np.diff(np.append(start, len(marks)))
         name = np.add.reduceat(mix(sids.view(np.uint64)), start) + size.astype(np.uint64)
         many = np.flatnonzero(size > 1)
-        _, first = np.unique(name[many], return_index=True)
+        _, first, times = np.unique(name[many], return_index=True, return_counts=True)
         out: list[list] = [[], [], [], [], []]
-        for k in many[first].tolist():
+        for k, n in zip(many[first].tolist(), times.tolist(), strict=True):
             own, key = sids[start[k] : start[k] + size[k]], int(name[k : k + 1].view(np.int64)[0])
             pieces = -(-len(own) // BLOCK)
             dealt = (mix(own.view(np.uint64) ^ name[k]) % U(pieces)).astype(np.int64)
             for i in np.unique(dealt).tolist():
-                for column, x in zip(out, (key, i, pieces, len(own), own[dealt == i].tobytes()), strict=True):
+                for column, x in zip(out, (key, i, pieces, n, own[dealt == i].tobytes()), strict=True):
                     column.append(x)
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(("list", "piece", "pieces", "size", "sids"), out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)})
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("list", "piece", "pieces", "shared", "sids"), out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)})
 
     def sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sid, n, members, signature) of documents that come with their set's id."""
+        """(sid, homes, n, members, signature) of documents that come with their set's id and its blocks."""
         for b in batches:
             for at, end, sets in self._sets(b):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], ["sid", "n", "members", "signature"])
+                own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s, SHORT_BITS).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), b.column(2).slice(at, end - at), *own], ["sid", "homes", "n", "members", "signature"])
 
     def members(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(list, piece, pieces, size, sid) of lists."""
+        """(list, piece, pieces, shared, sid) of lists."""
         for b in batches:
             sids = [np.frombuffer(x, np.int64) for x in b.column(4).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(sids)), [len(x) for x in sids]))
             if len(at):
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(4)), pa.array(np.concatenate(sids))], ["list", "piece", "pieces", "size", "sid"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(4)), pa.array(np.concatenate(sids))], ["list", "piece", "pieces", "shared", "sid"])
 
     def join(self, table: pa.Table) -> pa.Table:
         """Of the blocks of one group: links that span their components."""
@@ -328,7 +336,8 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     empty table has no rows. Fingerprints have 64 bits.
 
     Linked sets share one of the first shingles of each, in any common order; such lists of sets are the blocks. In each, signature
-    trees are built and traversed in pairs. Equal sets count as one (a copy is never paired with a copy). First, each set goes
+    trees are built and traversed in pairs. The first shingles are some more than one shared one needs, so that linked sets share
+    several, and sets that share fewer with all others are left out. Equal sets count as one (a copy is never paired with a copy). First, each set goes
     with its members to two of its blocks, where links are verified at once; then the other blocks, as far as they hold several
     components still, name the pairs between components that their trees can't rule out, and these are verified. So no link
     between components is missed and no block writes more than a forest of its links, plus those candidates. The sample of
@@ -347,22 +356,28 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     one = scratch.put(docs.mapInArrow(work.prefixes(frequent), "bucket int, id bigint, n bigint, sid bigint, payload binary"), "prefixes")
     classes = scratch.put(one.where("bucket = -1").select("id", "n", "sid"), "classes")
-    lists = one.where("bucket >= 0").select("bucket", "payload").groupBy("bucket").applyInArrow(lambda t: work.blocks(t), "list bigint, piece int, pieces int, size bigint, sids binary")
-    lists = scratch.put(lists.dropDuplicates(["list", "piece"]), "lists")
+    lists = one.where("bucket >= 0").select("bucket", "payload").groupBy("bucket").applyInArrow(lambda t: work.blocks(t), "list bigint, piece int, pieces int, shared bigint, sids binary")
+    lists = lists.groupBy("list", "piece").agg(F.first("pieces").alias("pieces"), F.sum("shared").alias("shared"), F.first("sids").alias("sids"))
+    member = scratch.put(lists.mapInArrow(work.members, "list bigint, piece int, pieces int, shared bigint, sid bigint"), "met")
+    del lists
     scratch.release("prefixes")
 
-    member = scratch.put(lists.mapInArrow(work.members, "list bigint, piece int, pieces int, size bigint, sid bigint"), "members")
+    # sets that share too few of their first shingles with any other have no link
+    firsts = scratch.put(classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n")), "firsts")
+    shares = scratch.put(member.groupBy("sid").agg(F.sum("shared").alias("shared")), "shares")
+    active = scratch.put(firsts.join(shares, "sid").where(F.col("shared") >= F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / SPARE) + 1).select("sid", "id"), "active")
+    member = member.join(active.select("sid"), "sid").select("list", "piece", "pieces", "sid")
+    member = scratch.put(member, "members")
+    sizes = scratch.put(member.groupBy("list").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     two = [F.max(F.struct("size", F.xxhash64(F.lit(i), "list").alias("tie"), "list", "piece")).alias(f"home{i}") for i in range(2)]
-    homes = member.groupBy("sid").agg(*two).select("sid", F.explode(F.array_distinct(F.array(*(F.struct(f"home{i}.list", f"home{i}.piece") for i in range(2))))).alias("home"))
-    homes = scratch.put(homes.select("sid", F.xxhash64("home.list", "home.piece").alias("block")), "homes")
-    firsts = scratch.put(classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("id").alias("id")), "firsts")
-    active = scratch.put(homes.select("sid").distinct(), "active")
-    shown = scratch.put(firsts.join(active, "sid"), "shown")
-    sets = docs.join(shown, "id").select("sid", "text").mapInArrow(work.sets, "sid bigint, n bigint, members binary, signature binary")
+    homes = member.select("list", "piece", "sid").join(sizes, "list").groupBy("sid").agg(*two)
+    homes = scratch.put(homes.select("sid", F.array_distinct(F.array(*(F.xxhash64(f"home{i}.list", f"home{i}.piece") for i in range(2)))).alias("homes")), "homes")
+    shown = scratch.put(active.join(homes, "sid"), "shown")
+    sets = docs.join(shown, "id").select("sid", "text", "homes").mapInArrow(work.sets, "sid bigint, homes array<bigint>, n bigint, members binary, signature binary")
     sets = scratch.put(sets, "sets")
-    scratch.release("firsts", "active")
+    scratch.release("met", "firsts", "shares", "active", "sizes", "homes")
     put = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g")
-    near = homes.join(sets.select("sid", "members"), "sid").select(put, "block", "sid", "members")
+    near = sets.select("sid", "members", F.explode("homes").alias("block")).select(put, "block", "sid", "members")
     links = scratch.put(near.groupBy("g").applyInArrow(lambda t: work.join(t), "a bigint, b bigint"), "links")
     del near
     scratch.release()
@@ -378,7 +393,7 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     left, right = (sets.select(F.col("sid").alias(s), F.col("members").alias(f"m{s}")) for s in "ab")
     more = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(work.verify, "a bigint, b bigint")
     every = scratch.put(links.unionByName(more), "every-link")
-    scratch.release("marked", "members", "lists", "mixed", "shown", "homes")
+    scratch.release("marked", "members", "mixed", "shown")
     label = components(scratch, every, "all")
 
     named = classes.join(label, classes.sid == label.node, "left").select("id", "n", F.coalesce("component", "sid").alias("class"))
