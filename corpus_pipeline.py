@@ -1,10 +1,66 @@
-"""Corpus preparation as stages that write their result and read it again."""
+"""Corpus preparation in four stages: language ID, Jaccard join, substring dedup, packing.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
+read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.llm.jaccard_join import jaccard_components
+from foliant.llm.language_id import identify
+from foliant.llm.packing import pack_documents
+from foliant.llm.scratch import Scratch
+from foliant.llm.substring_dedup import dedup_substrings
+from foliant.session import ship
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: their text is null or empty or has no letter. All others stay as they are."""
+    ship(spark)
+    return identify(docs).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays. Rows with a null id stay."""
+    ship(spark)
+    linked = jaccard_components(docs.select("doc_id", "text"), "doc_id").where("doc_id <> component_id").select("doc_id")
+    return docs.join(linked, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated passages go; the kept words are joined by one space, and n_chars follows. Texts without such words stay as
+    they are; a document of which nothing is left goes. Rows with a null id stay."""
+    ship(spark)
+    kept = dedup_substrings(docs.select("doc_id", "text"), "doc_id").where("n_words = 0 or n_removed < n_words")
+    rest = docs.drop("text", "n_chars").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    out = kept.select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("bigint").alias("n_chars")).join(rest, "doc_id")
+    return out.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens."""
+    ship(spark)
+    return pack_documents(docs.select("doc_id", "text"), "doc_id")
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("jaccard_join", jaccard_stage),
+    ("substring_dedup", substring_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can't express the tokens of the last stage nor the inferred languages; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.put(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
