@@ -16,7 +16,9 @@ from foliant.llm.scratch import Scratch, components
 #: Bits of a signature, children of a tree's node, members of a block that meet in one task at most.
 BITS, FAN, BLOCK = 4096, 8, 512
 #: Bits of the signatures that travel without their sets; a prefix is longer by one in SPARE of its set.
-SHORT_BITS, SPARE = 1024, 16
+SHORT_BITS, SPARE = 2048, 16
+#: Rounds in which sets meet in blocks before pairs are named one by one.
+ROUNDS = 4
 #: Bytes of text that a bucket of shingles stands for, about; buckets at least.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 #: Documents of the sample that names the frequent shingles, about, and how many of its texts make one frequent.
@@ -135,14 +137,14 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def join_block(sets: list[np.ndarray], similar: Similarity) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets of a block: pairs are verified exactly unless already in one component.
+def join_block(sets: list[np.ndarray], similar: Similarity, known: np.ndarray | None = None) -> np.ndarray:
+    """The component of each set of a block, as the place of one member: pairs are verified exactly unless already in one component.
 
-    Neighbours in the order of their smallest shingles are tried first; then a signature tree, whose nodes know which
-    components they hold, leads to all other pairs that may be linked.
+    known: components from before. Neighbours in the order of their smallest shingles are tried first; then a signature tree, whose
+    nodes know which components they hold, leads to all other pairs that may be linked.
     """
-    n, links = len(sets), []
-    root = list(range(n))
+    n = len(sets)
+    root = list(range(n)) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]].tolist()
 
     def join(i: int, j: int) -> None:
         a, b = _find(root, i), _find(root, j)
@@ -150,24 +152,23 @@ def join_block(sets: list[np.ndarray], similar: Similarity) -> list[tuple[int, i
             x, y = len(sets[i]), len(sets[j])
             if min(x, y) * 100 >= similar.percent * max(x, y) and overlap(sets[i], sets[j]) >= similar.least(x, y):
                 root[max(a, b)] = min(a, b)
-                links.append((i, j))
 
-    if n > 2:
-        order = sorted(range(n), key=lambda i: sets[i][:4].tolist())
-        for i, j in zip(order, order[1:], strict=False):
-            join(i, j)
     if n == 2:
         join(0, 1)
-    elif len({_find(root, i) for i in range(n)}) > 1:
+        return np.array([_find(root, i) for i in range(n)])
+    order = sorted(range(n), key=lambda i: sets[i][:4].tolist())
+    for i, j in zip(order, order[1:], strict=False):
+        join(i, j)
+    group = np.array([_find(root, i) for i in range(n)])
+    if (group != group[0]).any():
         # sizes in classes of 4 : 3, and likes together within each, keep both bounds of a node tight
         sizes = np.array([len(s) for s in sets])
-        group = np.array([_find(root, i) for i in range(n)])
         order = np.lexsort((group, np.floor(np.log(np.maximum(sizes, 1)) / np.log(4 / 3))))
         tree = SignatureTree(np.stack([signature(sets[i]) for i in order]), sizes[order], group[order])
         for a, b in tree.pairs(similar):
             for i, j in zip(order[a].tolist(), order[b].tolist(), strict=True):
                 join(i, j)
-    return links
+    return np.array([_find(root, i) for i in range(n)])
 
 
 class Shingles:
@@ -268,11 +269,11 @@ class Shingles:
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("list", "piece", "pieces", "shared", "sids"), out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)})
 
     def sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sid, homes, n, members, signature) of documents that come with their set's id and its blocks."""
+        """(sid, block, n, members, signature) of documents that come with their set's id and a block of it."""
         for b in batches:
             for at, end, sets in self._sets(b):
                 own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s, SHORT_BITS).tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), b.column(2).slice(at, end - at), *own], ["sid", "homes", "n", "members", "signature"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), b.column(2).slice(at, end - at), *own], ["sid", "block", "n", "members", "signature"])
 
     def members(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(list, piece, pieces, shared, sid) of lists."""
@@ -283,18 +284,21 @@ class Shingles:
                 yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(4)), pa.array(np.concatenate(sids))], ["list", "piece", "pieces", "shared", "sid"])
 
     def join(self, table: pa.Table) -> pa.Table:
-        """Of the blocks of one group: links that span their components."""
+        """Of the blocks of one group: links between components, each to the component of a block's first member of the union."""
         block = table["block"].to_numpy()
         order = np.argsort(block, kind="stable")
-        sids, sets = table["sid"].to_numpy()[order], table["members"].take(pa.array(order)).to_pylist()
+        group, sets = table["component"].to_numpy()[order], table["members"].take(pa.array(order)).to_pylist()
         cuts = np.flatnonzero(np.concatenate(([True], np.diff(block[order]) != 0, [True])))
-        a, b = [], []
+        none = np.zeros(0, np.int64)
+        a, b = [none], [none]
         for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if end - at > 1:
-                for i, j in join_block([np.frombuffer(x, np.uint64) for x in sets[at:end]], self.similar):
-                    a.append(sids[at + i])
-                    b.append(sids[at + j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            own = group[at:end]
+            if end - at > 1 and (own != own[0]).any():
+                first = own[join_block([np.frombuffer(x, np.uint64) for x in sets[at:end]], self.similar, own)]
+                pairs = np.unique(np.stack((own, first), axis=1)[own != first], axis=0)
+                a.append(pairs[:, 0])
+                b.append(pairs[:, 1])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     def candidates(self, table: pa.Table) -> pa.Table:
         """Of the blocks of one group that hold several components: pairs of different components that no signature node rules out."""
@@ -337,9 +341,10 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
 
     Linked sets share one of the first shingles of each, in any common order; such lists of sets are the blocks. In each, signature
     trees are built and traversed in pairs. The first shingles are some more than one shared one needs, so that linked sets share
-    several, and sets that share fewer with all others are left out. Equal sets count as one (a copy is never paired with a copy). First, each set goes
-    with its members to two of its blocks, where links are verified at once; then the other blocks, as far as they hold several
-    components still, name the pairs between components that their trees can't rule out, and these are verified. So no link
+    several, and sets that share fewer with all others are left out. Equal sets count as one (a copy is never paired with a copy).
+    In each of a few rounds a set goes with its members to the largest of its lists that holds several components still, where
+    links are verified at once. Then the trees of the lists that still do name the pairs between components that
+    their signatures can't rule out, and these are verified. So no link
     between components is missed and no block writes more than a forest of its links, plus those candidates. The sample of
     about ``SAMPLE`` documents only orders the shingles; it decides no result.
     """
@@ -368,33 +373,52 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     active = scratch.put(firsts.join(shares, "sid").where(F.col("shared") >= F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / SPARE) + 1).select("sid", "id"), "active")
     member = member.join(active.select("sid"), "sid").select("list", "piece", "pieces", "sid")
     member = scratch.put(member, "members")
-    sizes = scratch.put(member.groupBy("list").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    two = [F.max(F.struct("size", F.xxhash64(F.lit(i), "list").alias("tie"), "list", "piece")).alias(f"home{i}") for i in range(2)]
-    homes = member.select("list", "piece", "sid").join(sizes, "list").groupBy("sid").agg(*two)
-    homes = scratch.put(homes.select("sid", F.array_distinct(F.array(*(F.xxhash64(f"home{i}.list", f"home{i}.piece") for i in range(2)))).alias("homes")), "homes")
-    shown = scratch.put(active.join(homes, "sid"), "shown")
-    sets = docs.join(shown, "id").select("sid", "text", "homes").mapInArrow(work.sets, "sid bigint, homes array<bigint>, n bigint, members binary, signature binary")
-    sets = scratch.put(sets, "sets")
-    scratch.release("met", "firsts", "shares", "active", "sizes", "homes")
     put = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g")
-    near = sets.select("sid", "members", F.explode("homes").alias("block")).select(put, "block", "sid", "members")
-    links = scratch.put(near.groupBy("g").applyInArrow(lambda t: work.join(t), "a bigint, b bigint"), "links")
-    del near
-    scratch.release()
-    label = components(scratch, links, "first")
-
-    marked = member.join(label, member.sid == label.node, "left").select("list", "piece", "pieces", "sid", F.coalesce("component", "sid").alias("component"))
-    marked = scratch.put(marked, "marked")
-    mixed = scratch.put(marked.groupBy("list").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("list"), "mixed")
-    rest = marked.join(mixed, "list", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    rest = rest.select(F.xxhash64("list", F.least("piece", "other"), F.greatest("piece", "other")).alias("block"), F.when(F.col("piece") > F.col("other"), 1).otherwise(0).alias("side"), "sid", "component")
-    rest = rest.join(sets.select("sid", "n", "signature"), "sid").select(put, "block", "side", "sid", "component", "n", "signature")
-    pairs = scratch.put(rest.groupBy("g").applyInArrow(lambda t: work.candidates(t), "a bigint, b bigint").distinct(), "pairs")
-    left, right = (sets.select(F.col("sid").alias(s), F.col("members").alias(f"m{s}")) for s in "ab")
-    more = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(work.verify, "a bigint, b bigint")
-    every = scratch.put(links.unionByName(more), "every-link")
-    scratch.release("marked", "members", "mixed", "shown")
-    label = components(scratch, every, "all")
+    state, sets = scratch.put(active.select("sid", F.col("sid").alias("component")), "state-0"), None
+    done: list[DataFrame] = []
+    for turn in range(1, ROUNDS + 2):
+        marked = scratch.put(member.join(state, "sid"), f"marked-{turn}")
+        mixed = marked.groupBy("list").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("pieces").alias("parts"), F.count("*").alias("size")).where("c0 <> c1").select("list", "parts", "size")
+        for d in done:
+            mixed = mixed.join(d, "list", "left_anti")
+        mixed = scratch.put(mixed, f"mixed-{turn}")
+        if mixed.isEmpty():
+            break
+        marked = marked.join(mixed.select("list", "size"), "list")
+        if turn <= ROUNDS:
+            home = F.max(F.struct("size", F.xxhash64(F.lit(turn), "list").alias("tie"), "list", "piece")).alias("home")
+            homes = marked.groupBy("sid", "component").agg(home).select("sid", "component", F.xxhash64("home.list", "home.piece").alias("block"))
+            homes = scratch.put(homes, f"homes-{turn}")
+            # a list all of whose members meet in one block is settled, whatever comes of it
+            met = homes.groupBy("block").agg(F.count("*").alias("here"))
+            settled = mixed.where("parts = 1").withColumn("block", F.xxhash64("list", F.lit(0))).join(met, "block").where("here = size")
+            done.append(scratch.put(settled.select("list"), f"done-{turn}"))
+            if sets is None:
+                shown = scratch.put(homes.join(active, "sid").select("id", "sid", "block"), "shown")
+                sets = docs.join(shown, "id").select("sid", "text", "block").mapInArrow(work.sets, "sid bigint, block bigint, n bigint, members binary, signature binary")
+                sets = scratch.put(sets, "sets")
+                scratch.release("met", "firsts", "shares")
+                near = sets.select(put, "block", F.col("sid").alias("component"), "members")
+            else:
+                near = homes.join(sets.select("sid", "members"), "sid").select(put, "block", "component", "members")
+            links = near.groupBy("g").applyInArrow(lambda t: work.join(t), "a bigint, b bigint")
+            del near
+        else:
+            rest = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+            rest = rest.select(F.xxhash64("list", F.least("piece", "other"), F.greatest("piece", "other")).alias("block"), F.when(F.col("piece") > F.col("other"), 1).otherwise(0).alias("side"), "sid", "component")
+            rest = rest.join(sets.select("sid", "n", "signature"), "sid").select(put, "block", "side", "sid", "component", "n", "signature")
+            pairs = scratch.put(rest.groupBy("g").applyInArrow(lambda t: work.candidates(t), "a bigint, b bigint").distinct(), "pairs")
+            left, right = (sets.select(F.col("sid").alias(s), F.col("members").alias(f"m{s}")) for s in "ab")
+            found = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(work.verify, "a bigint, b bigint")
+            one_end, other_end = state.select(F.col("sid").alias("a"), F.col("component").alias("ca")), state.select(F.col("sid").alias("b"), F.col("component").alias("cb"))
+            links = scratch.put(found, "verified").join(one_end, "a").join(other_end, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        links = scratch.put(links.where("a <> b").distinct(), f"links-{turn}")
+        scratch.release(f"marked-{turn}")
+        if not links.isEmpty():
+            moved = components(scratch, links, f"cc-{turn}").select(F.col("node").alias("component"), F.col("component").alias("now"))
+            state = scratch.put(state.join(moved, "component", "left").select("sid", F.coalesce("now", "component").alias("component")), f"state-{turn}")
+    scratch.release("members", "active", "sets")
+    label = state.withColumnRenamed("sid", "node")
 
     named = classes.join(label, classes.sid == label.node, "left").select("id", "n", F.coalesce("component", "sid").alias("class"))
     named = scratch.put(named, "named")
