@@ -24,7 +24,7 @@ def quantised(vector: Column, scale: int = 256) -> Column:
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False) if column.num_chunks else np.zeros(0, np.int64)
-    return flat.reshape(-1, dim)
+    return flat.reshape(len(column), dim)
 
 
 def _lists(q: np.ndarray, v: np.ndarray, lists: int) -> list[np.ndarray]:

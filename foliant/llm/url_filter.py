@@ -20,14 +20,16 @@ www.cheap-pills.test/en/9/ online-pills.test/viagra/buy pills-shop.test/fr/1 pok
 m.easy-win.test/en/3 quick-loans.test/apply payday-loans.test/en/22 xxx-cams.test/live adult-cams.test/de/4 hot-singles.test/meet
 replica-watches.test/sale cheap-replica.test/en/8 free-crack.test/keygen/download warez-keygen.test/crack.html
 jackpot-slots.test/spin big-jackpot.test/en/41 bitcoin-doubler.test/invest fast-cash.test/now miracle-diet.test/weight-loss
-cheap-meds.test/pharmacy/order""".split()
+cheap-meds.test/pharmacy/order m.cheap-pills.test/de/6.html www.cheap-pills.org/fr/33 blog.cheap-pills.net/en/1/ casino-win.org/en/8
+m.casino-win.net/de/4.html blog.casino-win.test/fr/2 free-bets.net/fr/7 www.free-bets.org/en/90.html m.free-bets.test/es/5""".split()
 GOOD = """www.theron.test/en/1291/ tionble.test/en/482/ blog.library.test/fr/8798 museum.test/de/1373 m.thering.test/en/873
 news.city.test/2021/05/report.html wiki.science.test/article/water university.test/courses/history docs.python.test/guide/intro
 weather.test/forecast/paris recipes.kitchen.test/soup/tomato garden.test/plants/roses.html www.thand.test/fr/4163
 ththan.test/en/7944 ouention.test/fr/7376 thher.test/en/7817 government.test/law/2019 health.test/advice/sleep
 travel.test/es/madrid books.test/reviews/novel school.test/lessons/math.html forum.linux.test/kernel/7 blog.tionsh.test/en/7617/
 music.test/classical/bach photo.test/album/33 m.theror.test/de/5989 www.ththst.test/en/1837/ radio.test/news/morning
-maps.test/europe/berlin theatre.test/tickets/hamlet""".split()
+maps.test/europe/berlin theatre.test/tickets/hamlet m.ouing.test/de/6.html www.thather.org/fr/33 blog.erstion.net/en/1/ ndwhen.org/en/8
+m.hating.net/de/4.html blog.oneath.test/fr/2 tioner.net/fr/7 www.inghe.org/en/90.html m.ereat.test/es/5""".split()
 
 DIMENSIONS = 1 << 14
 
