@@ -15,10 +15,10 @@ from foliant.llm.scratch import Scratch, components
 
 #: Bits of a signature, children of a tree's node, members of a block that meet in one task at most.
 BITS, FAN, BLOCK = 4096, 8, 512
-#: Bits of the signatures that travel without their sets; a prefix is longer by one in SPARE of its set.
-SHORT_BITS, SPARE = 2048, 16
-#: Rounds in which sets meet in blocks before pairs are named one by one.
-ROUNDS = 4
+#: A prefix is longer than one shared shingle needs, by one in SPARE of its set.
+SPARE = 16
+#: Sets in one row of a list, at most; longer lists have several rows.
+ROW = 1 << 16
 #: Bytes of text that a bucket of shingles stands for, about; buckets at least.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 #: Documents of the sample that names the frequent shingles, about, and how many of its texts make one frequent.
@@ -137,30 +137,37 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def join_block(sets: list[np.ndarray], similar: Similarity, known: np.ndarray | None = None) -> np.ndarray:
+def join_block(sets: list[np.ndarray], similar: Similarity, side: np.ndarray) -> np.ndarray:
     """The component of each set of a block, as the place of one member: pairs are verified exactly unless already in one component.
 
-    known: components from before. Neighbours in the order of their smallest shingles are tried first; then a signature tree, whose
-    nodes know which components they hold, leads to all other pairs that may be linked.
+    side: where it has two values, only pairs across are tried. Neighbours in the order of their smallest shingles come first; then
+    a signature tree, whose nodes know which components they hold, leads to all other pairs that may be linked.
     """
-    n = len(sets)
-    root = list(range(n)) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]].tolist()
+    n, across = len(sets), side.max() > 0
+    root = list(range(n))
 
     def join(i: int, j: int) -> None:
+        if across and side[i] == side[j]:
+            return
         a, b = _find(root, i), _find(root, j)
         if a != b:
             x, y = len(sets[i]), len(sets[j])
             if min(x, y) * 100 >= similar.percent * max(x, y) and overlap(sets[i], sets[j]) >= similar.least(x, y):
                 root[max(a, b)] = min(a, b)
 
-    if n == 2:
+    if n > 2:
+        order = sorted(range(n), key=lambda i: sets[i][:4].tolist())
+        for i, j in zip(order, order[1:], strict=False):
+            join(i, j)
+        # the set that the first round linked most often tries all others: most of a group of near copies ends in one component
+        group = [_find(root, i) for i in range(n)]
+        middle = max(set(group), key=group.count)
+        for i in range(n):
+            join(middle, i)
+    else:
         join(0, 1)
-        return np.array([_find(root, i) for i in range(n)])
-    order = sorted(range(n), key=lambda i: sets[i][:4].tolist())
-    for i, j in zip(order, order[1:], strict=False):
-        join(i, j)
     group = np.array([_find(root, i) for i in range(n)])
-    if (group != group[0]).any():
+    if n > 2 and (group != group[0]).any():
         # sizes in classes of 4 : 3, and likes together within each, keep both bounds of a node tight
         sizes = np.array([len(s) for s in sets])
         order = np.lexsort((group, np.floor(np.log(np.maximum(sizes, 1)) / np.log(4 / 3))))
@@ -243,8 +250,6 @@ class Shingles:
 
     def blocks(self, table: pa.Table) -> pa.Table:
         """Of one bucket: the lists of sets that share a prefix shingle, equal lists once with the number of their shingles.
-
-        A list of more than BLOCK sets is dealt by set id into pieces of about that; each piece is a row.
         """
         parts = [unpack_arrays(x, "<i8", "<u4", "<u4") for x in table["payload"].to_pylist()]
         sids = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
@@ -258,78 +263,46 @@ class Shingles:
         name = np.add.reduceat(mix(sids.view(np.uint64)), start) + size.astype(np.uint64)
         many = np.flatnonzero(size > 1)
         _, first, times = np.unique(name[many], return_index=True, return_counts=True)
-        out: list[list] = [[], [], [], [], []]
-        for k, n in zip(many[first].tolist(), times.tolist(), strict=True):
-            own, key = sids[start[k] : start[k] + size[k]], int(name[k : k + 1].view(np.int64)[0])
-            pieces = -(-len(own) // BLOCK)
-            dealt = (mix(own.view(np.uint64) ^ name[k]) % U(pieces)).astype(np.int64)
-            for i in np.unique(dealt).tolist():
-                for column, x in zip(out, (key, i, pieces, n, own[dealt == i].tobytes()), strict=True):
+        keep = many[first]
+        out: list[list] = [[], [], [], []]
+        for k, n in zip(keep.tolist(), times.tolist(), strict=True):
+            for part in range(0, int(size[k]), ROW):
+                own = sids[start[k] + part : start[k] + min(part + ROW, int(size[k]))]
+                for column, x in zip(out, (int(name[k : k + 1].view(np.int64)[0]), part, n, own.tobytes()), strict=True):
                     column.append(x)
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(("list", "piece", "pieces", "shared", "sids"), out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)})
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("list", "part", "shared", "sids"), out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
     def sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sid, block, n, members, signature) of documents that come with their set's id and a block of it."""
+        """(sid, cluster, pieces, members) of documents that come with their set's id and its cluster."""
         for b in batches:
             for at, end, sets in self._sets(b):
-                own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s, SHORT_BITS).tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), b.column(2).slice(at, end - at), *own], ["sid", "block", "n", "members", "signature"])
+                own = [b.column(i).slice(at, end - at) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "cluster", "pieces", "members"])
 
     def members(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(list, piece, pieces, shared, sid) of lists."""
+        """(list, shared, sid) of lists."""
         for b in batches:
-            sids = [np.frombuffer(x, np.int64) for x in b.column(4).to_pylist()]
+            sids = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(sids)), [len(x) for x in sids]))
             if len(at):
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(4)), pa.array(np.concatenate(sids))], ["list", "piece", "pieces", "shared", "sid"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(sids))], ["list", "shared", "sid"])
 
     def join(self, table: pa.Table) -> pa.Table:
-        """Of the blocks of one group: links between components, each to the component of a block's first member of the union."""
+        """Of the blocks of one group: each set that is linked with others there, and one of its component."""
         block = table["block"].to_numpy()
         order = np.argsort(block, kind="stable")
-        group, sets = table["component"].to_numpy()[order], table["members"].take(pa.array(order)).to_pylist()
+        sids, side, sets = table["sid"].to_numpy()[order], table["side"].to_numpy()[order], table["members"].take(pa.array(order)).to_pylist()
         cuts = np.flatnonzero(np.concatenate(([True], np.diff(block[order]) != 0, [True])))
         none = np.zeros(0, np.int64)
         a, b = [none], [none]
         for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = group[at:end]
-            if end - at > 1 and (own != own[0]).any():
-                first = own[join_block([np.frombuffer(x, np.uint64) for x in sets[at:end]], self.similar, own)]
-                pairs = np.unique(np.stack((own, first), axis=1)[own != first], axis=0)
-                a.append(pairs[:, 0])
-                b.append(pairs[:, 1])
+            if end - at > 1:
+                first = join_block([np.frombuffer(x, np.uint64) for x in sets[at:end]], self.similar, side[at:end])
+                linked = np.flatnonzero(first != np.arange(end - at))
+                a.append(sids[at + linked])
+                b.append(sids[at + first[linked]])
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
-    def candidates(self, table: pa.Table) -> pa.Table:
-        """Of the blocks of one group that hold several components: pairs of different components that no signature node rules out."""
-        block = table["block"].to_numpy()
-        order = np.argsort(block, kind="stable")
-        table = table.take(pa.array(order))
-        block, sids, sizes, group, side = block[order], *(table[c].to_numpy() for c in ("sid", "n", "component", "side"))
-        maps = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint64).reshape(len(block), -1)
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(block) != 0, [True])))
-        a, b = [], []
-        for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            g, across = group[at:end], side[at:end].max() > 0
-            if (g == g[0]).all():
-                continue
-            order = at + np.lexsort((sizes[at:end], g, np.floor(np.log(np.maximum(sizes[at:end], 1)) / np.log(4 / 3))))
-            for x, y in SignatureTree(maps[order], sizes[order], group[order]).pairs(self.similar):
-                x, y = order[x], order[y]
-                fit = (group[x] != group[y]) & ((side[x] != side[y]) | (not across))
-                a.append(np.minimum(sids[x[fit]], sids[y[fit]]))
-                b.append(np.maximum(sids[x[fit]], sids[y[fit]]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate(a) if a else none), "b": pa.array(np.concatenate(b) if b else none)})
-
-    def verify(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Those of the pairs (a, b, members of a, members of b) that are links."""
-        for batch in batches:
-            x, y = ([np.frombuffer(s, np.uint64) for s in batch.column(i).to_pylist()] for i in (2, 3))
-            good = [overlap(s, t) >= self.similar.least(len(s), len(t)) for s, t in zip(x, y, strict=True)]
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
 
 def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """(key, n_shingles, component_id): distinct shingles of ``size`` words, and the smallest key reachable by links, for every row.
@@ -339,13 +312,13 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     percent * union. Keys are whole numbers; rows of one key are in one component only if linked; null keys are left out; an
     empty table has no rows. Fingerprints have 64 bits.
 
-    Linked sets share one of the first shingles of each, in any common order; such lists of sets are the blocks. In each, signature
-    trees are built and traversed in pairs. The first shingles are some more than one shared one needs, so that linked sets share
-    several, and sets that share fewer with all others are left out. Equal sets count as one (a copy is never paired with a copy).
-    In each of a few rounds a set goes with its members to the largest of its lists that holds several components still, where
-    links are verified at once. Then the trees of the lists that still do name the pairs between components that
-    their signatures can't rule out, and these are verified. So no link
-    between components is missed and no block writes more than a forest of its links, plus those candidates. The sample of
+    Linked sets share one of the first shingles of each, in any common order, and so are in one of the lists of sets by
+    shingle. The first shingles are some more than one shared one needs, so that linked sets share
+    several, and sets that share fewer with all others are left out. Equal sets count as one.
+    Sets that lists connect are a cluster; linked sets are always in one. A cluster is dealt into pieces of about ``BLOCK`` sets, and
+    every pair of pieces (and every piece with itself) is a block, in which trees name the pairs that their bounds can't rule
+    out, and these are verified on the sets at once. So each pair is looked at in one block only, no task holds more than two
+    pieces, and a block writes no more than a forest of its links. The sample of
     about ``SAMPLE`` documents only orders the shingles; it decides no result.
     """
     spark = df.sparkSession
@@ -361,9 +334,9 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     one = scratch.put(docs.mapInArrow(work.prefixes(frequent), "bucket int, id bigint, n bigint, sid bigint, payload binary"), "prefixes")
     classes = scratch.put(one.where("bucket = -1").select("id", "n", "sid"), "classes")
-    lists = one.where("bucket >= 0").select("bucket", "payload").groupBy("bucket").applyInArrow(lambda t: work.blocks(t), "list bigint, piece int, pieces int, shared bigint, sids binary")
-    lists = lists.groupBy("list", "piece").agg(F.first("pieces").alias("pieces"), F.sum("shared").alias("shared"), F.first("sids").alias("sids"))
-    member = scratch.put(lists.mapInArrow(work.members, "list bigint, piece int, pieces int, shared bigint, sid bigint"), "met")
+    lists = one.where("bucket >= 0").select("bucket", "payload").groupBy("bucket").applyInArrow(lambda t: work.blocks(t), "list bigint, part bigint, shared bigint, sids binary")
+    lists = lists.groupBy("list", "part").agg(F.sum("shared").alias("shared"), F.first("sids").alias("sids")).select("list", "shared", "sids")
+    member = scratch.put(lists.mapInArrow(work.members, "list bigint, shared bigint, sid bigint"), "met")
     del lists
     scratch.release("prefixes")
 
@@ -371,54 +344,22 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     firsts = scratch.put(classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n")), "firsts")
     shares = scratch.put(member.groupBy("sid").agg(F.sum("shared").alias("shared")), "shares")
     active = scratch.put(firsts.join(shares, "sid").where(F.col("shared") >= F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / SPARE) + 1).select("sid", "id"), "active")
-    member = member.join(active.select("sid"), "sid").select("list", "piece", "pieces", "sid")
-    member = scratch.put(member, "members")
-    put = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g")
-    state, sets = scratch.put(active.select("sid", F.col("sid").alias("component")), "state-0"), None
-    done: list[DataFrame] = []
-    for turn in range(1, ROUNDS + 2):
-        marked = scratch.put(member.join(state, "sid"), f"marked-{turn}")
-        mixed = marked.groupBy("list").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("pieces").alias("parts"), F.count("*").alias("size")).where("c0 <> c1").select("list", "parts", "size")
-        for d in done:
-            mixed = mixed.join(d, "list", "left_anti")
-        mixed = scratch.put(mixed, f"mixed-{turn}")
-        if mixed.isEmpty():
-            break
-        marked = marked.join(mixed.select("list", "size"), "list")
-        if turn <= ROUNDS:
-            home = F.max(F.struct("size", F.xxhash64(F.lit(turn), "list").alias("tie"), "list", "piece")).alias("home")
-            homes = marked.groupBy("sid", "component").agg(home).select("sid", "component", F.xxhash64("home.list", "home.piece").alias("block"))
-            homes = scratch.put(homes, f"homes-{turn}")
-            # a list all of whose members meet in one block is settled, whatever comes of it
-            met = homes.groupBy("block").agg(F.count("*").alias("here"))
-            settled = mixed.where("parts = 1").withColumn("block", F.xxhash64("list", F.lit(0))).join(met, "block").where("here = size")
-            done.append(scratch.put(settled.select("list"), f"done-{turn}"))
-            if sets is None:
-                shown = scratch.put(homes.join(active, "sid").select("id", "sid", "block"), "shown")
-                sets = docs.join(shown, "id").select("sid", "text", "block").mapInArrow(work.sets, "sid bigint, block bigint, n bigint, members binary, signature binary")
-                sets = scratch.put(sets, "sets")
-                scratch.release("met", "firsts", "shares")
-                near = sets.select(put, "block", F.col("sid").alias("component"), "members")
-            else:
-                near = homes.join(sets.select("sid", "members"), "sid").select(put, "block", "component", "members")
-            links = near.groupBy("g").applyInArrow(lambda t: work.join(t), "a bigint, b bigint")
-            del near
-        else:
-            rest = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-            rest = rest.select(F.xxhash64("list", F.least("piece", "other"), F.greatest("piece", "other")).alias("block"), F.when(F.col("piece") > F.col("other"), 1).otherwise(0).alias("side"), "sid", "component")
-            rest = rest.join(sets.select("sid", "n", "signature"), "sid").select(put, "block", "side", "sid", "component", "n", "signature")
-            pairs = scratch.put(rest.groupBy("g").applyInArrow(lambda t: work.candidates(t), "a bigint, b bigint").distinct(), "pairs")
-            left, right = (sets.select(F.col("sid").alias(s), F.col("members").alias(f"m{s}")) for s in "ab")
-            found = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(work.verify, "a bigint, b bigint")
-            one_end, other_end = state.select(F.col("sid").alias("a"), F.col("component").alias("ca")), state.select(F.col("sid").alias("b"), F.col("component").alias("cb"))
-            links = scratch.put(found, "verified").join(one_end, "a").join(other_end, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        links = scratch.put(links.where("a <> b").distinct(), f"links-{turn}")
-        scratch.release(f"marked-{turn}")
-        if not links.isEmpty():
-            moved = components(scratch, links, f"cc-{turn}").select(F.col("node").alias("component"), F.col("component").alias("now"))
-            state = scratch.put(state.join(moved, "component", "left").select("sid", F.coalesce("now", "component").alias("component")), f"state-{turn}")
-    scratch.release("members", "active", "sets")
-    label = state.withColumnRenamed("sid", "node")
+    member = scratch.put(member.join(active.select("sid"), "sid").select("list", "sid"), "members")
+    first = scratch.put(member.groupBy("list").agg(F.min("sid").alias("first"), F.count("*").alias("size")).where("size > 1").select("list", "first"), "first")
+    cluster = components(scratch, member.join(first, "list").where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b")), "near")
+    size = scratch.put(cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces")), "sizes")
+    shown = scratch.put(cluster.join(size, "component").join(active, cluster.node == active.sid).select("id", "sid", F.col("component").alias("cluster"), "pieces"), "shown")
+    sets = docs.join(shown, "id").select("sid", "text", "cluster", "pieces").mapInArrow(work.sets, "sid bigint, cluster bigint, pieces int, members binary")
+    sets = scratch.put(sets, "sets")
+    scratch.release("met", "firsts", "shares", "members", "first", "active")
+    piece = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("pieces")).cast("int")
+    near = sets.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    block = F.xxhash64("cluster", F.least("piece", "other"), F.greatest("piece", "other"))
+    near = near.select(F.pmod(block, F.lit(groups)).alias("g"), block.alias("block"), "sid", F.when(F.col("piece") > F.col("other"), 1).otherwise(0).alias("side"), "members")
+    links = scratch.put(near.groupBy("g").applyInArrow(lambda t: work.join(t), "a bigint, b bigint"), "links")
+    del near
+    scratch.release("sets", "shown", "sizes")
+    label = components(scratch, links, "linked")
 
     named = classes.join(label, classes.sid == label.node, "left").select("id", "n", F.coalesce("component", "sid").alias("class"))
     named = scratch.put(named, "named")

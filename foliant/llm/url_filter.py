@@ -21,7 +21,10 @@ m.easy-win.test/en/3 quick-loans.test/apply payday-loans.test/en/22 xxx-cams.tes
 replica-watches.test/sale cheap-replica.test/en/8 free-crack.test/keygen/download warez-keygen.test/crack.html
 jackpot-slots.test/spin big-jackpot.test/en/41 bitcoin-doubler.test/invest fast-cash.test/now miracle-diet.test/weight-loss
 cheap-meds.test/pharmacy/order m.cheap-pills.test/de/6.html www.cheap-pills.org/fr/33 blog.cheap-pills.net/en/1/ casino-win.org/en/8
-m.casino-win.net/de/4.html blog.casino-win.test/fr/2 free-bets.net/fr/7 www.free-bets.org/en/90.html m.free-bets.test/es/5""".split()
+m.casino-win.net/de/4.html blog.casino-win.test/fr/2 free-bets.net/fr/7 www.free-bets.org/en/90.html m.free-bets.test/es/5
+adult-zone.org/de/3 m.adult-videos.test/en/71.html www.adult-x.test/es/8/ ads-server.net/en/4 www.ads-banner.org/fr/19 track-ads.test/de/1
+spam-links.org/en/66 m.link-farm.net/de/2.html www.spam-mail.test/fr/5 content-farm.test/en/12 popup-ads.org/es/3 ads-click.net/fr/8 www.click-track.org/en/5
+m.ads-media.test/de/9.html adult-chat.net/en/2 blog.adult-chat.org/de/3/""".split()
 GOOD = """www.theron.test/en/1291/ tionble.test/en/482/ blog.library.test/fr/8798 museum.test/de/1373 m.thering.test/en/873
 news.city.test/2021/05/report.html wiki.science.test/article/water university.test/courses/history docs.python.test/guide/intro
 weather.test/forecast/paris recipes.kitchen.test/soup/tomato garden.test/plants/roses.html www.thand.test/fr/4163
@@ -29,27 +32,31 @@ ththan.test/en/7944 ouention.test/fr/7376 thher.test/en/7817 government.test/law
 travel.test/es/madrid books.test/reviews/novel school.test/lessons/math.html forum.linux.test/kernel/7 blog.tionsh.test/en/7617/
 music.test/classical/bach photo.test/album/33 m.theror.test/de/5989 www.ththst.test/en/1837/ radio.test/news/morning
 maps.test/europe/berlin theatre.test/tickets/hamlet m.ouing.test/de/6.html www.thather.org/fr/33 blog.erstion.net/en/1/ ndwhen.org/en/8
-m.hating.net/de/4.html blog.oneath.test/fr/2 tioner.net/fr/7 www.inghe.org/en/90.html m.ereat.test/es/5""".split()
+m.hating.net/de/4.html blog.oneath.test/fr/2 tioner.net/fr/7 www.inghe.org/en/90.html m.ereat.test/es/5
+city-news.org/de/3 m.open-library.test/en/71.html www.self-help.test/es/8/ art-museum.net/en/4 www.folk-music.org/fr/19 bird-watch.test/de/1
+old-town.org/en/66 m.sea-life.net/de/2.html www.book-club.test/fr/5 home-garden.test/en/12 public-radio.org/es/3 race-track.net/fr/8 www.sound-track.org/en/5
+m.wood-craft.test/de/9.html road-map.net/en/2 blog.road-map.org/de/3/""".split()
 
 DIMENSIONS = 1 << 14
 
 
-def features(host: str, path: str, sizes: tuple[int, ...] = (3, 4, 5), dimensions: int = DIMENSIONS) -> np.ndarray:
-    """The distinct buckets of the n-grams of host and path, each kind with its own prefix; digits count as one."""
-    found = set()
-    for kind, part in (("h", host), ("p", path)):
+def features(host: str, path: str, sizes: tuple[int, ...] = (3, 4, 5), dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the distinct n-grams of host and path, and their values; digits count as one. Host and path have a length of their
+    own (1 and 1/2), so that a long path doesn't drown its host."""
+    buckets, values = [], []
+    for kind, part, length in (("h", host, 1.0), ("p", path, 0.5)):
         part = "^" + "".join("0" if c.isdigit() else c for c in part) + "$"
-        for n in sizes:
-            found.update(kind + part[i : i + n] for i in range(len(part) - n + 1))
-    return np.unique(np.fromiter((zlib.crc32(g.encode()) % dimensions for g in found), dtype=np.int64, count=len(found)))
+        found = sorted({part[i : i + n] for n in sizes for i in range(len(part) - n + 1)})
+        buckets += [zlib.crc32((kind + g).encode()) % dimensions for g in found]
+        values += [length / np.sqrt(len(found))] * len(found) if found else []
+    return np.array(buckets, dtype=np.int64), np.array(values)
 
 
 def train(labelled: list[tuple[str, str, int]], rounds: int = 300, rate: float = 0.5, l2: float = 1e-3, dimensions: int = DIMENSIONS) -> np.ndarray:
     """Weights (the last is the bias) of the logistic regression, by full gradient steps from zero. 1: unwanted."""
     x = np.zeros((len(labelled), dimensions + 1))
     for i, (host, path, _) in enumerate(labelled):
-        f = features(host, path, dimensions=dimensions)
-        x[i, f] = 1 / np.sqrt(max(1, len(f)))
+        np.add.at(x[i], *features(host, path, dimensions=dimensions))
         x[i, dimensions] = 1
     y, w = np.array([r[2] for r in labelled], dtype=float), np.zeros(dimensions + 1)
     for _ in range(rounds):
@@ -64,8 +71,8 @@ def default_table() -> list[tuple[str, str, int]]:
 
 
 def probability(host: str, path: str, w: np.ndarray) -> float:
-    f = features(host, path, dimensions=len(w) - 1)
-    return float(1 / (1 + np.exp(-(w[f].sum() / np.sqrt(max(1, len(f))) + w[-1]))))
+    f, x = features(host, path, dimensions=len(w) - 1)
+    return float(1 / (1 + np.exp(-(w[f] @ x + w[-1]))))
 
 
 def host_of(url: Column) -> Column:

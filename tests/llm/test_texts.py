@@ -88,7 +88,8 @@ def brute_components(texts):
 
 @pytest.mark.parametrize("block", [512, 3])
 def test_jaccard_is_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # small blocks: long lists are cut and their pieces meet in pairs
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # small blocks: clusters are cut and their pieces meet in pairs
+    monkeypatch.setattr(jaccard_join, "ROW", block)
     texts = corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(table(spark, texts), "doc_id").collect()}
     assert got == brute_components(texts)
