@@ -273,11 +273,10 @@ class Shingles:
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("list", "part", "shared", "sids"), out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
     def sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sid, cluster, pieces, members) of documents that come with their set's id and its cluster."""
+        """(sid, places, members) of documents that come with their set's id and its clusters."""
         for b in batches:
             for at, end, sets in self._sets(b):
-                own = [b.column(i).slice(at, end - at) for i in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "cluster", "pieces", "members"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), b.column(2).slice(at, end - at), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "places", "members"])
 
     def members(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(list, shared, sid) of lists."""
@@ -315,10 +314,11 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     Linked sets share one of the first shingles of each, in any common order, and so are in one of the lists of sets by
     shingle. The first shingles are some more than one shared one needs, so that linked sets share
     several, and sets that share fewer with all others are left out. Equal sets count as one.
-    Sets that lists connect are a cluster; linked sets are always in one. A cluster is dealt into pieces of about ``BLOCK`` sets, and
+    A set follows the one that is first in most of its lists (by shingles); a list is in the cluster of the set that most of its members
+    follow, and a cluster has all members of its lists. So near copies are in one cluster mostly, linked sets always
+    share one, and clusters don't chain. A cluster is dealt into pieces of about ``BLOCK`` sets, and
     every pair of pieces (and every piece with itself) is a block, in which trees name the pairs that their bounds can't rule
-    out, and these are verified on the sets at once. So each pair is looked at in one block only, no task holds more than two
-    pieces, and a block writes no more than a forest of its links. The sample of
+    out, and these are verified on the sets at once. No task holds more than two pieces of a cluster at a time, and a block writes no more than a forest of its links. The sample of
     about ``SAMPLE`` documents only orders the shingles; it decides no result.
     """
     spark = df.sparkSession
@@ -344,21 +344,28 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     firsts = scratch.put(classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n")), "firsts")
     shares = scratch.put(member.groupBy("sid").agg(F.sum("shared").alias("shared")), "shares")
     active = scratch.put(firsts.join(shares, "sid").where(F.col("shared") >= F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / SPARE) + 1).select("sid", "id"), "active")
-    member = scratch.put(member.join(active.select("sid"), "sid").select("list", "sid"), "members")
+    member = scratch.put(member.join(active.select("sid"), "sid").select("list", "shared", "sid"), "members")
     first = scratch.put(member.groupBy("list").agg(F.min("sid").alias("first"), F.count("*").alias("size")).where("size > 1").select("list", "first"), "first")
-    cluster = components(scratch, member.join(first, "list").where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b")), "near")
-    size = scratch.put(cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces")), "sizes")
-    shown = scratch.put(cluster.join(size, "component").join(active, cluster.node == active.sid).select("id", "sid", F.col("component").alias("cluster"), "pieces"), "shown")
-    sets = docs.join(shown, "id").select("sid", "text", "cluster", "pieces").mapInArrow(work.sets, "sid bigint, cluster bigint, pieces int, members binary")
+    follows = member.join(first, "list").groupBy("sid", "first").agg(F.sum("shared").alias("shared")).groupBy("sid").agg(F.max(F.struct("shared", "first")).alias("m"))
+    leader = scratch.put(follows.select("sid", F.col("m.first").alias("leader")), "leader")
+    votes = member.join(first.select("list"), "list").join(leader, "sid").groupBy("list", "leader").agg(F.count("*").alias("votes")).groupBy("list").agg(F.max(F.struct("votes", "leader")).alias("m"))
+    votes = scratch.put(votes.select("list", F.col("m.leader").alias("cluster")), "votes")
+    placed = scratch.put(member.join(votes, "list").select("cluster", "sid").distinct(), "placed")
+    size = scratch.put(placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces")), "sizes")
+    places = scratch.put(placed.join(size, "cluster").groupBy("sid").agg(F.collect_list(F.struct("cluster", "pieces")).alias("places")), "places")
+    shown = scratch.put(places.join(active, "sid").select("id", "sid", "places"), "shown")
+    kind = "array<struct<cluster:bigint,pieces:int>>"
+    sets = docs.join(shown, "id").select("sid", "text", "places").mapInArrow(work.sets, f"sid bigint, places {kind}, members binary")
     sets = scratch.put(sets, "sets")
-    scratch.release("met", "firsts", "shares", "members", "first", "active")
+    scratch.release("met", "firsts", "shares", "members", "first", "active", "leader", "votes", "placed", "sizes", "places", "shown")
+    near = sets.select("sid", "members", F.inline("places"))
     piece = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("pieces")).cast("int")
-    near = sets.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    near = near.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     block = F.xxhash64("cluster", F.least("piece", "other"), F.greatest("piece", "other"))
     near = near.select(F.pmod(block, F.lit(groups)).alias("g"), block.alias("block"), "sid", F.when(F.col("piece") > F.col("other"), 1).otherwise(0).alias("side"), "members")
     links = scratch.put(near.groupBy("g").applyInArrow(lambda t: work.join(t), "a bigint, b bigint"), "links")
     del near
-    scratch.release("sets", "shown", "sizes")
+    scratch.release("sets")
     label = components(scratch, links, "linked")
 
     named = classes.join(label, classes.sid == label.node, "left").select("id", "n", F.coalesce("component", "sid").alias("class"))
