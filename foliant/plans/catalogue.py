@@ -215,7 +215,7 @@ def predictions(spark, d) -> DataFrame:
 def _logits(model: str, c: str) -> list[str]:
     if model == "lexicon":
         words = f"string_split(lower({_clean(c)}), ' ')"
-        return [f"CAST(len(list_filter({words}, w -> w IN ({', '.join(repr(w) for w in scoring.LEXICON[x])}))) AS DOUBLE)" for x in CLASSES]
+        return [f"CAST(len(list_filter({words}, lambda w: w IN ({', '.join(repr(w) for w in scoring.LEXICON[x])}))) AS DOUBLE)" for x in CLASSES]
     found = "CASE " + " ".join(f"WHEN regexp_matches({c}, '{letters}') THEN '{x}'" for x, letters in scoring.CHARSET) + " ELSE 'en' END"
     return [f"CASE WHEN ({found}) = '{x}' THEN 2.0 ELSE 0.0 END" for x in CLASSES]
 
