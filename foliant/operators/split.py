@@ -53,4 +53,4 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, train:
 
 def split_counts(df: DataFrame, label: str) -> DataFrame:
     """Rows by label, one column for each split."""
-    return df.groupBy(label).pivot("split", ["train", "validation", "test"]).agg(F.count("*")).na.fill(0)
+    return df.groupBy(label).pivot("split", ["train", "validation", "test"]).agg(F.count(F.lit(1))).na.fill(0)

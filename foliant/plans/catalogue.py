@@ -115,10 +115,10 @@ def q_prepared_rows(spark, d):
     return out.select("id", "label", "label_id", F.sha2("text", 256).alias("text_sha"), F.col("text_length").cast("bigint").alias("text_length"))
 
 
-@query("SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN coalesce(upper(substring(text, 1, 40)), substring(text, 1, 40)) ELSE substring(text, 1, 40) END AS head FROM documents")
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN reverse(substring(text, 1, 40)) ELSE substring(text, 1, 40) END AS head FROM documents")
 def q_retry_upsert(spark, d):
     base = docs(spark, d, "doc_id", "lang", "text").select("doc_id", "lang", F.substring("text", 1, 40).alias("head"))
-    fresh = base.where("doc_id % 10 = 0").select("doc_id", F.upper("head").alias("head"))
+    fresh = base.where("doc_id % 10 = 0").select("doc_id", F.reverse("head").alias("head"))
     return quality.retry(base, fresh, "doc_id", ["head"])
 
 
@@ -418,7 +418,7 @@ def q_filter_menu(spark, d):
 @query(f"SELECT m.model_idx, m.model, x.accuracy IS NULL AS missing, coalesce(printf('%.4f', round(x.accuracy, 4)), 'missing') AS accuracy FROM {_values(['lexicon', 'charset', 'neural'], 'model', 'model_idx')} m LEFT JOIN {_macro(_PREDICTIONS)} x ON x.model = m.model")
 def q_metrics_missing_placeholder(spark, d):
     out = dashboard.internal_table(metrics.macro_metrics(predictions(spark, d), CLASSES, MODELS), ["lexicon", "charset", "neural"])
-    return out.select("model_idx", "model", F.col("accuracy").isNull().alias("missing"), F.coalesce(F.format_string("%.4f", F.round("accuracy", 4)), F.lit("missing")).alias("accuracy"))
+    return out.select("model_idx", "model", F.col("accuracy").isNull().alias("missing"), F.when(F.col("accuracy").isNull(), "missing").otherwise(F.format_string("%.4f", F.round("accuracy", 4))).alias("accuracy"))
 
 
 _CELLS = " UNION ALL ".join(f"SELECT model, true_label, '{c}' AS predicted_label, {c} AS value FROM cm" for c in CLASSES)
