@@ -14,11 +14,13 @@ from foliant.llm.packed import pack_arrays, runs_of, unpack_arrays
 from foliant.llm.scratch import Scratch, components
 
 #: Bits of a signature, children of a tree's node, members of a block that meet in one task at most.
-BITS, FAN, BLOCK = 4096, 8, 512
+BITS, FAN, BLOCK = 4096, 8, 2048
 #: A prefix is longer than one shared shingle needs, by one in SPARE of its set.
-SPARE = 16
+SPARE = 4
 #: Sets in one row of a list, at most; longer lists have several rows.
 ROW = 1 << 16
+#: Rows of the sets that are compared, up to which they are broadcast to the texts (some 100 bytes each); beyond, both are shuffled.
+BROADCAST_ROWS = 300_000
 #: Bytes of text that a bucket of shingles stands for, about; buckets at least.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 #: Documents of the sample that names the frequent shingles, about, and how many of its texts make one frequent.
@@ -313,7 +315,7 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
 
     Linked sets share one of the first shingles of each, in any common order, and so are in one of the lists of sets by
     shingle. The first shingles are some more than one shared one needs, so that linked sets share
-    several, and sets that share fewer with all others are left out. Equal sets count as one.
+    many, and sets that share fewer with all others are left out. Equal sets count as one.
     A set follows the one that is first in most of its lists (by shingles); a list is in the cluster of the set that most of its members
     follow, and a cluster has all members of its lists. So near copies are in one cluster mostly, linked sets always
     share one, and clusters don't chain. A cluster is dealt into pieces of about ``BLOCK`` sets, and
@@ -355,7 +357,7 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     places = scratch.put(placed.join(size, "cluster").groupBy("sid").agg(F.collect_list(F.struct("cluster", "pieces")).alias("places")), "places")
     shown = scratch.put(places.join(active, "sid").select("id", "sid", "places"), "shown")
     kind = "array<struct<cluster:bigint,pieces:int>>"
-    sets = docs.join(shown, "id").select("sid", "text", "places").mapInArrow(work.sets, f"sid bigint, places {kind}, members binary")
+    sets = docs.join(F.broadcast(shown) if shown.count() <= BROADCAST_ROWS else shown, "id").select("sid", "text", "places").mapInArrow(work.sets, f"sid bigint, places {kind}, members binary")
     sets = scratch.put(sets, "sets")
     scratch.release("met", "firsts", "shares", "members", "first", "active", "leader", "votes", "placed", "sizes", "places", "shown")
     near = sets.select("sid", "members", F.inline("places"))
