@@ -37,21 +37,22 @@ class MergeReplay:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, r in self.ranks.items():
             self.tokens[r] = token
-        #: Rank of a pair of ids, by first id << 32 | second id, from every way to cut a token in two tokens.
+        #: Rank of a pair of ids, by first id << shift | second id, from every way to cut a token in two tokens.
+        shift = self.shift = len(self.tokens).bit_length()
         self.pairs: dict[int, int] = {}
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
                 x, y = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if x is not None and y is not None:
-                    self.pairs[x << 32 | y] = r
+                    self.pairs[x << shift | y] = r
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         first, second = np.repeat(self.single, 256), np.tile(self.single, 256)
-        self.byte_pairs = np.array([self.pairs.get(k, -1) for k in (first << 32 | second).tolist()], dtype=np.int64)
+        self.byte_pairs = np.array([self.pairs.get(k, -1) for k in (first << shift | second).tolist()], dtype=np.int64)
         self.words: dict[str, bytes] = {}
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
-        whole, out = self.ranks, [b""] * len(words)
+        whole, shift, out = self.ranks, self.shift, [b""] * len(words)
         parts, places = [], []
         for k, w in enumerate(words):
             r = whole.get(w)
@@ -74,44 +75,47 @@ class MergeReplay:
         order = at[np.argsort(rank[at], kind="stable")]
         cuts = np.flatnonzero(np.diff(rank[order], prepend=-1))
         index = {int(rank[own[0]]): own.tolist() for own in np.split(order, cuts[1:]) if len(own)}
-        ids = self.single[data].tolist()
-        after = np.where(inner, np.arange(1, n + 1), -1)
+        ids, now = self.single[data].tolist(), rank.tolist()  # now: the rank of the pair that begins at a symbol
+        after = np.where(inner, np.arange(1, n + 1), -1).tolist()
         before = np.full(n, -1, np.int64)
         before[1:][inner[:-1]] = np.flatnonzero(inner[:-1])
-        after, before = after.tolist(), before.tolist()
-        pairs, heap = self.pairs.get, list(index)
+        before = before.tolist()
+        pairs, find, heap, push = self.pairs.get, index.get, list(index), heapq.heappush
         heapq.heapify(heap)
         while heap:
             r = heapq.heappop(heap)
             own = index.pop(r)
-            own.sort()
-            top = r << 32
+            if len(own) > 1:
+                own.sort()
+            top = r << shift
             for i in own:
-                j = after[i]
-                a = ids[i]
-                if j < 0 or a < 0 or pairs(a << 32 | ids[j]) != r:
+                if now[i] != r:
                     continue
-                ids[i] = r
-                ids[j] = -1
-                k = after[i] = after[j]
+                j = after[i]
+                k = after[j]
+                ids[i], ids[j], now[j], after[i] = r, -1, -1, k
                 if k >= 0:
                     before[k] = i
-                    q = pairs(top | ids[k])
-                    if q is not None:
-                        if q in index:
-                            index[q].append(i)
-                        else:
+                    q = now[i] = pairs(top | ids[k], -1)
+                    if q >= 0:
+                        found = find(q)
+                        if found is None:
                             index[q] = [i]
-                            heapq.heappush(heap, q)
+                            push(heap, q)
+                        else:
+                            found.append(i)
+                else:
+                    now[i] = -1
                 h = before[i]
                 if h >= 0:
-                    q = pairs(ids[h] << 32 | r)
-                    if q is not None:
-                        if q in index:
-                            index[q].append(h)
-                        else:
+                    q = now[h] = pairs(ids[h] << shift | r, -1)
+                    if q >= 0:
+                        found = find(q)
+                        if found is None:
                             index[q] = [h]
-                            heapq.heappush(heap, q)
+                            push(heap, q)
+                        else:
+                            found.append(h)
         left = np.array(ids, dtype=np.int64)
         packed = left[left >= 0].astype("<u4").tobytes()
         stops = (np.concatenate(([0], np.cumsum(left >= 0)))[ends] * 4).tolist()
