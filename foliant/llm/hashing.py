@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Odd multipliers of the rolling hashes, modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _TABLE = np.random.Generator(np.random.PCG64(20240817)).integers(1, 2**64, 256, dtype=np.uint64)

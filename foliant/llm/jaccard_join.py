@@ -22,7 +22,7 @@ ROW = 1 << 16
 #: Rows of the sets that are compared, up to which they are broadcast to the texts (some 100 bytes each); beyond, both are shuffled.
 BROADCAST_ROWS = 300_000
 #: Bytes of text that a bucket of shingles stands for, about; buckets at least.
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
 #: Documents of the sample that names the frequent shingles, about, and how many of its texts make one frequent.
 SAMPLE, FREQUENT = 20_000, 3
 

@@ -15,7 +15,7 @@ from foliant.llm.packed import pack_arrays, runs_of, unpack_arrays
 from foliant.llm.scratch import Scratch
 
 #: Bytes of text that a bucket of anchors or a group of documents stands for, about; their numbers follow the input.
-BUCKET_BYTES, GROUP_BYTES, LEAST_BUCKETS = 16 << 20, 8 << 20, 64
+BUCKET_BYTES, GROUP_BYTES, LEAST_BUCKETS = 8 << 20, 4 << 20, 64
 
 
 def _digest(data: np.ndarray) -> int:
