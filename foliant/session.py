@@ -30,9 +30,15 @@ def build_session(master: str | None = None, app: str = "foliant", shuffle_parti
 _shipped: set[str] = set()
 
 
+#: Rows that go to a Python worker at once; Spark's default of 10,000 long texts is too much for a small one.
+ARROW_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each application, where their Python path may lack it."""
+    """Gives the executors this package, once for each application, where their Python path may lack it, and keeps Arrow batches small."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
