@@ -26,9 +26,8 @@ CHARSET = (("de", "[äöüß]"), ("es", "[ñ¿¡áíóú]"), ("fr", "[çèêàé
 SHORT = "text is too short"
 
 
-def lexicon_logits(text: Column, classes: list[str], lexicon: dict[str, list[str]] = LEXICON) -> Column:
-    """Words of each class's list among the words of the cleaned text."""
-    words = tokens(F.lower(text), None)
+def lexicon_logits(words: Column, classes: list[str], lexicon: dict[str, list[str]] = LEXICON) -> Column:
+    """Words of each class's list among the words of a text; give a column that holds them, so that they are cut once."""
     return F.array(*(F.size(F.filter(words, _among(lexicon[c]))).cast("double") for c in classes))
 
 
@@ -68,7 +67,8 @@ def short_error(text: Column, least: int = MIN_CHARS) -> Column:
 
 
 def score_lexicon(df: DataFrame, key: str, label: str, text: str, classes: list[str]) -> DataFrame:
-    return records(df, "lexicon", key, label, lexicon_logits(F.col(text), classes), classes, short_error(F.col(text)))
+    words = df.select(key, label, tokens(F.lower(F.col(text)), None).alias("_words"), short_error(F.col(text)).alias("_error"))
+    return records(words, "lexicon", key, label, lexicon_logits(F.col("_words"), classes), classes, F.col("_error"))
 
 
 def score_charset(df: DataFrame, key: str, label: str, text: str, classes: list[str]) -> DataFrame:

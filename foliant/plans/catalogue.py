@@ -472,7 +472,7 @@ SELECT doc_id, CAST(i AS INTEGER) AS position, word, CAST(greatest(0, least(1000
 def q_word_boxes(spark, d):
     words = docs(spark, d, "doc_id", "text").select("doc_id", nested.tokens(F.col("text"), None).alias("words"))
     at = lambda w, i: F.array((i % 12) * 90 + 60, F.floor(i / 12).cast("int") * 36 + 60, (i % 12) * 90 + 60 + F.length(w) * 7, F.floor(i / 12).cast("int") * 36 + 88)
-    found = words.select("doc_id", nested.normalize_ocr(F.col("words"), F.transform("words", at), F.lit(nested.PAGE_WIDTH), F.lit(nested.PAGE_HEIGHT)).alias("o"))
+    found = words.select("doc_id", nested.normalize_ocr(F.col("words"), F.transform("words", at), F.lit(nested.PAGE_WIDTH), F.lit(nested.PAGE_HEIGHT), lambda w: w).alias("o"))  # the words are clean
     rows = found.select("doc_id", F.posexplode(F.arrays_zip("o.words", "o.boxes")).alias("position", "r"))
     return rows.select("doc_id", "position", F.col("r.words").alias("word"), *(F.get("r.boxes", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))
 
