@@ -18,8 +18,6 @@ from foliant.llm.topk import _matrix, valid
 CELL_ROWS = 2048
 #: Tables, neighbouring cells that are probed in each, cells to the unit, and E8 lattices whose points make a cell.
 TABLES, PROBES, SCALE, LATTICES = 8, 4, 3.5, 2
-#: Vectors from which on cells become finer, by the 32nd root of the number: half of what would keep 16 dimensions as full.
-FULL = 50_000
 
 
 @cache
@@ -212,19 +210,19 @@ def _links(table: pa.Table, dim: int, settings: tuple, least: float) -> tuple[np
     return linked, count, linked[_local_roots(len(linked), x, y)]
 
 
-def near_duplicates(df: DataFrame, key: str, vector: str, least: float = 0.9, tables: int = TABLES, probes: int = PROBES, scale: float | None = None, lattices: int = LATTICES) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, vector: str, least: float = 0.9, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, lattices: int = LATTICES) -> DataFrame:
     """(key, n_links, component_id, kept) for each id: the vectors linked directly, the smallest id reached, and whether that is its own.
 
     Links are pairs with a cosine (in doubles) of at least ``least`` that share a cell, or of which one's home is a neighbouring
     cell that the other probes, in one of the tables; none below it is linked. Vectors that are null, zero or hold null or
     non-finite components, and vectors of different lengths, aren't linked. Rows of one id count once, with the smallest vector;
-    null ids are left out; an empty table has no rows. Cells with many members are cut into blocks, and all pairs of
+    null ids are left out; an empty table has no rows. Cells have one size whatever the number of rows, so whether a pair is linked
+    depends on its two vectors alone. Cells with many members are cut into blocks, and all pairs of
     blocks are compared, so that no task holds a whole hot cell; pairs are counted where they are found and never written out.
     """
     scratch = Scratch(df.sparkSession, "near-vectors")
     every = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("x")).groupBy("id").agg(F.min("x").alias("x"))
     sound = every.where(valid(F.col("x")) & (F.aggregate("x", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0)).select("id", "x", F.size("x").alias("dim"))
-    scale = SCALE * max(1.0, sound.count() / FULL) ** (1 / (16 * lattices)) if scale is None else scale
     settings = (tables, probes, scale, lattices)
     rows = sound.mapInArrow(_keys(settings), "key bigint, tab int, probe boolean, id bigint")
     rows = scratch.put(rows, "keys")

@@ -85,6 +85,30 @@ def test_near_vectors_recall(spark, monkeypatch, cell):
     assert near_vectors.near_duplicates(df.where("false"), "vec_id", "embedding").count() == 0
 
 
+def test_near_vectors_recall_of_large_tables(spark, monkeypatch):
+    class Settings(Exception):
+        pass
+
+    def stop(settings):
+        raise Settings(settings)
+
+    df = vectors(spark, np.eye(3, 64))
+    monkeypatch.setattr(type(df), "count", lambda self: 77_000_000)
+    monkeypatch.setattr(near_vectors, "_keys", stop)
+    with pytest.raises(Settings) as seen:
+        near_vectors.near_duplicates(df, "vec_id", "embedding")
+    (settings,) = seen.value.args
+    rng = np.random.default_rng(8)
+    a, d = rng.standard_normal((2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    d -= (a * d).sum(axis=1, keepdims=True) * a
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.91, (4000, 1))
+    ka, kb = (near_vectors.cell_keys(x, *settings) for x in (a, c * a + np.sqrt(1 - c * c) * d))
+    met = (ka == kb[:, :, :1]).any(axis=(1, 2)) | (kb == ka[:, :, :1]).any(axis=(1, 2))
+    assert met.mean() >= 0.97
+
+
 def test_url_rules(spark):
     cases = {
         "http://a.com/x": ("a.com", "/x", "com/", "allow"),
