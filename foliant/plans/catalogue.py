@@ -122,6 +122,15 @@ def q_retry_upsert(spark, d):
     return quality.retry(base, fresh, "doc_id", ["head"])
 
 
+@query(f"SELECT doc_id, lang, sha256(t) AS text_sha, length(t) AS text_length FROM (SELECT doc_id, lang, CASE WHEN length({_clean('text')}) < 20 THEN 'retried ' || coalesce(text, '') ELSE text END AS t FROM documents)")
+def q_retry_short_texts(spark, d):
+    """Whole texts; the refreshed rows are those of which the extraction failed, and a prefix stands for the new extraction."""
+    base = docs(spark, d, "doc_id", "lang", "text")
+    fresh = quality.failed_extraction(base).select("doc_id", F.concat(F.lit("retried "), F.coalesce("text", F.lit(""))).alias("text"))
+    out = quality.retry(base, fresh, "doc_id", ["text"])
+    return out.select("doc_id", "lang", F.sha2("text", 256).alias("text_sha"), F.length("text").cast("bigint").alias("text_length"))
+
+
 # ---------------------------------------------------------------- numbering, splits, duplicates
 
 
