@@ -72,8 +72,8 @@ def mixtures(counts: np.ndarray, likelihood: np.ndarray, first: np.ndarray, shar
 def infer(texts: list[tuple[np.ndarray, bool]], logs: np.ndarray, rounds: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """(index of the language, score) of each text that has letters, (-1, 0) else.
 
-    The documents' trigrams and their counts run through the expectation-maximisation together. Then, for each k, the k languages
-    of the largest shares are refitted and their log likelihood is charged ``penalty`` * (k - 1) * log(trigrams); the best k is
+    The documents' trigrams and their counts run through the expectation-maximisation together. Then, for each k up to the number
+    of languages, the k languages of the largest shares are refitted and their log likelihood is charged ``penalty`` * (k - 1) * log(trigrams); the best k is
     the document's language set. The largest share in it is the prediction, and that share the score.
     """
     best, score = np.full(len(texts), -1), np.zeros(len(texts))
@@ -101,7 +101,7 @@ def infer(texts: list[tuple[np.ndarray, bool]], logs: np.ndarray, rounds: int, p
     single = np.zeros((n, k), np.float32)
     single[np.arange(n), alone.argmax(axis=1)] = 1
     chosen, value = single, base + alone.max(axis=1)
-    for size in range(2, min(k, 3) + 1):
+    for size in range(2, k + 1):
         keep = np.zeros((n, k), bool)
         np.put_along_axis(keep, order[:, :size], True, axis=1)
         s = np.where(keep, np.maximum(shares, 1e-6), 0).astype(np.float32)

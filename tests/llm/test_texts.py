@@ -208,6 +208,17 @@ def test_language_id(spark):
     assert language_id.identify(df.where("false")).count() == 0
 
 
+def test_language_sets_of_all_languages():
+    words = ["the of and that with for", "der die und das nicht ein", "les des une pour dans que", "el los las por con una"]
+    data = [np.frombuffer(w.encode(), np.uint8) for w in words]
+    counts = np.stack([np.bincount(language_id._grams(np.tile(np.append(x, 32), 200)), minlength=language_id.BUCKETS) for x in data]) + 0.5
+    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
+    mixed = np.frombuffer(" ".join(w for i in range(200) for w in words).encode(), np.uint8)
+    two = np.frombuffer(" ".join(w for i in range(200) for w in words[:2]).encode(), np.uint8)
+    _, score = language_id.infer([(mixed, True), (two, True)], logs, 6, 5.0)
+    assert 0.25 <= score[0] < 0.32 and 0.5 <= score[1] < 0.6
+
+
 def test_sharding(spark):
     texts = corpus()
     df = table(spark, texts * 9).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("clash").alias("shard")).withColumn("c", F.crc32("text"))
