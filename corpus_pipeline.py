@@ -6,11 +6,12 @@ read again as the next one's docs. All but the last return the columns of docume
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.jaccard_join import jaccard_components
-from foliant.llm.language_id import identify
+from foliant.llm.language_id import BUCKETS, held_out, predict, train
 from foliant.llm.packing import pack_documents
 from foliant.llm.scratch import Scratch
 from foliant.llm.substring_dedup import dedup_substrings
@@ -18,9 +19,13 @@ from foliant.session import ship
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: their text is null or empty or has no letter. All others stay as they are."""
+    """Documents without a language go: their text is null or empty or has no letter. All others stay as they are, also where nothing
+    could be learned because no row outside the held-out ones is labelled."""
     ship(spark)
-    return identify(docs).where("lang_pred <> 'und'").select(*docs.columns)
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    if not model[0]:  # one language without preferences takes all texts with letters
+        model = ["any"], np.zeros((1, BUCKETS))
+    return predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

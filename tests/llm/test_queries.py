@@ -53,3 +53,10 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("doc_id = 3").where(F.length("text") == F.col("n_chars")).count() == 1
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == set(seen[2])
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(0, "some words", None), (1, "été", None), (2, "12 !", None), (3, "", None), (4, None, None), (None, "no id", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for labelled in (docs, docs.withColumn("lang", F.when(F.col("doc_id") == 2, "en")), docs.withColumn("lang", F.lit("en"))):
+        assert {r.doc_id for r in corpus_pipeline.language_stage(spark, labelled, "").collect()} == {0, 1, None}
