@@ -60,3 +60,11 @@ def test_language_stage_without_labels(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     for labelled in (docs, docs.withColumn("lang", F.when(F.col("doc_id") == 2, "en")), docs.withColumn("lang", F.lit("en"))):
         assert {r.doc_id for r in corpus_pipeline.language_stage(spark, labelled, "").collect()} == {0, 1, None}
+
+
+def test_jaccard_stage_repeated_rows(spark):
+    a, b = " ".join(f"w{i}" for i in range(30)), " ".join(f"x{i}" for i in range(30))
+    rows = [(1, a, "fr", "t"), (1, a, "en", "s"), (1, a, "en", None), (1, b, "en", "s"), (2, a, "de", "s"), (3, "alone", "en", "s"), (3, "alone", "en", "s"), (4, None, "en", "s"), (4, None, "en", "s"), (None, "no id", "en", "s"), (None, "no id", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    got = sorted((tuple(r) for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a, "en", None), (1, b, "en", "s"), (3, "alone", "en", "s"), (4, None, "en", "s"), (None, "no id", "en", "s"), (None, "no id", "en", "s")], key=str)
