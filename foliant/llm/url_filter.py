@@ -13,24 +13,24 @@ from pyspark.sql import functions as F
 #: (verdict, host and path) of the default rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: The small labelled table: host and path of unwanted and of wanted pages, all invented.
-BAD = """casino-royal.test/play/slots casino-win.test/en/100 www.best-casino.test/bonus/ m.casino-night.test/fr/12.html
-free-bets.test/odds blog.free-bets.test/de/5 live-bets.test/football/today bets-now.test/es/77 cheap-pills.test/order
-www.cheap-pills.test/en/9/ online-pills.test/viagra/buy pills-shop.test/fr/1 poker-stars.test/join win-cash.test/lottery/claim
+#: The small labelled table: host and path of unwanted and of wanted pages, all invented; no host is one of the test tables'.
+BAD = """casino-royal.test/play/slots casino-club.test/en/100 www.best-casino.test/bonus/ m.casino-night.test/fr/12.html
+bonus-bets.test/odds blog.bonus-bets.test/de/5 live-bets.test/football/today bets-now.test/es/77 budget-pills.test/order
+www.budget-pills.test/en/9/ online-pills.test/viagra/buy pills-shop.test/fr/1 poker-stars.test/join win-cash.test/lottery/claim
 m.easy-win.test/en/3 quick-loans.test/apply payday-loans.test/en/22 xxx-cams.test/live adult-cams.test/de/4 hot-singles.test/meet
 replica-watches.test/sale cheap-replica.test/en/8 free-crack.test/keygen/download warez-keygen.test/crack.html
 jackpot-slots.test/spin big-jackpot.test/en/41 bitcoin-doubler.test/invest fast-cash.test/now miracle-diet.test/weight-loss
-cheap-meds.test/pharmacy/order m.cheap-pills.test/de/6.html www.cheap-pills.org/fr/33 blog.cheap-pills.net/en/1/ casino-win.org/en/8
-m.casino-win.net/de/4.html blog.casino-win.test/fr/2 free-bets.net/fr/7 www.free-bets.org/en/90.html m.free-bets.test/es/5
-adult-zone.org/de/3 m.adult-videos.test/en/71.html www.adult-x.test/es/8/ ads-server.net/en/4 www.ads-banner.org/fr/19 track-ads.test/de/1
+cheap-meds.test/pharmacy/order m.budget-pills.test/de/6.html www.budget-pills.org/fr/33 blog.budget-pills.net/en/1/ casino-club.org/en/8
+m.casino-club.net/de/4.html blog.casino-club.test/fr/2 bonus-bets.net/fr/7 www.bonus-bets.org/en/90.html m.bonus-bets.test/es/5
+adult-zone.org/de/3 m.adult-videos.test/en/71.html www.adult-films.test/es/8/ ads-server.net/en/4 www.ads-banner.org/fr/19 track-ads.test/de/1
 spam-links.org/en/66 m.link-farm.net/de/2.html www.spam-mail.test/fr/5 content-farm.test/en/12 popup-ads.org/es/3 ads-click.net/fr/8 www.click-track.org/en/5
 m.ads-media.test/de/9.html adult-chat.net/en/2 blog.adult-chat.org/de/3/""".split()
-GOOD = """www.theron.test/en/1291/ tionble.test/en/482/ blog.library.test/fr/8798 museum.test/de/1373 m.thering.test/en/873
+GOOD = """www.thereal.test/en/1291/ tionite.test/en/482/ blog.library.test/fr/8798 museum.test/de/1373 m.therand.test/en/873
 news.city.test/2021/05/report.html wiki.science.test/article/water university.test/courses/history docs.python.test/guide/intro
 weather.test/forecast/paris recipes.kitchen.test/soup/tomato garden.test/plants/roses.html www.thand.test/fr/4163
-ththan.test/en/7944 ouention.test/fr/7376 thher.test/en/7817 government.test/law/2019 health.test/advice/sleep
-travel.test/es/madrid books.test/reviews/novel school.test/lessons/math.html forum.linux.test/kernel/7 blog.tionsh.test/en/7617/
-music.test/classical/bach photo.test/album/33 m.theror.test/de/5989 www.ththst.test/en/1837/ radio.test/news/morning
+ththell.test/en/7944 ouention.test/fr/7376 thher.test/en/7817 government.test/law/2019 health.test/advice/sleep
+travel.test/es/madrid books.test/reviews/novel school.test/lessons/math.html forum.linux.test/kernel/7 blog.tional.test/en/7617/
+music.test/classical/bach photo.test/album/33 m.therall.test/de/5989 www.thirther.test/en/1837/ radio.test/news/morning
 maps.test/europe/berlin theatre.test/tickets/hamlet m.ouing.test/de/6.html www.thather.org/fr/33 blog.erstion.net/en/1/ ndwhen.org/en/8
 m.hating.net/de/4.html blog.oneath.test/fr/2 tioner.net/fr/7 www.inghe.org/en/90.html m.ereat.test/es/5
 city-news.org/de/3 m.open-library.test/en/71.html www.self-help.test/es/8/ art-museum.net/en/4 www.folk-music.org/fr/19 bird-watch.test/de/1

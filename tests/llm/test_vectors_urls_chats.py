@@ -147,6 +147,18 @@ def test_url_model_generalises(spark):
     assert min(map(score, bad)) > 0.5 > max(map(score, good))
 
 
+def test_url_model_on_unseen_hosts():
+    labelled = url_filter.default_table()
+    w = url_filter.train(labelled)
+    bad = ["casino-win", "cheap-pills", "free-bets", "ads-track", "spam-farm", "adult-x"]
+    good = ["theron", "tionble", "thering", "ththan", "tionsh", "theror", "ththst"]
+    seen = {part for host, _, _ in labelled for part in host.split(".")}
+    assert not seen & {*bad, *good}
+    for hosts, unwanted in ((bad, True), (good, False)):
+        right = [(url_filter.probability(f"{sub}{h}.example.{top}", path, w) >= 0.5) == unwanted for h in hosts for sub in ("", "www.") for top in ("org", "net") for path in ("/en/5", "/de/6652.html")]
+        assert sum(right) >= 0.9 * len(right)
+
+
 def chats(spark):
     schema = """id int, prompt string, response string, completion string, system string, instruction string, input string, output string, question string, answer string,
     messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, turns array<struct<speaker:string,text:string>>, lang string"""
