@@ -25,6 +25,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; by sorting, which is faster here than a hash table."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(max(n, 1), base, dtype=np.uint64)
     out[0] = 1
@@ -85,7 +91,3 @@ class Words:
         np.cumsum(self.hash * powers[:n], out=total[1:])
         back = _powers(pow(WORD_BASE, -1, 2**64), n - k + 1)
         return mix((total[k:] - total[: n - k + 1]) * back + U(k))
-
-
-def as_long(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)

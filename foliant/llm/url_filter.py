@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,69 +9,144 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.hashing import U, distinct, mix, text_slices
+
 #: (verdict, host and path) of the default rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: The small labelled table: host and path of unwanted and of wanted pages, all invented; no host is one of the test tables'.
-BAD = """casino-royal.test/play/slots casino-club.test/en/100 www.best-casino.test/bonus/ m.casino-night.test/fr/12.html
-bonus-bets.test/odds blog.bonus-bets.test/de/5 live-bets.test/football/today bets-now.test/es/77 budget-pills.test/order
-www.budget-pills.test/en/9/ online-pills.test/viagra/buy pills-shop.test/fr/1 poker-stars.test/join win-cash.test/lottery/claim
-m.easy-win.test/en/3 quick-loans.test/apply payday-loans.test/en/22 xxx-cams.test/live adult-cams.test/de/4 hot-singles.test/meet
-replica-watches.test/sale cheap-replica.test/en/8 free-crack.test/keygen/download warez-keygen.test/crack.html
-jackpot-slots.test/spin big-jackpot.test/en/41 bitcoin-doubler.test/invest fast-cash.test/now miracle-diet.test/weight-loss
-cheap-meds.test/pharmacy/order m.budget-pills.test/de/6.html www.budget-pills.org/fr/33 blog.budget-pills.net/en/1/ casino-club.org/en/8
-m.casino-club.net/de/4.html blog.casino-club.test/fr/2 bonus-bets.net/fr/7 www.bonus-bets.org/en/90.html m.bonus-bets.test/es/5
-adult-zone.org/de/3 m.adult-videos.test/en/71.html www.adult-films.test/es/8/ ads-server.net/en/4 www.ads-banner.org/fr/19 track-ads.test/de/1
-spam-links.org/en/66 m.link-farm.net/de/2.html www.spam-mail.test/fr/5 content-farm.test/en/12 popup-ads.org/es/3 ads-click.net/fr/8 www.click-track.org/en/5
-m.ads-media.test/de/9.html adult-chat.net/en/2 blog.adult-chat.org/de/3/""".split()
-GOOD = """www.thereal.test/en/1291/ tionite.test/en/482/ blog.library.test/fr/8798 museum.test/de/1373 m.therand.test/en/873
-news.city.test/2021/05/report.html wiki.science.test/article/water university.test/courses/history docs.python.test/guide/intro
-weather.test/forecast/paris recipes.kitchen.test/soup/tomato garden.test/plants/roses.html www.thand.test/fr/4163
-ththell.test/en/7944 ouention.test/fr/7376 thher.test/en/7817 government.test/law/2019 health.test/advice/sleep
-travel.test/es/madrid books.test/reviews/novel school.test/lessons/math.html forum.linux.test/kernel/7 blog.tional.test/en/7617/
-music.test/classical/bach photo.test/album/33 m.therall.test/de/5989 www.thirther.test/en/1837/ radio.test/news/morning
-maps.test/europe/berlin theatre.test/tickets/hamlet m.ouing.test/de/6.html www.thather.org/fr/33 blog.erstion.net/en/1/ ndwhen.org/en/8
-m.hating.net/de/4.html blog.oneath.test/fr/2 tioner.net/fr/7 www.inghe.org/en/90.html m.ereat.test/es/5
-city-news.org/de/3 m.open-library.test/en/71.html www.self-help.test/es/8/ art-museum.net/en/4 www.folk-music.org/fr/19 bird-watch.test/de/1
-old-town.org/en/66 m.sea-life.net/de/2.html www.book-club.test/fr/5 home-garden.test/en/12 public-radio.org/es/3 race-track.net/fr/8 www.sound-track.org/en/5
-m.wood-craft.test/de/9.html road-map.net/en/2 blog.road-map.org/de/3/""".split()
-
-DIMENSIONS = 1 << 14
-
-
-def features(host: str, path: str, sizes: tuple[int, ...] = (3, 4, 5), dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the distinct n-grams of host and path, and their values; digits count as one. Host and path have a length of their
-    own (1 and 1/2), so that a long path doesn't drown its host."""
-    buckets, values = [], []
-    for kind, part, length in (("h", host, 1.0), ("p", path, 0.5)):
-        part = "^" + "".join("0" if c.isdigit() else c for c in part) + "$"
-        found = sorted({part[i : i + n] for n in sizes for i in range(len(part) - n + 1)})
-        buckets += [zlib.crc32((kind + g).encode()) % dimensions for g in found]
-        values += [length / np.sqrt(len(found))] * len(found) if found else []
-    return np.array(buckets, dtype=np.int64), np.array(values)
-
-
-def train(labelled: list[tuple[str, str, int]], rounds: int = 300, rate: float = 0.5, l2: float = 1e-3, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Weights (the last is the bias) of the logistic regression, by full gradient steps from zero. 1: unwanted."""
-    x = np.zeros((len(labelled), dimensions + 1))
-    for i, (host, path, _) in enumerate(labelled):
-        np.add.at(x[i], *features(host, path, dimensions=dimensions))
-        x[i, dimensions] = 1
-    y, w = np.array([r[2] for r in labelled], dtype=float), np.zeros(dimensions + 1)
+#: The small labelled table: invented urls of unwanted and of wanted pages, written from ordinary words. None of their hosts or
+#: paths is one of a test table's.
+BAD = """royalcasino.org/slots/register.php www.casino-bonus.net/roulette/no-deposit onlinecasinos.com/blackjack
+vegas-casino.info/jackpot/spin-now pokerroom.org/join/freeroll slots-jackpot.net/play/book-of-gold www.sportbets.org/odds/tonight
+bets-live.net/bookmaker/signup betting-tips.com/sure-wins bigbets.info/promo/code win-lottery.org/claim/prize
+instant-winner.net/you-won/iphone scratchcards.org/bonus dietpills.net/order/no-prescription www.pills-direct.com/buy/viagra
+canadian-pharmacy.info/cialis/discount cheapmeds.org/tramadol/overnight generic-viagra.net/checkout pillstore.org/buy/xanax-online
+weightloss-miracle.net/burn-fat-fast www.keto-gummies.com/trial/offer adultvideos.info/free/watch
+www.adult-dating.org/meet/singles hot-adult-cams.net/live/girls sexcams.org/rooms/now nude-girls.net/gallery/hd
+xxxtube.com/porn/latest pornmovies.info/teen/video freeporn.org/milf/clips escort-girls.net/city/tonight adultchat.org/private
+hookup-tonight.net/register www.payday-loans.com/apply/instant fastcash-loans.info/no-credit-check debt-relief.org/offer
+crypto-doubler.net/invest/send-btc bitcoin-profit.org/signup/bonus forex-signals.net/get-rich-quick easy-money.com/work-from-home
+binary-options.info/trade/now replica-watches.org/rolex/sale cheap-handbags.net/replica/gucci fake-diplomas.org/order
+outlet-sneakers.net/discount/90-off warez-downloads.com/crack/keygen free-cracks.info/serial/photoshop
+torrent-movies.org/download/full keygens.net/activation/crack streams-free.org/watch/full-movie-online
+hacked-accounts.net/premium/list ads.bannerpush.com/click/redirect adserver.popunder.info/serve/js banner-ads.org/impression
+popads.net/out/link www.ads-exchange.org/bid/redirect clickads.net/affiliate/go adspush.com/notify/allow
+tracker-pixel.info/collect/beacon clicktracker.org/redirect/out track.affiliate-hub.net/aff/go linktracking.org/campaign/click
+spammail.net/bulk/send bulk-spam.com/mailing/list spambot.info/buy/traffic linkfarm.org/backlinks/buy buy-backlinks.net/seo/cheap
+seo-farm.org/articles/spin contentfarm.net/clickbait/you-wont-believe cheap-followers.com/instagram/buy
+likes-farm.info/order/followers buy-cheap-essays.org/order/now free-giftcards.net/generator/unlimited free-robux.org/generator
+free-coins-hack.net/cheat/download virus-alert.com/your-pc/infected phishing-login.info/verify/account
+secure-paypal-login.org/update/password""".split()
+GOOD = """harbour-museum.org/exhibitions/amber-road www.riverside-library.net/catalogue/new-books cityarchive.com/maps/1890/old-town
+stmary-hospital.info/patients/visiting-hours botanicgarden.org/plants/orchids naturalhistory.net/fossils/trilobites
+observatory.org/events/meteor-shower physics.university.net/courses/thermodynamics www.college.com/admissions/deadlines
+mathematics.institute.info/seminars/topology library.school.org/reading-list chemistry.faculty.net/lab/safety
+docs.parserlib.org/reference/tokenizer.html manual.editor.net/keyboard/shortcuts wiki.linuxhelp.com/kernel/modules
+forum.gardeners.info/topic/tomato-blight code.toolkit.org/repository/issues api.weatherdata.net/forecast/hourly
+help.mailclient.org/filters/folders blog.compiler.net/posts/register-allocation man.shell.com/commands/grep
+encyclopedia.info/article/photosynthesis dictionary.org/words/serendipity atlas.net/countries/portugal
+www.thechronicle.org/politics/election-results dailyherald.net/local/bridge-repairs theeveningpost.com/culture/theatre-review
+northernstandard.info/business/steel-industry radio-station.org/programmes/morning-news worldreport.net/science/climate
+parliament.org/bills/second-reading www.tax-office.net/forms/self-assessment health.com/vaccines/schedule
+statistics.info/population/census courts.org/decisions/appeal council.net/planning/applications weather.org/warnings/flood
+railway-timetable.net/stations/central airport.com/departures/today bus-routes.info/line/seventeen ferries.org/islands/crossing
+mountain-huts.net/trails/ridge-walk cycling-club.org/routes/coast sailing.net/regatta/entries hiking.com/equipment/boots
+footballassociation.info/fixtures/saturday chess-federation.org/ratings/masters athletics.net/records/marathon
+swimming.org/lessons baking.net/bread/sourdough kitchen-notes.com/soups/leek-and-potato wine-growers.info/harvest
+recipes.org/desserts/apple-crumble cheesemakers.net/varieties/cheddar coffee.org/brewing/filter tea-house.net/menu
+vegetarian.com/lentils/curry orchestra.info/concerts/spring-season opera.org/tickets/matinee choir.net/rehearsals
+jazz-festival.org/lineup folk-songs.net/ballads film-society.com/screenings/silent-era theatre.info/plays/hamlet
+poetry.org/sonnets art-gallery.net/collection/watercolours photography.org/tutorials/exposure pottery.net/workshops/glazing
+knitting.com/patterns/scarf woodwork.info/joints/dovetail bookshop.org/authors/interviews novels.net/reviews/historical-fiction
+publishers.org/catalogue childrens-books.net/fairy-tales astronomy.com/planets/saturn geology.info/rocks/basalt
+biology.org/cells/mitochondria ecology.net/rivers/trout birdwatchers.org/species/heron oceanography.net/tides/charts
+beekeepers.com/hives/winter dairyfarm.info/milk/visitors organic-farm.org/vegetables/boxes farmersmarket.net/stalls/saturday
+veterinary.org/dogs/vaccination animalshelter.net/adopt/cats horses.com/riding/lessons trackandfield.info/results/relay
+railway-tracks.org/history/gauge soundtrack.net/composers/film addresses.org/postcodes/lookup gardenshop.net/tools/spade
+hardware-store.com/screws/brass stationery.info/paper/envelopes furniture.org/chairs/oak bicycles.net/repairs/brakes
+shoes.org/sizes/guide bank.net/branches/opening-hours insurance.com/claims/form pharmacy-school.info/research/antibiotics
+winterton.org/village/history singletonhall.net/weddings freemantle.org/harbour/tours thehistorysociety.net/lectures
+theotherside.com/essays/travel otherlands.info/journal nationalparks.org/camping/permits stationmaster.net/models/steam
+foundation.org/grants/education mission.net/volunteers/abroad tradition.com/costumes/dance""".split()
+
+#: Buckets of the n-grams.
+DIMENSIONS = 1 << 18
+SIZES = (3, 4, 5)
+#: The n-grams of a host and of a path have together this length, so that a long path doesn't drown its host; and a salt of their own.
+PARTS = {"host": (1.0, 0x68), "path": (0.5, 0x70)}
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[48:58] = 48
+
+
+def features(column: pa.Array, part: str, sizes: tuple[int, ...] = SIZES, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of the distinct buckets of the n-grams of a batch of hosts or paths, in order.
+
+    N-grams are of UTF-8 bytes, with ^ before and $ behind the string; digits count as one. All strings are hashed at once.
+    """
+    length, salt = PARTS[part]
+    rows, buckets = [], []
+    for at, end, data, offsets in text_slices(column):
+        n = np.diff(offsets)
+        first = offsets[:-1] + 2 * np.arange(end - at)
+        x = np.full(len(data) + 2 * (end - at), 36, np.uint64)
+        x[first] = 94
+        owner = np.repeat(np.arange(end - at), n + 2)
+        x[np.arange(len(data)) + 2 * np.repeat(np.arange(end - at), n) + 1] = _PLAIN[data]
+        place = np.arange(len(x)) - first[owner]
+        h = np.full(len(x), salt, np.uint64)
+        for k in range(max(sizes, default=0)):  # h: the hash of the k + 1 bytes that begin at each place
+            h = h[: len(x) - k] * U(0x100000001B3) + x[k:]
+            if k + 1 in sizes:
+                whole = place[: len(h)] + k + 1 <= n[owner[: len(h)]] + 2
+                rows.append(at + owner[: len(h)][whole])
+                buckets.append((mix(h[whole] + U(k)) % U(dimensions)).astype(np.int64))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    both = distinct(np.concatenate(rows) * dimensions + np.concatenate(buckets))
+    row, bucket = both // dimensions, both % dimensions
+    return row, bucket, length / np.sqrt(np.bincount(row, minlength=len(column)))[row]
+
+
+def probabilities(hosts: pa.Array, paths: pa.Array, w: np.ndarray) -> np.ndarray:
+    """Of each url of a batch, that it is unwanted."""
+    score = np.full(len(hosts), w[-1])
+    for part, column in (("host", hosts), ("path", paths)):
+        coded = column.dictionary_encode()  # a batch names few hosts
+        row, bucket, value = features(coded.dictionary, part, dimensions=len(w) - 1)
+        score += np.bincount(row, weights=w[bucket] * value, minlength=len(coded.dictionary))[coded.indices.to_numpy()]
+    return 1 / (1 + np.exp(-score))
+
+
+def train(labelled: list[tuple[str, str, int]], rounds: int = 300, rate: float = 5.0, l2: float = 1e-3, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Weights (the last is the bias) of the logistic regression, by full gradient steps from zero. 1: unwanted.
+
+    labelled: (host, path, label); it is held in the driver, some hundred rows. No rows: all weights zero.
+    """
+    w = np.zeros(dimensions + 1)
+    if not labelled:
+        return w
+    found = [features(pa.array([r[i] for r in labelled], pa.string()), part, dimensions=dimensions) for i, part in enumerate(PARTS)]
+    used, place = np.unique(np.concatenate([f[1] for f in found]), return_inverse=True)
+    x = np.zeros((len(labelled), len(used) + 1))
+    np.add.at(x, (np.concatenate([f[0] for f in found]), place), np.concatenate([f[2] for f in found]))
+    x[:, -1] = 1
+    y, own = np.array([r[2] for r in labelled], dtype=float), np.zeros(len(used) + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        w -= rate * (x.T @ (p - y) / max(1, len(y)) * 10 + l2 * w)
+        p = 1 / (1 + np.exp(-(x @ own)))
+        own -= rate * (x.T @ (p - y) / len(y) + l2 / 10 * own)
+    w[used], w[-1] = own[:-1], own[-1]
     return w
 
 
-def default_table() -> list[tuple[str, str, int]]:
-    cut = lambda u, y: (u[: u.index("/")], u[u.index("/") :], y) if "/" in u else (u, "", y)
-    return [cut(u, 1) for u in BAD] + [cut(u, 0) for u in GOOD]
+def cut_url(url: str) -> tuple[str, str]:
+    """Host and path of an entry of the table."""
+    at = url.index("/") if "/" in url else len(url)
+    return url[:at], url[at:]
 
 
-def probability(host: str, path: str, w: np.ndarray) -> float:
-    f, x = features(host, path, dimensions=len(w) - 1)
-    return float(1 / (1 + np.exp(-(w[f] @ x + w[-1]))))
+def default_table() -> list[tuple[str, str, int]]:
+    """The table above, and the empty url as a wanted one."""
+    return [(*cut_url(u), 1) for u in BAD] + [(*cut_url(u), 0) for u in [*GOOD, ""]]
 
 
 def host_of(url: Column) -> Column:
@@ -99,22 +173,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def filter_urls(df: DataFrame, url: str = "url", rules=RULES, labelled: list[tuple[str, str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """Adds host, path, rule, verdict and p_block (the method's probability, null where a rule decides).
 
-    The model is trained on the driver from the labelled table, which is a parameter of some dozen rows; its weights have a fixed
-    size. A null url or one without :// has an empty host and path, and the method judges it. Only host and path of rows that no
-    rule decides are scored; columns of these names that are there already are replaced.
+    The model is trained on the driver from the labelled table, which is a parameter of some hundred rows; its weights have a fixed
+    size. A null url or one without :// has an empty host and path, and the method judges it. Only rows that no rule decides are
+    scored, a batch at a time; repeated rows stay; columns of these names that are there already are replaced.
     """
     w = train(default_table() if labelled is None else labelled)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
-            rows = zip(b.column(names.index("host")).to_pylist(), b.column(names.index("path")).to_pylist(), b.column(names.index("rule")).to_pylist(), strict=True)
-            p = pa.array([None if r is not None else probability(h, q, w) for h, q, r in rows], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, p], [*names, "p_block"])
-
-    df = df.drop("host", "path", "rule", "verdict", "p_block", "_rule")
+            host, path, rule = (b.column(names.index(n)) for n in ("host", "path", "rule"))
+            open_rows = np.flatnonzero(rule.is_null().to_numpy(zero_copy_only=False))
+            p = np.full(len(host), np.nan)
+            if len(open_rows):
+                p[open_rows] = probabilities(host.take(pa.array(open_rows)), path.take(pa.array(open_rows)), w)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64(), from_pandas=True)], [*names, "p_block"])
+
+    df = df.drop("host", "path", "rule", "verdict", "p_block")
     judged = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumns({"rule": F.col("_rule.rule"), "verdict": F.col("_rule.verdict")}).drop("_rule")
+    found = rule_of(F.col("host"), F.col("path"), rules)
+    judged = judged.withColumns({"rule": found["rule"], "verdict": found["verdict"]})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in judged.schema) + ", p_block double"
     out = judged.mapInArrow(score, schema)
     return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("p_block") >= threshold, "block").otherwise("allow")))
