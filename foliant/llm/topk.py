@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors and queries in a cell of the grid, at most about; the cells' memory has its bound from these.
-CELL_VECTORS, CELL_QUERIES, LEAST_CELLS = 8192, 2048, 32
+from foliant.llm.scratch import Scratch
+
+#: Components of the queries that are broadcast at a time, at most about (8 bytes each); vectors and queries that meet in one product.
+BLOCK_VALUES, ROWS, QUERIES = 1 << 22, 8192, 256
 
 
 def valid(vector: Column) -> Column:
@@ -27,21 +30,14 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.reshape(len(column), dim)
 
 
-def _lists(q: np.ndarray, v: np.ndarray, lists: int) -> list[np.ndarray]:
-    """The local score lists: partial inner products over each segment of the components. Doubles where they are exact."""
-    top = max(1, int(np.abs(q).max(initial=0))) * max(1, int(np.abs(v).max(initial=0))) * max(1, q.shape[1])
-    kind = np.float64 if top < 2**53 else np.int64
-    cuts = np.linspace(0, q.shape[1], lists + 1).astype(int)
-    return [q[:, a:b].astype(kind) @ v[:, a:b].astype(kind).T for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def _edges(dim: int, lists: int) -> list[int]:
+    return [dim * j // lists for j in range(lists + 1)]
 
 
-def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    dim = table["dim"][0].as_py()
-    ask = table["ask"].to_numpy()
-    ids, x = table["id"].to_numpy(), _matrix(table["x"], dim)
-    cutoff = table["cutoff"].to_numpy()
-    order = np.argsort(ids[~ask], kind="stable")
-    return ids[ask], x[ask], cutoff[ask], ids[~ask][order], x[~ask][order]
+def _segment(vector: str, j: int, lists: int) -> Column:
+    """Components j * dim / lists up to (j + 1) * dim / lists: what list j scores."""
+    low, high = (F.floor(F.size(vector) * F.lit(i) / F.lit(lists)).cast("int") for i in (j, j + 1))
+    return F.slice(vector, low + 1, high - low)
 
 
 def _best(rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -51,89 +47,196 @@ def _best(rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, k: int) ->
     return order[rank < k]
 
 
-def _gather(k: int, lists: int):
-    """Phase 1. Each list gives its k largest entries for a query; their whole scores are looked up, and the k best go on."""
-
-    def run(table: pa.Table) -> pa.Table:
-        qid, q, _, vid, v = _sides(table)
-        out = [[], []]
-        for at in range(0, len(qid) if len(vid) else 0, 256):
-            part = _lists(q[at : at + 256], v, lists)
-            own = qid[at : at + 256, None] == vid[None, :]
-            total = sum(part)
-            rows, columns = [], []
-            for p in part:
-                p = np.where(own, p.min() - 1, p)
-                n = min(k, len(vid))
+class Block:
+    """Queries that are broadcast together: for each dimension their ids, one matrix for each list, and their cutoffs."""
+
+    def __init__(self, table: pa.Table, lists: int, kind: type):
+        self.lists, self.kind, self.ids, self.parts, self.cutoffs = lists, kind, {}, {}, {}
+        dims = table["dim"].to_numpy()
+        for dim in np.unique(dims).tolist():
+            own = table.filter(pa.array(dims == dim)).sort_by("id")
+            x = _matrix(own["x"], dim).astype(kind)
+            self.ids[dim] = own["id"].to_numpy()
+            self.parts[dim] = [np.ascontiguousarray(x[:, a:b]) for a, b in zip(_edges(dim, lists)[:-1], _edges(dim, lists)[1:], strict=True)]
+
+    def chunks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """(dim, ids, one matrix for each column behind id and dim) of runs of vectors of one dimension that a query has."""
+        held, n = [], 0
+
+        def cut() -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+            table = pa.Table.from_batches(held)
+            dims = table["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim in self.ids:
+                    own = table if (dims == dim).all() else table.filter(pa.array(dims == dim))
+                    yield dim, own["id"].to_numpy(), [_matrix(c, pc.list_value_length(c)[0].as_py()).astype(self.kind) for c in own.columns[2:]]
+
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= ROWS:
+                yield from cut()
+                held, n = [], 0
+        if n:
+            yield from cut()
+
+
+def _gather(shared, j: int, k: int):
+    """Phase 1 at list j: its k largest entries for each query among the vectors of a task. The other lists' columns aren't read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Block = shared.value
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for dim, ids, (x,) in block.chunks(batches):
+            q = block.ids[dim]
+            if dim not in held:
+                held[dim] = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
+            score, who = held[dim]
+            for at in range(0, len(q), QUERIES):
+                own = slice(at, at + QUERIES)
+                p = (block.parts[dim][j][own] @ x.T).astype(np.float64)
+                p[q[own, None] == ids[None, :]] = -np.inf
+                n = min(k, len(ids))
                 c = np.argpartition(-p, n - 1, axis=1)[:, :n]
-                rows.append(np.repeat(np.arange(len(p)), n))
-                columns.append(c.ravel())
-            pair = np.unique(np.concatenate(rows) * len(vid) + np.concatenate(columns))
-            r, c = pair // len(vid), pair % len(vid)
-            r, c = r[~own[r, c]], c[~own[r, c]]
-            keep = _best(r, c, total[r, c], k)
-            out[0].append(qid[at + r[keep]])
-            out[1].append(total[r[keep], c[keep]].astype(np.int64))
-        return pa.table({"query_id": pa.array(np.concatenate(out[0]) if out[0] else [], pa.int64()), "score": pa.array(np.concatenate(out[1]) if out[1] else [], pa.int64())})
+                both = np.concatenate((score[own], np.take_along_axis(p, c, 1)), axis=1)
+                names = np.concatenate((who[own], ids[c]), axis=1)
+                c = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                score[own], who[own] = np.take_along_axis(both, c, 1), np.take_along_axis(names, c, 1)
+        for dim, (score, who) in held.items():
+            r, c = np.nonzero(score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[dim][r]), pa.array(who[r, c]), pa.array(score[r, c])], ["query_id", "vec_id", "part"])
 
     return run
 
 
-def _resolve(k: int, lists: int):
-    """Phases 2 and 3. A score at or above the cutoff has a part of at least cutoff / lists in one list, so only entries that
-    reach that in some list are collected. Those whose upper bound (parts that were not collected count as the threshold) reaches
-    the cutoff are resolved exactly, and the k best of the cell go on."""
-
-    def run(table: pa.Table) -> pa.Table:
-        qid, q, cutoff, vid, v = _sides(table)
-        out = [[], [], []]
-        for at in range(0, len(qid) if len(vid) else 0, 256):
-            part = _lists(q[at : at + 256], v, lists)
-            low = cutoff[at : at + 256, None]
-            sent = [p * lists >= low for p in part]
-            r, c = np.nonzero(np.logical_or.reduce(sent))
-            bound = sum(np.where(s[r, c], p[r, c] * lists, low[r, 0]) for s, p in zip(sent, part, strict=True))
-            live = (bound >= low[r, 0] * lists) & (qid[at + r] != vid[c])
-            r, c = r[live], c[live]
-            score = sum(p[r, c] for p in part)
-            keep = np.flatnonzero(score >= low[r, 0])
-            keep = keep[_best(r[keep], c[keep], score[keep], k)]
-            out[0].append(qid[at + r[keep]])
-            out[1].append(vid[c[keep]])
-            out[2].append(score[keep].astype(np.int64))
-        return pa.table({n: pa.array(np.concatenate(x) if x else [], pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
+def _look_up(shared, pairs):
+    """The whole scores of given (dim, query's place, vector): the parts of each list are summed for these alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Block = shared.value
+        for dim, ids, x in block.chunks(batches):
+            place, who = pairs.value[dim]  # by vector
+            low, high = np.searchsorted(who, ids, "left"), np.searchsorted(who, ids, "right")
+            c = np.repeat(np.arange(len(ids)), high - low)
+            if len(c):
+                at = np.arange(len(c)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[c]
+                score = sum(np.einsum("ij,ij->i", q[place[at]], part[c]) for q, part in zip(block.parts[dim], x, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(block.ids[dim][place[at]]), pa.array(score.astype(np.int64))], ["query_id", "score"])
 
     return run
 
 
-def _grid(vectors: DataFrame, queries: DataFrame, cells: int, blocks: int) -> DataFrame:
-    """Every vector once for each block of queries, every query once for each block of vectors, by (dim, cell, block)."""
-    v = vectors.select("id", "x", F.lit(False).alias("ask"), F.lit(0.0).alias("cutoff"), F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = queries.select("id", "x", F.lit(True).alias("ask"), "cutoff", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    return v.unionByName(q).withColumn("dim", F.size("x")).groupBy("dim", "cell", "block")
+def _resolve(shared, k: int, meter):
+    """Phases 2 and 3. Each list sends the entries that reach cutoff / lists; a score at or above the cutoff has one in some list.
+
+    A sent vector's parts that were not sent are below cutoff / lists, which bounds its score; where the bound reaches the cutoff,
+    the missing parts are looked up. The k best of a task go on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Block = shared.value
+        lists, held = block.lists, {}
+        for dim, ids, x in block.chunks(batches):
+            q, cutoff = block.ids[dim], block.cutoffs[dim]
+            found = held.setdefault(dim, [np.zeros((3, 0), np.int64)])
+            for at in range(0, len(q), QUERIES):
+                own = slice(at, at + QUERIES)
+                low = cutoff[own, None]
+                part = [a[own] @ b.T for a, b in zip(block.parts[dim], x, strict=True)]
+                sent = [p * lists >= low for p in part]
+                r, c = np.nonzero(np.logical_or.reduce(sent))
+                known, missing = np.zeros(len(r), block.kind), np.zeros(len(r), block.kind)
+                for s, p in zip(sent, part, strict=True):
+                    known += np.where(s[r, c], p[r, c], 0)
+                    missing += ~s[r, c]
+                live = known * lists + missing * low[r, 0] >= low[r, 0] * lists
+                live &= q[at + r] != ids[c]
+                if meter is not None:
+                    for i, n in enumerate((len(part) * part[0].size, sum(int(s.sum()) for s in sent), int(live.sum()))):
+                        meter[i].add(n)
+                r, c = r[live], c[live]
+                score = sum(p[r, c] for p in part)
+                keep = score >= low[r, 0]
+                found.append(np.stack((at + r[keep], ids[c[keep]], score[keep].astype(np.int64))))
+            if sum(f.shape[1] for f in found) > k * len(q) + (1 << 18):
+                every = np.concatenate(found, axis=1)
+                held[dim] = [every[:, _best(every[0], every[1], every[2], k)]]
+        for dim, found in held.items():
+            every = np.concatenate(found, axis=1)
+            r, who, score = every[:, _best(every[0], every[1], every[2], k)]
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[dim][r]), pa.array(who), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    return run
 
 
-def search(vectors: DataFrame, is_query: Column, key: str, vector: str, k: int = 5, lists: int = 2, scale: int = 256) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, key: str, vector: str, k: int = 5, lists: int = 2, scale: int = 256, meter: list | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query with all vectors but its own.
 
     Components become floor(scale * x) as long. Vectors that are null or hold null or non-finite components take no part, as
     query or candidate; vectors of different lengths aren't compared. Ties go to the smaller id. Rows of one id count once, with
-    its smallest vector; null ids take no part. Fewer candidates than k: all of them; an empty table: no rows. Queries and
-    vectors meet in the cells of a grid, whose number grows with both; no side is broadcast. The cutoff of a query is the k-th
-    best score that phase 1 gathered; it travels with the query.
+    its smallest vector; null ids take no part. Fewer candidates than k: all of them; an empty table: no rows. Products that
+    might leave a long raise ValueError.
+
+    The components are dealt into ``lists`` segments, columns of their own; list j knows the partial scores of segment j. Queries
+    go out in blocks of a bounded size, and each block's phases scan the vectors where they are: no vector is shuffled for a query.
+    Phase 1: each list, which reads its column alone, gives its k largest entries for each query; as parts may be negative, sums
+    of parts bound nothing from below, so the whole scores of these few are looked up, and the k-th best is the cutoff. Phase 2:
+    the cutoff is broadcast, and only entries of at least cutoff / lists are collected. Phase 3: what may still reach the
+    cutoff is resolved exactly. Whole scores are summed for those alone.
+    Of equal vectors the k + 1 smallest ids are candidates; no other can be among the k best of any query, so many copies cost nothing.
+    meter: three accumulators that get the numbers of entries, of entries sent, and of scores resolved.
     """
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
     own = vectors.where(F.col(key).isNotNull() & valid(F.col(vector))).select(F.col(key).cast("bigint").alias("id"), quantised(F.col(vector), scale).alias("x"), is_query.alias("ask"))
-    own = own.groupBy("id").agg(F.min("x").alias("x"), F.max("ask").alias("ask"))
-    n, asked = own.agg(F.count("*"), F.count(F.when(F.col("ask"), 1))).first()
-    cells, blocks = max(LEAST_CELLS, -(-n // CELL_VECTORS)), max(1, -(-asked // CELL_QUERIES))
-    x, q = own.select("id", "x"), own.where("ask").select("id", "x", F.lit(0.0).alias("cutoff"))
-    gathered = _grid(x, q, cells, blocks).applyInArrow(_gather(k, lists), "query_id bigint, score bigint")
-    best = F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k)
-    cutoffs = gathered.groupBy("query_id").agg(best.alias("best")).select(F.col("query_id").alias("id"), F.when(F.size("best") == k, F.element_at("best", -1).cast("double")).alias("cutoff"))
-    q = own.where("ask").select("id", "x").join(cutoffs, "id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf"))))
-    found = _grid(x, q, cells, blocks).applyInArrow(_resolve(k, lists), "query_id bigint, vec_id bigint, score bigint")
+    own = scratch.put(own.groupBy("id").agg(F.min("x").alias("x"), F.max("ask").alias("ask")).withColumn("dim", F.size("x")), "vectors")
+    largest = F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))
+    top, dim, values, asked = own.agg(F.coalesce(largest, F.lit(0)), F.coalesce(F.max("dim"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("ask"), F.col("dim") + 1)), F.lit(0)), F.count(F.when(F.col("ask"), 1))).first()
+    reach = top * top * max(dim, 1) * lists
+    if reach >= 2**63:
+        raise ValueError("inner products might leave a long")
+    kind = np.float64 if reach < 2**53 else np.int64  # doubles where they are exact
+    rank = F.row_number().over(Window.partitionBy(F.xxhash64("x"), "x").orderBy("id"))
+    names = [f"x{j}" for j in range(lists)]
+    x = own.withColumn("rank", rank).where(F.col("rank") <= k + 1).select("id", "dim", *(_segment("x", j, lists).alias(n) for j, n in enumerate(names)))
+    x = scratch.put(x, "lists")
+    blocks = max(1, -(-int(values) // BLOCK_VALUES))
+    out = None
+    for b in range(blocks if asked else 0):
+        asked_here = own.where("ask").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)) == b).select("id", "dim", "x").toArrow()
+        if not len(asked_here):
+            continue
+        block = Block(asked_here, lists, kind)
+        shared = spark.sparkContext.broadcast(block)
+        local = [x.select("id", "dim", n).mapInArrow(_gather(shared, j, k), "query_id bigint, vec_id bigint, part double").withColumn("list", F.lit(j)) for j, n in enumerate(names)]
+        every = local[0]
+        for more in local[1:]:
+            every = every.unionByName(more)
+        first = F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id"))
+        named = every.withColumn("n", first).where(F.col("n") <= k).select("query_id", "vec_id").distinct().toArrow()  # k * lists for a query at most
+        pairs = {}
+        for d, q in block.ids.items():
+            at = np.searchsorted(q, named["query_id"].to_numpy())
+            ours = np.flatnonzero(q[np.minimum(at, len(q) - 1)] == named["query_id"].to_numpy())
+            who = named["vec_id"].to_numpy()[ours]
+            order = np.argsort(who, kind="stable")
+            pairs[d] = at[ours][order], who[order]
+        whole = x.mapInArrow(_look_up(shared, spark.sparkContext.broadcast(pairs)), "query_id bigint, score bigint").toArrow()
+        asks, scores = whole["query_id"].to_numpy(), whole["score"].to_numpy()
+        order = np.lexsort((-scores, asks))
+        asks, scores = asks[order], scores[order]
+        for d, q in block.ids.items():
+            last = np.searchsorted(asks, q) + k - 1
+            full = last < np.searchsorted(asks, q, "right")
+            block.cutoffs[d] = np.full(len(q), -int(top) * int(top) * max(dim, 1), kind)  # no score is below that
+            block.cutoffs[d][full] = scores[last[full]]
+        found = x.mapInArrow(_resolve(spark.sparkContext.broadcast(block), k, meter), "query_id bigint, vec_id bigint, score bigint")
+        found = scratch.put(found, f"found-{b}")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op1_topk(spark, sf_dir: str) -> DataFrame:

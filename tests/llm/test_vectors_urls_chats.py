@@ -38,12 +38,35 @@ def test_top_k_is_brute_force(spark, lists):
     assert {k: v for k, v in got.items() if k[0] < 9000} == want
 
 
-def test_top_k_small_tables(spark):
+def test_top_k_small_tables(spark, monkeypatch):
     df = vectors(spark, np.eye(3, 16))
     assert topk.search(df, F.col("vec_id") == 0, "vec_id", "embedding").count() == 2
     assert topk.search(df.where("false"), F.col("vec_id") == 0, "vec_id", "embedding").count() == 0
+    assert topk.search(df, F.lit(False), "vec_id", "embedding").count() == 0
     big = spark.createDataFrame([(0, [2.0**21] * 3), (1, [2.0**21 + 1] * 3)], "vec_id bigint, embedding array<double>")
     assert topk.search(big, F.col("vec_id") == 0, "vec_id", "embedding").first().score == 3 * (256 * 2**21) * (256 * (2**21 + 1))
+    with pytest.raises(ValueError):
+        topk.search(big.withColumn("embedding", F.transform("embedding", lambda x: x * 4096)), F.col("vec_id") == 0, "vec_id", "embedding")
+
+
+def test_top_k_phases(spark, monkeypatch):
+    """Blocks of queries, negative scores, a group of equal vectors; and few entries are sent and resolved."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 16)).astype(np.float32)
+    x[700:1100] = x[3]
+    x[5] = -10
+    x[1200:1300] = np.abs(x[1200:1300])
+    df = vectors(spark, x)
+    q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    full = q @ q.T
+    for values in (topk.BLOCK_VALUES, 100):
+        monkeypatch.setattr(topk, "BLOCK_VALUES", values)
+        meter = [spark.sparkContext.accumulator(0) for _ in range(3)]
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, F.pmod("vec_id", F.lit(100)) == 5, "vec_id", "embedding", meter=meter).collect()}
+        asked = [i for i in range(1500) if i % 100 == 5]
+        assert got == {(i, n + 1): (j, -s) for i in asked for n, (s, j) in enumerate(sorted((-int(full[i, j]), j) for j in range(1500) if j != i)[:5])}
+        entries, sent, resolved = (m.value for m in meter)
+        assert entries == 2 * len(asked) * (1500 - 401 + 6) and 0 < resolved <= sent < 0.1 * entries
 
 
 def planted(n, dim, low, rng):
