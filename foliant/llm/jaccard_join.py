@@ -340,7 +340,7 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     lists = lists.groupBy("list", "part").agg(F.sum("shared").alias("shared"), F.first("sids").alias("sids")).select("list", "shared", "sids")
     member = scratch.put(lists.mapInArrow(work.members, "list bigint, shared bigint, sid bigint"), "met")
     del lists
-    scratch.release("prefixes")
+    scratch.drop("prefixes")
 
     # sets that share too few of their first shingles with any other have no link
     firsts = scratch.put(classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n")), "firsts")
@@ -359,7 +359,7 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     kind = "array<struct<cluster:bigint,pieces:int>>"
     sets = docs.join(F.broadcast(shown) if shown.count() <= BROADCAST_ROWS else shown, "id").select("sid", "text", "places").mapInArrow(work.sets, f"sid bigint, places {kind}, members binary")
     sets = scratch.put(sets, "sets")
-    scratch.release("met", "firsts", "shares", "members", "first", "active", "leader", "votes", "placed", "sizes", "places", "shown")
+    scratch.drop("met", "firsts", "shares", "members", "first", "active", "leader", "votes", "placed", "sizes", "places", "shown")
     near = sets.select("sid", "members", F.inline("places"))
     piece = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("pieces")).cast("int")
     near = near.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -367,7 +367,7 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     near = near.select(F.pmod(block, F.lit(groups)).alias("g"), block.alias("block"), "sid", F.when(F.col("piece") > F.col("other"), 1).otherwise(0).alias("side"), "members")
     links = scratch.put(near.groupBy("g").applyInArrow(lambda t: work.join(t), "a bigint, b bigint"), "links")
     del near
-    scratch.release("sets")
+    scratch.drop("sets")
     label = components(scratch, links, "linked")
 
     named = classes.join(label, classes.sid == label.node, "left").select("id", "n", F.coalesce("component", "sid").alias("class"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 from itertools import combinations, product
 
@@ -16,8 +17,25 @@ from foliant.llm.topk import _matrix, valid
 
 #: Members of a cell that meet in one task, at most about; larger cells are cut into blocks that meet in pairs.
 CELL_ROWS = 2048
-#: Tables, neighbouring cells that are probed in each, cells to the unit, and E8 lattices whose points make a cell.
-TABLES, PROBES, SCALE, LATTICES = 8, 4, 3.5, 2
+#: Neighbouring cells that are probed in each table, and the share of pairs at the least cosine that the tables have to find.
+PROBES, RECALL = 4, 0.95
+#: Sizes of cells, from coarse to fine: lattices whose points make a cell, cells to the unit; and, measured in 64 dimensions with four
+#: probes, the share of pairs at a cosine of 0.9 that one table finds and the share of pairs of random vectors whose homes are one cell.
+CELLS = ((2, 3.5, 0.40, 1.5e-4), (2, 4.0, 0.29, 1.5e-5), (2, 4.5, 0.20, 2.6e-6), (3, 4.0, 0.09, 5.8e-8), (3, 4.5, 0.048, 4.2e-9), (3, 5.0, 0.025, 4.8e-10))
+#: Random vectors that a vector may meet in all tables, about; and key rows of a vector that go out in one round, and of all vectors.
+MEETINGS, ROUND_KEYS, ROUND_ROWS = 1000, 15, 4_000_000
+#: A pair at the least cosine differs in more bits of its sketches once in ten million times.
+SKETCH_BITS, DEVIATIONS = 128, 5.2
+
+
+def settings_for(rows: int) -> tuple[int, int, float, int]:
+    """(tables, probes, scale, lattices) for so many vectors: the coarsest cells in which a vector meets few random ones, and as many
+    tables as keep the recall at RECALL. Finer cells have more tables, so a pair's chance is the same at every size."""
+    for lattices, scale, found, same in CELLS:
+        tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - found)))
+        if rows * same * (1 + 2 * PROBES) * tables <= MEETINGS:
+            break
+    return tables, PROBES, scale, lattices
 
 
 @cache
@@ -70,19 +88,21 @@ def _hash(points: np.ndarray, seed: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def cell_keys(unit: np.ndarray, tables: int, probes: int, scale: float, lattices: int) -> np.ndarray:
+def cell_keys(unit: np.ndarray, tables: int | range, probes: int, scale: float, lattices: int) -> np.ndarray:
     """Keys [vector, table, 1 + probes] of unit vectors: the own cell, then the neighbouring cells nearest to the vector.
 
     A cell is a tuple of E8 points, one for each group of eight directions. A neighbour differs from it by a shortest lattice
-    vector in one of them; those come first on which the vector's residual projects furthest.
+    vector in one of them; those come first on which the vector's residual projects furthest. Vectors and directions are rounded
+    to whole numbers whose products are exact in doubles, so a vector's keys are the same to the bit whatever it is computed with.
     """
     n, dim = unit.shape
-    out = np.empty((n, tables, 1 + probes), np.int64)
-    short = minimal_vectors()
-    for t in range(tables):
-        y = unit @ projection(dim, t, lattices) * (scale / 8)
+    tables = range(tables) if isinstance(tables, int) else tables
+    out = np.empty((n, len(tables), 1 + probes), np.int64)
+    short, whole = minimal_vectors(), np.rint(unit * 2.0**22)
+    for at, t in enumerate(tables):
+        y = whole @ np.rint(projection(dim, t, lattices) * (scale / 8 * 2.0**20)) * 2.0**-42
         point = np.concatenate([decode_e8(y[:, 8 * g : 8 * g + 8]) for g in range(lattices)], axis=1)
-        out[:, t, 0] = _hash(point, 1000 + t)
+        out[:, at, 0] = _hash(point, 1000 + t)
         if probes:
             lean = np.concatenate([(y - point)[:, 8 * g : 8 * g + 8] @ short.T for g in range(lattices)], axis=1)
             first = np.argpartition(-lean, probes - 1, axis=1)[:, :probes]
@@ -90,7 +110,7 @@ def cell_keys(unit: np.ndarray, tables: int, probes: int, scale: float, lattices
                 g, m = np.divmod(first[:, p], len(short))
                 near = point.reshape(n, lattices, 8).copy()
                 near[np.arange(n), g] += short[m]
-                out[:, t, 1 + p] = _hash(near.reshape(n, -1), 1000 + t)
+                out[:, at, 1 + p] = _hash(near.reshape(n, -1), 1000 + t)
     return out
 
 
@@ -99,8 +119,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(settings: tuple):
-    tables, probes, scale, lattices = settings
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS signs of random projections of each unit vector, as two longs."""
+    rng = np.random.Generator(np.random.PCG64([unit.shape[1], 99]))
+    return np.packbits(unit @ rng.standard_normal((unit.shape[1], SKETCH_BITS)) > 0, axis=1).view(np.int64)
+
+
+def most_bits(least: float) -> int:
+    """So many bits of two sketches may differ where the cosine is ``least`` or more."""
+    p = np.arccos(least) / np.pi
+    return int(np.ceil(SKETCH_BITS * p + DEVIATIONS * np.sqrt(SKETCH_BITS * p * (1 - p))))
+
+
+def _keys(settings: tuple, tables: range):
+    """The keys of the given tables: (key, tab, probe, id, s0, s1), one row for each."""
+    _, probes, scale, lattices = settings
 
     def run(batches):
         for b in batches:
@@ -108,13 +141,56 @@ def _keys(settings: tuple):
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
                 part = b.take(pa.array(own))
-                keys = cell_keys(_unit(_matrix(pa.chunked_array([part.column(1)]), int(dim))), tables, probes, scale, lattices)
-                n, each = len(own), tables * (1 + probes)
-                who = pa.array(np.repeat(np.arange(n), each))
-                table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), n)
-                probe = np.tile(np.arange(1 + probes) > 0, n * tables)
+                unit = _unit(_matrix(pa.chunked_array([part.column(1)]), int(dim)))
+                keys = cell_keys(unit, tables, probes, scale, lattices)
+                n, each = len(own), len(tables) * (1 + probes)
+                who = np.repeat(np.arange(n), each)
+                table = np.tile(np.repeat(np.array(tables, dtype=np.int32), 1 + probes), n)
+                probe = np.tile(np.arange(1 + probes) > 0, n * len(tables))
                 key = mix(keys.reshape(-1).view(np.uint64) + U(int(dim))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(table), pa.array(probe), part.column(0).take(who)], ["key", "tab", "probe", "id"])
+                short = sketches(unit)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(table), pa.array(probe), part.column(0).take(pa.array(who)), pa.array(short[who, 0]), pa.array(short[who, 1])], ["key", "tab", "probe", "id", "s0", "s1"])
+
+    return run
+
+
+def _pairs_of(size: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of members of cells of at most 64 members that begin at the given places; cells of one size together."""
+    for n in np.unique(size[(size > 1) & (size <= 64)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        every = start[size == n]
+        step = max(1, 100_000 // len(i))
+        for low in range(0, len(every), step):
+            at = every[low : low + step, None]
+            yield (at + i).ravel(), (at + j).ravel()
+
+
+def _sketched(most: int):
+    """Of the cells of a group: the members whose sketch is near that of another one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table["key"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        table, key = table.take(pa.array(order)), key[order]
+        probe, ids = table["probe"].to_numpy(), table["id"].to_numpy()
+        s0, s1 = (table[c].to_numpy().view(np.uint64) for c in ("s0", "s1"))  # bits of negative numbers count otherwise
+        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        start, size = cuts[:-1], np.diff(cuts)
+        keep = np.zeros(len(key), bool)
+
+        def mark(a: np.ndarray, b: np.ndarray) -> None:
+            near = np.bitwise_count(s0[a] ^ s0[b]).astype(np.int16) + np.bitwise_count(s1[a] ^ s1[b]) <= most
+            near &= ~(probe[a] & probe[b]) & (ids[a] != ids[b])
+            keep[a[near]] = True
+            keep[b[near]] = True
+
+        for a, b in _pairs_of(size, start):
+            mark(a, b)
+        for at, n in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+            for low in range(at, at + n, 256):
+                a, b = np.meshgrid(np.arange(low, min(low + 256, at + n)), np.arange(at, at + n), indexing="ij")
+                mark(a.ravel(), b.ravel())
+        return table.select(["key", "tab", "probe", "id"]).filter(pa.array(keep))
 
     return run
 
@@ -175,16 +251,11 @@ def _links(table: pa.Table, dim: int, settings: tuple, least: float) -> tuple[np
     def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ~(probe[a] & probe[b]) & (ids[a] != ids[b]) & (~across[cell[a]] | (side[a] != side[b]))
 
-    for n in np.unique(size[(size > 1) & (size <= 64)]).tolist():  # small cells of one size together
-        i, j = np.triu_indices(n, 1)
-        every = start[size == n]
-        for low in range(0, len(every), max(1, 100_000 // len(i))):
-            at = every[low : low + max(1, 100_000 // len(i)), None]
-            a, b = (at + i).ravel(), (at + j).ravel()
-            fit = fits(a, b)
-            a, b = a[fit], b[fit]
-            close = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
-            found.append((a[close], b[close]))
+    for a, b in _pairs_of(size, start):
+        fit = fits(a, b)
+        a, b = a[fit], b[fit]
+        close = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
+        found.append((a[close], b[close]))
     for at, n in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
         for low in range(at, at + n, 512):
             a, b = np.nonzero(unit[low : min(low + 512, at + n)] @ unit[at : at + n].T >= least)
@@ -210,39 +281,64 @@ def _links(table: pa.Table, dim: int, settings: tuple, least: float) -> tuple[np
     return linked, count, linked[_local_roots(len(linked), x, y)]
 
 
-def near_duplicates(df: DataFrame, key: str, vector: str, least: float = 0.9, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, lattices: int = LATTICES) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, vector: str, least: float = 0.9, settings: tuple[int, int, float, int] | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) for each id: the vectors linked directly, the smallest id reached, and whether that is its own.
 
     Links are pairs with a cosine (in doubles) of at least ``least`` that share a cell, or of which one's home is a neighbouring
     cell that the other probes, in one of the tables; none below it is linked. Vectors that are null, zero or hold null or
     non-finite components, and vectors of different lengths, aren't linked. Rows of one id count once, with the smallest vector;
-    null ids are left out; an empty table has no rows. Cells have one size whatever the number of rows, so whether a pair is linked
-    depends on its two vectors alone. Cells with many members are cut into blocks, and all pairs of
-    blocks are compared, so that no task holds a whole hot cell; pairs are counted where they are found and never written out.
+    null ids are left out; an empty table has no rows. settings: (tables, probes, scale, lattices); by default settings_for() the
+    number of vectors, at every size with the same recall.
+
+    The tables go out in rounds of some key rows a vector. A key row has the vector's sketch; in cells of at most about CELL_ROWS
+    members those rows go on that have a sketch near another's, and vectors are fetched for them alone. Larger cells are cut into
+    blocks, and all pairs of blocks are compared, so that no task holds a whole hot cell. Pairs are counted at their first meeting
+    in all tables and never written out.
     """
     scratch = Scratch(df.sparkSession, "near-vectors")
     every = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("x")).groupBy("id").agg(F.min("x").alias("x"))
     sound = every.where(valid(F.col("x")) & (F.aggregate("x", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0)).select("id", "x", F.size("x").alias("dim"))
-    settings = (tables, probes, scale, lattices)
-    rows = sound.mapInArrow(_keys(settings), "key bigint, tab int, probe boolean, id bigint")
-    rows = scratch.put(rows, "keys")
+    sound = scratch.put(sound, "vectors")
+    n = sound.count()
+    settings = settings_for(n) if settings is None else settings
+    tables, each = settings[0], 1 + settings[1]
+    step = max(1, max(ROUND_ROWS // max(n, 1), ROUND_KEYS) // each)
+    found = None
+    for low in range(0, tables, step):
+        links = _round(scratch, sound, settings, range(low, min(low + step, tables)), least)
+        found = links if found is None else found.unionByName(links)
+    links = scratch.put(found.groupBy("id").agg(F.sum("n").alias("n_links")), "links")
+    groups_of = components(scratch, found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    out = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id")).distinct().join(links, "id", "left").join(groups_of.withColumnRenamed("node", "id"), "id", "left")
+    out = out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+
+
+def _round(scratch: Scratch, sound: DataFrame, settings: tuple, tables: range, least: float) -> DataFrame:
+    """(id, n, root) of the links that are met in the cells of some tables."""
+    at = tables.start
+    rows = scratch.put(sound.mapInArrow(_keys(settings, tables), "key bigint, tab int, probe boolean, id bigint, s0 bigint, s1 bigint"), f"keys-{at}")
     # a cell without a second member, or with probes alone, can't link anything
-    sizes = scratch.put(rows.groupBy("key").agg(F.count("*").alias("rows"), F.count(F.when(~F.col("probe"), 1)).alias("homes")).where("rows > 1 and homes > 0"), "sizes")
-    met = rows.join(sizes.select("key", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("blocks")), "key")
+    sizes = scratch.put(rows.groupBy("key").agg(F.count("*").alias("rows"), F.count(F.when(~F.col("probe"), 1)).alias("homes")).where("rows > 1 and homes > 0").select("key", "rows"), f"sizes-{at}")
+    total, most = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
+    met = rows.join(sizes, "key")
+    groups = max(64, int(total) // 50_000)
+    small = met.where(F.col("rows") <= CELL_ROWS).select("key", "tab", "probe", "id", "s0", "s1", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"))
+    live = small.groupBy("g").applyInArrow(_sketched(most_bits(least)), "key bigint, tab int, probe boolean, id bigint").withColumn("blocks", F.lit(1))
+    if most > CELL_ROWS:
+        live = live.unionByName(met.where(F.col("rows") > CELL_ROWS).select("key", "tab", "probe", "id", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("blocks")))
+    live = scratch.put(live, f"live-{at}")
+    scratch.drop(f"keys-{at}", f"sizes-{at}")
     block = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
     # block i meets block j once, in the pair (low, high)
-    met = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = live.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     met = met.withColumn("pair", (low * F.col("blocks") + high).cast("int")).withColumn("side", F.when(F.col("block") > F.col("other"), 1).otherwise(0))
-    groups = max(64, int(sizes.agg(F.coalesce(F.sum(F.col("rows") * F.ceil(F.col("rows") / CELL_ROWS)), F.lit(0))).first()[0]) // 20_000)
+    groups = max(64, int(live.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]) // 20_000)
     met = met.join(sound, "id").select("key", "tab", "probe", "id", "x", "dim", "pair", "side", F.pmod(F.xxhash64("key", "pair"), F.lit(groups)).alias("g"))
-    found = scratch.put(met.groupBy("g").applyInArrow(_verify(settings, least), "id bigint, n bigint, root bigint"), "found")
-    scratch.drop("keys")
-    links = scratch.put(found.groupBy("id").agg(F.sum("n").alias("n_links")), "links")
-    groups_of = components(scratch, found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = every.select("id").join(links, "id", "left").join(groups_of.withColumnRenamed("node", "id"), "id", "left")
-    out = out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    found = scratch.put(met.groupBy("g").applyInArrow(_verify(settings, least), "id bigint, n bigint, root bigint"), f"found-{at}")
+    scratch.drop(f"live-{at}")
+    return found
 
 
 def op5_near_vectors(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -10,33 +10,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark removes the shuffle files of an execution at its end where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, a folder of our own, in local mode only: on a
+    cluster each executor would write to its own disk, so that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         if not jsc.getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
         found = jsc.getCheckpointDir().get()
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables of one operator run. put() writes a table and reads it back, which cuts its lineage; drop() removes it."""
+    """Tables of one operator run. put() writes a table and reads it back, which cuts its lineage; drop() removes it.
+
+    Shuffle files of a written table's plan go as soon as it is written. Tables that the returned DataFrame reads stay in the
+    shared folder, which the cluster cleans; the others are dropped when no later step needs them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def release(self, *names: str) -> None:
-        """Drops tables and lets Spark clean the shuffle files of plans that nothing refers to any more."""
-        self.drop(*names)
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

@@ -254,14 +254,13 @@ def dedup_substrings(df: DataFrame, key: str, text: str = "text", window: int =
     probes = docs.mapInArrow(parts.probes, "bucket int, payload binary")
     hits = scratch.put(probes.groupBy("bucket").applyInArrow(lambda t: parts.hits(t), "grp bigint, kind int, payload binary"), "hits")
     del probes
-    scratch.release()
     same = docs.select("id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha")).where(F.col("sha").isNotNull())
     first = scratch.put(same.groupBy("h", "sha").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "copied")
     copies = same.join(first, ["h", "sha"]).where("id > least").groupBy(grp.alias("grp")).agg(F.to_binary(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: F.lpad(F.hex(i), 16, "0")), ""), F.lit("hex")).alias("payload"))
     answers = hits.unionByName(copies.select("grp", F.lit(-1).alias("kind"), "payload"))
     schema = "grp bigint, id bigint, n_words bigint, n_removed bigint, kept string, text string, bucket int, payload binary"
     one = scratch.put(docs.withColumn("grp", grp).groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda d, a: parts.extend(d, a), schema), "extended")
-    scratch.release("hits")
+    scratch.drop("hits")
     windows = one.where(F.col("bucket").isNotNull()).select("bucket", "grp", "payload")
     least = scratch.put(windows.groupBy("bucket").applyInArrow(lambda t: parts.smallest(t), "grp bigint, payload binary"), "least")
     open_docs = one.where(F.col("text").isNotNull()).select("grp", "id", "text")

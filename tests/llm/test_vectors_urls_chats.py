@@ -111,28 +111,56 @@ def test_near_vectors_recall(spark, monkeypatch, cell):
     assert near_vectors.near_duplicates(df.where("false"), "vec_id", "embedding").count() == 0
 
 
-def test_near_vectors_recall_of_large_tables(spark, monkeypatch):
-    class Settings(Exception):
-        pass
-
-    def stop(settings):
-        raise Settings(settings)
-
-    df = vectors(spark, np.eye(3, 64))
-    monkeypatch.setattr(type(df), "count", lambda self: 77_000_000)
-    monkeypatch.setattr(near_vectors, "_keys", stop)
-    with pytest.raises(Settings) as seen:
-        near_vectors.near_duplicates(df, "vec_id", "embedding")
-    (settings,) = seen.value.args
-    rng = np.random.default_rng(8)
-    a, d = rng.standard_normal((2, 4000, 64))
+def near_pairs(dim, low, high, n, seed):
+    """Unit vectors a and b of which each pair has a cosine between low and high."""
+    rng = np.random.default_rng(seed)
+    a, d = rng.standard_normal((2, n, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     d -= (a * d).sum(axis=1, keepdims=True) * a
     d /= np.linalg.norm(d, axis=1, keepdims=True)
-    c = rng.uniform(0.9, 0.91, (4000, 1))
-    ka, kb = (near_vectors.cell_keys(x, *settings) for x in (a, c * a + np.sqrt(1 - c * c) * d))
+    c = rng.uniform(low, high, (n, 1))
+    return a, c * a + np.sqrt(1 - c * c) * d
+
+
+@pytest.mark.parametrize("rows", [1000, 51_282, 300_000, 2_000_000, 77_000_000])
+def test_near_vectors_recall_at_every_size(rows):
+    """Cells get finer with the rows and tables more, so that the pairs next to the limit are found alike."""
+    settings = near_vectors.settings_for(rows)
+    a, b = near_pairs(64, 0.9, 0.91, 800, 8)
+    ka, kb = (near_vectors.cell_keys(x, *settings) for x in (a, b))
     met = (ka == kb[:, :, :1]).any(axis=(1, 2)) | (kb == ka[:, :, :1]).any(axis=(1, 2))
-    assert met.mean() >= 0.97
+    assert met.mean() >= 0.93
+
+
+def test_keys_and_sketches():
+    a, b = near_pairs(64, 0.9, 0.9, 3000, 3)
+    settings = near_vectors.settings_for(51_282)
+    one = np.concatenate([near_vectors.cell_keys(a[i : i + 1], *settings) for i in range(50)])
+    assert (one == near_vectors.cell_keys(a, *settings)[:50]).all()
+    assert (near_vectors.cell_keys(a[:9], range(2, 4), *settings[1:]) == near_vectors.cell_keys(a[:9], *settings)[:, 2:4]).all()
+    differ = np.bitwise_count((near_vectors.sketches(a) ^ near_vectors.sketches(b)).view(np.uint64)).sum(axis=1)
+    assert differ.max() <= near_vectors.most_bits(0.9) < 48
+    for lattices, scale, found, _ in near_vectors.CELLS[:3]:
+        ka, kb = (near_vectors.cell_keys(x, 1, 4, scale, lattices) for x in (a, b))
+        assert ((ka == kb[:, :, :1]).any(axis=(1, 2)) | (kb == ka[:, :, :1]).any(axis=(1, 2))).mean() > found - 0.03
+
+
+def test_near_vectors_in_64_dimensions(spark, monkeypatch):
+    """Brute force over random vectors, pairs next to the limit and a close group; in rounds of one table."""
+    monkeypatch.setattr(near_vectors, "ROUND_ROWS", 0)
+    monkeypatch.setattr(near_vectors, "ROUND_KEYS", 5)
+    rng = np.random.default_rng(2)
+    a, b = near_pairs(64, 0.9, 0.91, 300, 4)
+    close = a[0] + rng.standard_normal((60, 64)) * 0.02
+    x = np.concatenate((a, b, close, rng.standard_normal((300, 64)))).astype(np.float32)
+    got = {r.vec_id: r for r in near_vectors.near_duplicates(vectors(spark, x), "vec_id", "embedding").collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    true = (y @ y.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= true).all() and found[600:660].min() >= 59
+    plain = np.r_[1:300, 301:600]
+    assert found[plain].sum() >= 0.9 * true[plain].sum() > 500
 
 
 def test_url_rules(spark):
