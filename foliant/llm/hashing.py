@@ -91,3 +91,15 @@ class Words:
         np.cumsum(self.hash * powers[:n], out=total[1:])
         back = _powers(pow(WORD_BASE, -1, 2**64), n - k + 1)
         return mix((total[k:] - total[: n - k + 1]) * back + U(k))
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs, so that Python and SQL deal rows alike. The constants are fixed values of XXH64, the seed is Spark's."""
+    p1, p2, p3, p4, p5 = (U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: v << U(n) | v >> U(64 - n)
+    x = np.ascontiguousarray(x, np.int64).view(np.uint64)
+    h = np.full(len(x), 42 + 8, np.uint64) + p5
+    h = turn(h ^ turn(x * p2, 31) * p1, 27) * p1 + p4
+    h = (h ^ h >> U(33)) * p2
+    h = (h ^ h >> U(29)) * p3
+    return (h ^ h >> U(32)).view(np.int64)

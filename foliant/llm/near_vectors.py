@@ -334,7 +334,7 @@ def _round(scratch: Scratch, sound: DataFrame, settings: tuple, tables: range, l
     met = live.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     met = met.withColumn("pair", (low * F.col("blocks") + high).cast("int")).withColumn("side", F.when(F.col("block") > F.col("other"), 1).otherwise(0))
-    groups = max(64, int(live.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]) // 20_000)
+    groups = max(256, int(live.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]) // 20_000)
     met = met.join(sound, "id").select("key", "tab", "probe", "id", "x", "dim", "pair", "side", F.pmod(F.xxhash64("key", "pair"), F.lit(groups)).alias("g"))
     found = scratch.put(met.groupBy("g").applyInArrow(_verify(settings, least), "id bigint, n bigint, root bigint"), f"found-{at}")
     scratch.drop(f"live-{at}")

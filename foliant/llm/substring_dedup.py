@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.hashing import U, Words, text_slices
+from foliant.llm.hashing import U, Words, spark_hash, text_slices
 from foliant.llm.packed import pack_arrays, runs_of, unpack_arrays
 from foliant.llm.scratch import Scratch
 
 #: Bytes of text that a bucket of anchors or a group of documents stands for, about; their numbers follow the input.
 BUCKET_BYTES, GROUP_BYTES, LEAST_BUCKETS = 8 << 20, 4 << 20, 64
+#: Bytes of marks that a task takes of one bucket, about; a bucket with more is dealt over several tasks.
+BUCKET_LIMIT = 32 << 20
 
 
 def _digest(data: np.ndarray) -> int:
@@ -27,8 +29,8 @@ def _joined(data: np.ndarray) -> bytes:
 
 
 def _groups_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    """A document's group; the same in Python and, by group_column(), in SQL."""
-    return (ids % groups).astype(np.int64)
+    """A document's group; in SQL pmod(xxhash64(id), groups)."""
+    return spark_hash(ids) % groups
 
 
 class Anchors:
@@ -48,6 +50,7 @@ class Anchors:
 
     def probes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each bucket the marks of all rolling blocks of a run of documents; the lowest bit says whether it is an indexed block.
+        salt: a hash of the run, by which the rows of a large bucket are dealt.
 
         Of equal texts in a task only those go whose id is smaller than all before, so that the smallest of all does; the others
         are told by digest.
@@ -79,21 +82,59 @@ class Anchors:
                     docs, counts = np.unique(row[part], return_counts=True)
                     keys.append(k)
                     blobs.append(pack_arrays(ids[docs], digests[docs], counts.astype("<u4"), marks[part]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "payload"])
+                salt = int(spark_hash(ids[:1])[0] & 0x7FFFFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([salt] * len(keys), pa.int64()), pa.array([len(x) for x in blobs], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "salt", "bytes", "payload"])
 
-    def hits(self, table: pa.Table) -> pa.Table:
-        """Of one bucket: the blocks that are indexed from one text and probed from another, for each group of documents that hold them."""
-        k, parts = table["bucket"][0].as_py(), [unpack_arrays(x, "<i8", "<i8", "<u4", "<u4") for x in table["payload"].to_pylist()]
+    @staticmethod
+    def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, digest, mark) of all payloads, by mark."""
+        parts = [unpack_arrays(x, "<i8", "<i8", "<u4", "<u4") for x in table["payload"].to_pylist()]
         counts = np.concatenate([p[2] for p in parts])
         ids, digests, marks = np.repeat(np.concatenate([p[0] for p in parts]), counts), np.repeat(np.concatenate([p[1] for p in parts]), counts), np.concatenate([p[3] for p in parts])
         order = np.argsort(marks >> np.uint32(1))
-        ids, digests, marks = ids[order], digests[order], marks[order]
+        return ids[order], digests[order], marks[order]
+
+    @staticmethod
+    def _reduced(low: np.ndarray, high: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of entries by mark: where each mark begins, its smallest and largest digest, and the mark with the bit that any entry has."""
         plain = marks >> np.uint32(1)
         start = np.flatnonzero(np.concatenate(([True], plain[1:] != plain[:-1])))
-        hit = np.bitwise_or.reduceat(marks & np.uint32(1), start) == 1
-        hit &= np.minimum.reduceat(digests, start) != np.maximum.reduceat(digests, start)
-        use = np.repeat(hit, np.diff(np.append(start, len(plain))))
-        ids, plain = ids[use], plain[use]
+        return start, np.minimum.reduceat(low, start), np.maximum.reduceat(high, start), np.bitwise_or.reduceat(marks, start)
+
+    def summary(self, table: pa.Table) -> pa.Table:
+        """Of a part of a large bucket: each mark once, with its smallest and largest digest."""
+        _, digests, marks = self._entries(table)
+        _, low, high, once = self._reduced(digests, digests, marks)
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "payload": pa.array([pack_arrays(once, low, high)], pa.binary())})
+
+    def decide(self, table: pa.Table) -> pa.Table:
+        """Of the summaries of a large bucket: the marks that are hit."""
+        parts = [unpack_arrays(x, "<u4", "<i8", "<i8") for x in table["payload"].to_pylist()]
+        marks, low, high = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.argsort(marks >> np.uint32(1))
+        _, low, high, once = self._reduced(low[order], high[order], marks[order])
+        hit = once[(once & np.uint32(1) == 1) & (low != high)] >> np.uint32(1)
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "hit": pa.array([hit.tobytes()], pa.binary())})
+
+    def hits_of_part(self, table: pa.Table, decided: pa.Table) -> pa.Table:
+        """As hits(), of a part of a large bucket whose marks are decided."""
+        if not len(table) or not len(decided):
+            return self._answer(0, np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        ids, _, marks = self._entries(table)
+        hit = np.frombuffer(decided["hit"][0].as_py(), "<u4")
+        plain = marks >> np.uint32(1)
+        use = np.isin(plain, hit)
+        return self._answer(table["bucket"][0].as_py(), ids[use], plain[use])
+
+    def hits(self, table: pa.Table) -> pa.Table:
+        """Of one bucket: the blocks that are indexed from one text and probed from another, for each group of documents that hold them."""
+        ids, digests, marks = self._entries(table)
+        start, low, high, once = self._reduced(digests, digests, marks)
+        use = np.repeat((once & np.uint32(1) == 1) & (low != high), np.diff(np.append(start, len(marks))))
+        return self._answer(table["bucket"][0].as_py(), ids[use], marks[use] >> np.uint32(1))
+
+    def _answer(self, bucket: int, ids: np.ndarray, plain: np.ndarray) -> pa.Table:
+        """For each group its documents and their marks that are hit."""
         group = _groups_of(ids, self.groups)
         order = np.lexsort((plain, ids, group))
         ids, plain, group = ids[order], plain[order], group[order]
@@ -102,7 +143,7 @@ class Anchors:
             docs, n = np.unique(ids[part], return_counts=True)
             out[0].append(g)
             out[1].append(pack_arrays(docs, n.astype("<u4"), plain[part].astype("<u4")))
-        return pa.table({"grp": pa.array(out[0], pa.int64()), "kind": pa.array([k] * len(out[0]), pa.int32()), "payload": pa.array(out[1], pa.binary())})
+        return pa.table({"grp": pa.array(out[0], pa.int64()), "kind": pa.array([bucket] * len(out[0]), pa.int32()), "payload": pa.array(out[1], pa.binary())})
 
     def _documents(self, docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Words]]:
         docs = docs.combine_chunks()
@@ -238,9 +279,11 @@ def dedup_substrings(df: DataFrame, key: str, text: str = "text", window: int =
     Blocks of half a window, one after the other from each text's start, are the index. Every rolling block of every text probes
     it; any repeat of a whole window holds an indexed block of either text, so none is missed. Around hits, fingerprints of
     whole windows decide, each with its smallest document; runs of repeated windows are the maximal repeats. Marks, hits and
-    fingerprints go through shuffles as packed arrays for each bucket, and a group of documents sends a window once however many
-    of its documents hold it, so what a hot passage gathers grows with the number of groups and not of its copies. Copies of a
-    whole text are told by a digest and go to their smallest key. Fingerprints have 64 bits.
+    fingerprints go through shuffles as packed arrays for each bucket. A passage that many documents hold sends its marks with each
+    of them; a bucket of more than BUCKET_LIMIT bytes is dealt over tasks that send each mark once to be decided. A group of
+    documents (dealt by a hash of the key) sends a window once however many of its documents hold it, so a bucket of windows grows
+    with the number of groups, one entry for each 4 MB of text at most. Copies of a whole text are told by a digest and go to their
+    smallest key. Fingerprints have 64 bits.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "substring-dedup")
@@ -249,11 +292,24 @@ def dedup_substrings(df: DataFrame, key: str, text: str = "text", window: int =
     buckets = 1 << max(LEAST_BUCKETS.bit_length() - 1, (int(size) // BUCKET_BYTES).bit_length())
     groups = max(LEAST_BUCKETS, int(size) // GROUP_BYTES)
     parts = Anchors(window, buckets, groups, output)
-    grp = F.pmod("id", F.lit(groups)).cast("bigint")
-
-    probes = docs.mapInArrow(parts.probes, "bucket int, payload binary")
-    hits = scratch.put(probes.groupBy("bucket").applyInArrow(lambda t: parts.hits(t), "grp bigint, kind int, payload binary"), "hits")
-    del probes
+    grp = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("bigint")
+
+    probes = scratch.put(docs.mapInArrow(parts.probes, "bucket int, salt bigint, bytes bigint, payload binary"), "probes")
+    answer = "grp bigint, kind int, payload binary"
+    large = probes.groupBy("bucket").agg(F.sum("bytes").alias("b")).where(F.col("b") > BUCKET_LIMIT).select("bucket", F.ceil(2 * F.col("b") / BUCKET_LIMIT).cast("bigint").alias("tasks"))
+    large = scratch.put(large, "large")
+    if large.isEmpty():
+        hits = probes.groupBy("bucket").applyInArrow(lambda t: parts.hits(t), answer)
+    else:
+        hits = probes.join(large, "bucket", "left_anti").groupBy("bucket").applyInArrow(lambda t: parts.hits(t), answer)
+        dealt = probes.join(large, "bucket").withColumn("task", F.pmod("salt", "tasks"))
+        brief = dealt.groupBy("bucket", "task").applyInArrow(lambda t: parts.summary(t), "bucket int, payload binary")
+        decided = brief.groupBy("bucket").applyInArrow(lambda t: parts.decide(t), "bucket int, hit binary")
+        decided = decided.join(large, "bucket").withColumn("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)))
+        split = dealt.groupBy("bucket", "task").cogroup(decided.groupBy("bucket", "task")).applyInArrow(lambda t, d: parts.hits_of_part(t, d), answer)
+        hits = hits.unionByName(split)
+    hits = scratch.put(hits, "hits")
+    scratch.drop("probes", "large")
     same = docs.select("id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha")).where(F.col("sha").isNotNull())
     first = scratch.put(same.groupBy("h", "sha").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "copied")
     copies = same.join(first, ["h", "sha"]).where("id > least").groupBy(grp.alias("grp")).agg(F.to_binary(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: F.lpad(F.hex(i), 16, "0")), ""), F.lit("hex")).alias("payload"))

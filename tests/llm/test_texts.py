@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliant.llm import bpe, jaccard_join, language_id, packing, sharding, substring_dedup
+from foliant.llm.hashing import spark_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, bucket int, size int"
@@ -142,6 +143,35 @@ def test_substrings_are_brute_force(spark, window):
     assert all(kept[i].kept == (k if m else (texts[i] or "")) for i, (n, m, k) in want.items())
 
 
+def test_spark_hash(spark):
+    x = [0, 1, -1, 64, 2**63 - 1, -(2**63), 123456789]
+    got = [r.h for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v bigint").orderBy("i").select(F.xxhash64("v").alias("h")).collect()]
+    assert got == spark_hash(np.array(x, np.int64)).tolist()
+
+
+def test_substrings_with_hot_passage(spark, monkeypatch):
+    """A passage in every document, ids that are multiples of 64, and buckets that are dealt over tasks."""
+    rng = random.Random(5)
+    say = lambda n: [f"v{rng.randrange(4000)}" for _ in range(n)]
+    passage = say(60)
+    texts = [" ".join(say(rng.randrange(30)) + passage + say(rng.randrange(30))) for _ in range(150)] + corpus()
+    df = table(spark, texts).withColumn("doc_id", F.col("doc_id") * 64)
+    groups = substring_dedup._groups_of(np.arange(len(texts)) * 64, 64)
+    assert len(set(groups.tolist())) > 40
+    want = {64 * i: (n, m, k if m else (texts[i] or "")) for i, (n, m, k) in brute_substrings(texts, 50).items()}
+    for limit in (substring_dedup.BUCKET_LIMIT, 300):
+        monkeypatch.setattr(substring_dedup, "BUCKET_LIMIT", limit)
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup_substrings(df, "doc_id").collect()} == want
+
+
+def test_substrings_of_repeated_rows(spark):
+    """Rows of one key are judged each alone against smaller keys."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, a), (1, b), (2, a), (2, b), (2, "short"), (None, a)]
+    got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id").collect())
+    assert got == [(1, 0), (1, 0), (1, 0), (2, 0), (2, 60), (2, 60)]
+
+
 def test_substrings_odd_tables(spark):
     df = table(spark, corpus())
     assert substring_dedup.dedup_substrings(df.where("false"), "doc_id").count() == 0
