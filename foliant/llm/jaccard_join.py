@@ -9,18 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.hashing import U, Words, mix, text_slices
+from foliant.llm.hashing import U, Words, distinct, mix, text_slices
 from foliant.llm.packed import pack_arrays, runs_of, unpack_arrays
 from foliant.llm.scratch import Scratch, components
 
 #: Bits of a signature, children of a tree's node, members of a block that meet in one task at most.
-BITS, FAN, BLOCK = 4096, 8, 2048
+BITS, FAN, BLOCK = 4096, 8, 1024
 #: A prefix is longer than one shared shingle needs, by one in SPARE of its set.
 SPARE = 4
 #: Sets in one row of a list, at most; longer lists have several rows.
 ROW = 1 << 16
-#: Rows of the sets that are compared, up to which they are broadcast to the texts (some 100 bytes each); beyond, both are shuffled.
-BROADCAST_ROWS = 300_000
 #: Bytes of text that a bucket of shingles stands for, about; buckets at least.
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
 #: Documents of the sample that names the frequent shingles, about, and how many of its texts make one frequent.
@@ -32,7 +30,7 @@ def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
     whole = words.windows(size)
     for n, first in zip(words.count.tolist(), words.first.tolist(), strict=False):
         if n >= size:
-            yield np.unique(whole[first : first + n - size + 1])
+            yield distinct(whole[first : first + n - size + 1])
         elif n:
             # a base of its own for each length, so that a short text never equals a shingle
             h = words.hash[first : first + n]
@@ -66,33 +64,48 @@ class Similarity:
         return -(-self.percent * n // 100) // SPARE + 1
 
 
-def signature(s: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """A bitmap of the set: a member sets the bit of its lowest digits."""
-    out = np.zeros(bits, np.uint8)
-    out[(s & U(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").view(np.uint64)
+def signatures(sets: list[np.ndarray], bits: int = BITS) -> np.ndarray:
+    """A bitmap of each set: a member sets the bit of its lowest digits."""
+    out = np.zeros((len(sets), bits), np.uint8)
+    if sets:
+        out[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), (np.concatenate(sets) & U(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
 
 class SignatureTree:
     """Nodes over blocks of FAN neighbours hold the OR of their members' bitmaps, the range of their sizes, the largest excess (members
-    that share a bit with another) and the range of their components.
+    that share a bit with another), and the ranges of their members' components and sides.
 
     Two members of nodes A and B share at most popcount(A & B) + min(excess A, excess B) shingles, and no more than the smaller has.
     """
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray, group: np.ndarray):
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, side: np.ndarray | None = None):
         excess = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        self.levels = [(maps, sizes, sizes, excess, group, group)]
+        side = np.zeros(len(sizes), np.int64) if side is None else side
+        self.across = side.max(initial=0) > 0
+        self.levels = [(maps, sizes, sizes, excess, side, side)]
         while len(self.levels[-1][0]) > 1:
-            m, low, high, e, g0, g1 = self.levels[-1]
+            m, low, high, e, s0, s1 = self.levels[-1]
             at = np.arange(0, len(m), FAN)
-            self.levels.append((np.bitwise_or.reduceat(m, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(e, at), np.minimum.reduceat(g0, at), np.maximum.reduceat(g1, at)))
+            self.levels.append((np.bitwise_or.reduceat(m, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(e, at), np.minimum.reduceat(s0, at), np.maximum.reduceat(s1, at)))
+        self.regroup(np.arange(len(sizes)))
+
+    def regroup(self, group: np.ndarray) -> None:
+        """The components of the members, as far as they are known now."""
+        self.groups = [(group, group)]
+        for level in self.levels[:-1]:
+            at = np.arange(0, len(level[0]), FAN)
+            low, high = self.groups[-1]
+            self.groups.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
     def _live(self, level: int, a: np.ndarray, b: np.ndarray, similar: Similarity) -> np.ndarray:
-        maps, low, high, excess, g0, g1 = self.levels[level]
+        maps, low, high, excess, s0, s1 = self.levels[level]
+        g0, g1 = self.groups[level]
         live = np.minimum(high[a], high[b]) * 100 >= similar.percent * np.maximum(low[a], low[b])
-        # all members of both already in one component: nothing to find
+        # all members of both already in one component, or on one side: nothing to find
         live &= ~((g0[a] == g1[a]) & (g0[b] == g1[b]) & (g0[a] == g0[b]))
+        if self.across:
+            live &= ~((s0[a] == s1[a]) & (s0[b] == s1[b]) & (s0[a] == s0[b]))
         at = np.flatnonzero(live)
         for k in range(0, len(at), 8192):
             i = at[k : k + 8192]
@@ -102,7 +115,8 @@ class SignatureTree:
         return live
 
     def pairs(self, similar: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of members that no node rules out, by dual traversal from the root; the work list goes depth first in chunks."""
+        """Pairs of members that no node rules out, by dual traversal from the root. A node meets itself before its neighbours, and
+        the work list goes depth first in chunks, so that what is united between two chunks rules out later ones."""
         top = len(self.levels) - 1
         work = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         steps = np.arange(FAN)
@@ -115,12 +129,13 @@ class SignatureTree:
                     yield a, b
                 continue
             n = len(self.levels[level - 1][0])
-            for k in range(0, len(a), 2048):
-                x = (a[k : k + 2048, None, None] * FAN + steps[None, :, None] + np.zeros((1, 1, FAN), np.int64)).ravel()
-                y = (b[k : k + 2048, None, None] * FAN + steps[None, None, :] + np.zeros((1, FAN, 1), np.int64)).ravel()
+            for k in range(0, len(a), 256):
+                x = (a[k : k + 256, None, None] * FAN + steps[None, :, None] + np.zeros((1, 1, FAN), np.int64)).ravel()
+                y = (b[k : k + 256, None, None] * FAN + steps[None, None, :] + np.zeros((1, FAN, 1), np.int64)).ravel()
                 fit = (x < n) & (y < n) & ((x < y) if level == 1 else (x <= y))
-                if fit.any():
-                    work.append((level - 1, x[fit], y[fit]))
+                for part in (fit & (x != y), fit & (x == y)):
+                    if part.any():
+                        work.append((level - 1, x[part], y[part]))
 
 
 def _find(root: list[int], i: int) -> int:
@@ -140,43 +155,31 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def join_block(sets: list[np.ndarray], similar: Similarity, side: np.ndarray) -> np.ndarray:
-    """The component of each set of a block, as the place of one member: pairs are verified exactly unless already in one component.
+    """The component of each set of a block, as the place of one member.
 
-    side: where it has two values, only pairs across are tried. Neighbours in the order of their smallest shingles come first; then
-    a signature tree, whose nodes know which components they hold, leads to all other pairs that may be linked.
+    The signature tree's dual traversal names the pairs that its bounds can't rule out; those whose sets aren't in one component yet are
+    verified on the sets. As components grow, the nodes learn of them, and pairs of nodes that are one component are left out.
+    side: where it has two values, only pairs across are tried.
     """
-    n, across = len(sets), side.max() > 0
+    n = len(sets)
     root = list(range(n))
-
-    def join(i: int, j: int) -> None:
-        if across and side[i] == side[j]:
-            return
-        a, b = _find(root, i), _find(root, j)
-        if a != b:
-            x, y = len(sets[i]), len(sets[j])
-            if min(x, y) * 100 >= similar.percent * max(x, y) and overlap(sets[i], sets[j]) >= similar.least(x, y):
-                root[max(a, b)] = min(a, b)
-
-    if n > 2:
-        order = sorted(range(n), key=lambda i: sets[i][:4].tolist())
-        for i, j in zip(order, order[1:], strict=False):
-            join(i, j)
-        # the set that the first round linked most often tries all others: most of a group of near copies ends in one component
-        group = [_find(root, i) for i in range(n)]
-        middle = max(set(group), key=group.count)
-        for i in range(n):
-            join(middle, i)
-    else:
-        join(0, 1)
-    group = np.array([_find(root, i) for i in range(n)])
-    if n > 2 and (group != group[0]).any():
-        # sizes in classes of 4 : 3, and likes together within each, keep both bounds of a node tight
-        sizes = np.array([len(s) for s in sets])
-        order = np.lexsort((group, np.floor(np.log(np.maximum(sizes, 1)) / np.log(4 / 3))))
-        tree = SignatureTree(np.stack([signature(sets[i]) for i in order]), sizes[order], group[order])
-        for a, b in tree.pairs(similar):
-            for i, j in zip(order[a].tolist(), order[b].tolist(), strict=True):
-                join(i, j)
+    # sizes in classes of 4 : 3, and likes together within each (by their smallest shingles), keep the bounds of a node tight
+    sizes = np.array([len(s) for s in sets])
+    heads = np.array([np.resize(s, 4) if len(s) else np.zeros(4, np.uint64) for s in sets], np.uint64).reshape(n, 4)
+    order = np.lexsort((*heads.T[::-1], np.floor(np.log(np.maximum(sizes, 1)) / np.log(4 / 3))))
+    tree = SignatureTree(signatures([sets[i] for i in order]), sizes[order], side[order])
+    united = known = 0
+    for a, b in tree.pairs(similar):
+        for x, y in zip(order[a].tolist(), order[b].tolist(), strict=True):
+            if tree.across and side[x] == side[y]:
+                continue
+            i, j = _find(root, x), _find(root, y)
+            if i != j and min(sizes[x], sizes[y]) * 100 >= similar.percent * max(sizes[x], sizes[y]) and overlap(sets[x], sets[y]) >= similar.least(sizes[x], sizes[y]):
+                root[max(i, j)] = min(i, j)
+                united += 1
+        if united > known + n // 64:
+            known = united
+            tree.regroup(np.array([_find(root, i) for i in order]))
     return np.array([_find(root, i) for i in range(n)])
 
 
@@ -339,34 +342,32 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     lists = one.where("bucket >= 0").select("bucket", "payload").groupBy("bucket").applyInArrow(lambda t: work.blocks(t), "list bigint, part bigint, shared bigint, sids binary")
     lists = lists.groupBy("list", "part").agg(F.sum("shared").alias("shared"), F.first("sids").alias("sids")).select("list", "shared", "sids")
     member = scratch.put(lists.mapInArrow(work.members, "list bigint, shared bigint, sid bigint"), "met")
-    del lists
     scratch.drop("prefixes")
 
     # sets that share too few of their first shingles with any other have no link
-    firsts = scratch.put(classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n")), "firsts")
-    shares = scratch.put(member.groupBy("sid").agg(F.sum("shared").alias("shared")), "shares")
+    firsts = classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    shares = member.groupBy("sid").agg(F.sum("shared").alias("shared"))
     active = scratch.put(firsts.join(shares, "sid").where(F.col("shared") >= F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / SPARE) + 1).select("sid", "id"), "active")
     member = scratch.put(member.join(active.select("sid"), "sid").select("list", "shared", "sid"), "members")
+    scratch.drop("met")
     first = scratch.put(member.groupBy("list").agg(F.min("sid").alias("first"), F.count("*").alias("size")).where("size > 1").select("list", "first"), "first")
     follows = member.join(first, "list").groupBy("sid", "first").agg(F.sum("shared").alias("shared")).groupBy("sid").agg(F.max(F.struct("shared", "first")).alias("m"))
-    leader = scratch.put(follows.select("sid", F.col("m.first").alias("leader")), "leader")
+    leader = follows.select("sid", F.col("m.first").alias("leader"))
     votes = member.join(first.select("list"), "list").join(leader, "sid").groupBy("list", "leader").agg(F.count("*").alias("votes")).groupBy("list").agg(F.max(F.struct("votes", "leader")).alias("m"))
-    votes = scratch.put(votes.select("list", F.col("m.leader").alias("cluster")), "votes")
-    placed = scratch.put(member.join(votes, "list").select("cluster", "sid").distinct(), "placed")
-    size = scratch.put(placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces")), "sizes")
-    places = scratch.put(placed.join(size, "cluster").groupBy("sid").agg(F.collect_list(F.struct("cluster", "pieces")).alias("places")), "places")
-    shown = scratch.put(places.join(active, "sid").select("id", "sid", "places"), "shown")
+    placed = scratch.put(member.join(votes.select("list", F.col("m.leader").alias("cluster")), "list").select("cluster", "sid").distinct(), "placed")
+    pieces = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
+    places = placed.join(pieces, "cluster").groupBy("sid").agg(F.collect_list(F.struct("cluster", "pieces")).alias("places"))
     kind = "array<struct<cluster:bigint,pieces:int>>"
-    sets = docs.join(F.broadcast(shown) if shown.count() <= BROADCAST_ROWS else shown, "id").select("sid", "text", "places").mapInArrow(work.sets, f"sid bigint, places {kind}, members binary")
+    shown = scratch.put(places.join(active, "sid").select("id", "sid", "places"), "shown")
+    sets = docs.join(shown, "id").select("sid", "text", "places").mapInArrow(work.sets, f"sid bigint, places {kind}, members binary")
     sets = scratch.put(sets, "sets")
-    scratch.drop("met", "firsts", "shares", "members", "first", "active", "leader", "votes", "placed", "sizes", "places", "shown")
+    scratch.drop("members", "first", "active", "placed", "shown")
     near = sets.select("sid", "members", F.inline("places"))
     piece = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("pieces")).cast("int")
     near = near.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     block = F.xxhash64("cluster", F.least("piece", "other"), F.greatest("piece", "other"))
     near = near.select(F.pmod(block, F.lit(groups)).alias("g"), block.alias("block"), "sid", F.when(F.col("piece") > F.col("other"), 1).otherwise(0).alias("side"), "members")
     links = scratch.put(near.groupBy("g").applyInArrow(lambda t: work.join(t), "a bigint, b bigint"), "links")
-    del near
     scratch.drop("sets")
     label = components(scratch, links, "linked")
 

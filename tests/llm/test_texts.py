@@ -113,14 +113,41 @@ def test_signature_tree_misses_nothing():
         for k in range(8):
             keep = b[rng.random(len(b)) > 0.04 * k]
             sets.append(np.unique(np.concatenate((keep, rng.integers(1, 2**63, k, dtype=np.uint64)))))
-    maps, sizes = np.stack([jaccard_join.signature(s) for s in sets]), np.array([len(s) for s in sets])
+    maps, sizes = jaccard_join.signatures(sets), np.array([len(s) for s in sets])
     order = np.argsort(sizes)
-    tree = jaccard_join.SignatureTree(maps[order], sizes[order], np.arange(len(sets)))
+    tree = jaccard_join.SignatureTree(maps[order], sizes[order])
     found = {tuple(sorted((int(order[a]), int(order[b])))) for x, y in tree.pairs(similar) for a, b in zip(x, y, strict=True)}
     links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
     assert links and links <= found and len(found) < len(sets) * (len(sets) - 1) // 2
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_block_join_is_brute_force(across, monkeypatch):
+    """All links come from the traversal; a large group of near copies needs few comparisons."""
+    rng = np.random.default_rng(6)
+    similar = jaccard_join.Similarity(75)
+    sets = []
+    for n in (5, 30, 200):
+        for _ in range(12):
+            b = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+            sets += [np.unique(np.concatenate((b[rng.random(len(b)) > 0.08], rng.integers(1, 2**63, n // 20, dtype=np.uint64)))) for _ in range(6)]
+    near = np.unique(rng.integers(1, 2**63, 150, dtype=np.uint64))
+    sets += [np.delete(near, i % 150) for i in range(300)]
+    sets = [s for s in sets if len(s)]
+    side = rng.integers(0, 2, len(sets)) if across else np.zeros(len(sets), np.int64)
+    compared = []
+    monkeypatch.setattr(jaccard_join, "overlap", lambda a, b, f=jaccard_join.overlap: compared.append(1) or f(a, b))
+    got = jaccard_join.join_block(sets, similar, side)
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if (not across or side[i] != side[j]) and 100 * len(np.intersect1d(sets[i], sets[j], True)) >= 75 * len(np.union1d(sets[i], sets[j])):
+                a, b = jaccard_join._find(root, i), jaccard_join._find(root, j)
+                root[max(a, b)] = min(a, b)
+    assert got.tolist() == [jaccard_join._find(root, i) for i in range(len(sets))]
+    assert len(compared) < 12 * len(sets)
+
+
 def brute_substrings(texts, window):
     words, first, out = [WORD.findall(t or "") for t in texts], {}, {}
     for i, w in enumerate(words):
