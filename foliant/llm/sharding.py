@@ -51,24 +51,25 @@ def shard_rows(df: DataFrame, key: str, tie: list[str], shards: int = 24, vnodes
 
     The ring has equal slices of the key's hash; a null key hashes like a constant. Only the rows per slice reach the driver (at
     most ``slices`` numbers), and the plan that comes back is as small, so that it is broadcast whatever the table's size. Rows
-    rank in their slice by hash, key and the columns ``tie``, so equal rows get neighbouring slots. An empty table stays empty.
-    Columns of the names shard and slot are replaced; those that begin with ``_ring_`` or ``p_`` are reserved.
+    rank in their slice by hash, key and the columns ``tie``, so equal rows get neighbouring slots; all rows of one key (null is one)
+    share a slice, and a slice is sorted in one task. An empty table stays empty. Columns of the names shard and slot are replaced;
+    all other names are free.
     """
     spark = df.sparkSession
     bits = slices.bit_length() - 1
     if 1 << bits != slices:
         raise ValueError("slices must be a power of two")
-    place = F.xxhash64(F.col(key))
-    at = F.shiftrightunsigned(place, 64 - bits).cast("int")
-    counts = {r[0]: r[1] for r in df.groupBy(at.alias("s")).count().collect()}
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    row = lambda name: F.col("row").getField(name)
+    held = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.xxhash64(F.col(f"`{key}`")).alias("place"))
+    held = held.withColumn("slice", F.shiftrightunsigned("place", 64 - bits).cast("int"))
+    counts = {r[0]: r[1] for r in held.groupBy("slice").count().collect()}
     plan = json.dumps(bounded_plan(counts, shards, vnodes, slices))
     parts = spark.range(1).select(F.inline(F.from_json(F.lit(plan), "array<struct<p_slice int, p_from bigint, p_to bigint, p_shard int, p_slot bigint>>")))
-    ranked = df.drop("shard", "slot").withColumns({"_ring_slice": at, "_ring_place": place})
-    rank = F.row_number().over(Window.partitionBy("_ring_slice").orderBy("_ring_place", key, *tie)) - 1
-    ranked = ranked.withColumn("_ring_rank", rank.cast("long"))
-    on = (F.col("_ring_slice") == F.col("p_slice")) & (F.col("_ring_rank") >= F.col("p_from")) & (F.col("_ring_rank") < F.col("p_to"))
-    out = ranked.join(F.broadcast(parts), on)
-    return out.withColumns({"shard": F.col("p_shard"), "slot": F.col("p_slot") + F.col("_ring_rank") - F.col("p_from")}).drop("_ring_slice", "_ring_place", "_ring_rank", "p_slice", "p_from", "p_to", "p_shard", "p_slot")
+    rank = F.row_number().over(Window.partitionBy("slice").orderBy("place", row(key), *map(row, tie))) - 1
+    ranked = held.withColumn("rank", rank.cast("long"))
+    on = (F.col("slice") == F.col("p_slice")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to"))
+    return ranked.join(F.broadcast(parts), on).select("row.*", F.col("p_shard").alias("shard"), (F.col("p_slot") + F.col("rank") - F.col("p_from")).alias("slot"))
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.hashing import U, Words, spark_hash, text_slices
@@ -24,6 +25,16 @@ def _digest(data: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(data.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def origin_of(text: Column) -> Column:
+    """The hash by which a row's text is told from others of its key; in Python _origin()."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _origin(data: np.ndarray) -> int:
+    h = xxhash.xxh64_intdigest(data.tobytes(), 42)  # Spark's seed
+    return h - (h >> 63 << 64)
+
+
 def _joined(data: np.ndarray) -> bytes:
     return b" ".join(data.tobytes().split())
 
@@ -161,20 +172,20 @@ class Anchors:
     def extend(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
         """Of one group: the result of documents without hits and of copies; of the others the text, and the fingerprints of all
         windows around a hit with the smallest document of the group that has them, by bucket."""
-        copies = [np.zeros(0, np.int64)]
+        copies = [np.zeros((0, 2), np.int64)]
         hit_ids, hit_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for kind, payload in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist(), strict=True):
             if kind < 0:
-                copies.append(np.frombuffer(payload, ">i8").astype(np.int64))
+                copies.append(np.frombuffer(payload, ">i8").astype(np.int64).reshape(-1, 2))
             else:
                 d, n, marks = unpack_arrays(payload, "<i8", "<u4", "<u4")
                 hit_ids.append(np.repeat(d, n))
                 hit_keys.append(U(kind) << U(31) | marks.astype(np.uint64))
-        copied = set(np.concatenate(copies).tolist())
+        copied = set(map(tuple, np.concatenate(copies).tolist()))
         hit_id, hit_key = np.concatenate(hit_ids), np.concatenate(hit_keys)
         order = np.argsort(hit_id, kind="stable")
         hit_id, hit_key = hit_id[order], hit_key[order]
-        out: dict[str, list] = {n: [] for n in ("id", "n_words", "n_removed", "kept", "text", "bucket", "payload")}
+        out: dict[str, list] = {n: [] for n in ("id", "origin", "n_words", "n_removed", "kept", "text", "bucket", "payload")}
 
         def row(**given: object) -> None:
             for n, column in out.items():
@@ -186,11 +197,11 @@ class Anchors:
             whole = words.windows(self.window)
             for i, doc in enumerate(ids.tolist()):
                 own, n, first = data[offsets[i] : offsets[i + 1]], int(words.count[i]), int(words.first[i])
-                a, b = np.searchsorted(hit_id, doc, "left"), np.searchsorted(hit_id, doc, "right")
-                if n >= self.window and doc in copied:
-                    row(id=doc, n_words=n, n_removed=n, kept=self._kept(own, []))
+                a, b, origin = np.searchsorted(hit_id, doc, "left"), np.searchsorted(hit_id, doc, "right"), _origin(own)
+                if n >= self.window and (doc, origin) in copied:
+                    row(id=doc, origin=origin, n_words=n, n_removed=n, kept=self._kept(own, []))
                 elif n < self.window or a == b:
-                    row(id=doc, n_words=n, n_removed=0, kept=self._kept(own, None))
+                    row(id=doc, origin=origin, n_words=n, n_removed=0, kept=self._kept(own, None))
                 else:
                     hits = np.isin(blocks[first : first + n - self.block + 1], hit_key[a:b])
                     near = np.concatenate(([0], np.cumsum(hits)))
@@ -209,7 +220,7 @@ class Anchors:
                 who, place = np.unique(d[part], return_inverse=True)
                 row(bucket=k, payload=pack_arrays(who, place.astype("<u4"), h[part]))
         grp = int(docs["grp"][0].as_py()) if len(docs) else int(answers["grp"][0].as_py())
-        return pa.table({"grp": pa.array([grp] * len(out["id"]), pa.int64()), "id": pa.array(out["id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept": pa.array(out["kept"], pa.string()), "text": pa.array(out["text"], pa.string()), "bucket": pa.array(out["bucket"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
+        return pa.table({"grp": pa.array([grp] * len(out["id"]), pa.int64()), "id": pa.array(out["id"], pa.int64()), "origin": pa.array(out["origin"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept": pa.array(out["kept"], pa.string()), "text": pa.array(out["text"], pa.string()), "bucket": pa.array(out["bucket"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
 
     def smallest(self, table: pa.Table) -> pa.Table:
         """Of one bucket: for each group its windows that a smaller document of another group has, with the smallest."""
@@ -243,7 +254,7 @@ class Anchors:
                 all_h.append(own)
                 all_d.append(np.full(len(own), doc, np.int64))
             held.append((ids, data, offsets, words, valid))
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         if held:
             h, d = np.concatenate(all_h), np.concatenate(all_d)
             order = np.lexsort((d, h))
@@ -263,18 +274,18 @@ class Anchors:
                     kept = [data[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
                     whole_text = None if keep.all() else kept
                     own = data[offsets[i] : offsets[i + 1]]
-                    for column, x in zip(out, (doc, n, int(n - keep.sum()), self._kept(own, whole_text)), strict=True):
+                    for column, x in zip(out, (doc, _origin(own), n, int(n - keep.sum()), self._kept(own, whole_text)), strict=True):
                         column.append(x)
-        return pa.table({"id": pa.array(out[0], pa.int64()), "n_words": pa.array(out[1], pa.int64()), "n_removed": pa.array(out[2], pa.int64()), "kept": pa.array(out[3], pa.string())})
+        return pa.table({n: pa.array(x, pa.string() if n == "kept" else pa.int64()) for n, x in zip(("id", "origin", "n_words", "n_removed", "kept"), out, strict=True)})
 
 
 def dedup_substrings(df: DataFrame, key: str, text: str = "text", window: int = 50, output: str = "text") -> DataFrame:
-    """(key, n_words, n_removed, kept): every word goes that a window covers whose words also start in a document of a smaller key.
+    """(key, origin, n_words, n_removed, kept): every word goes that a window covers whose words also start in a document of a smaller key.
 
     Words are runs of characters other than ASCII white space, windows have ``window`` words (two at least) and are judged on the input. kept: the
     kept words joined by one space, or the text as it is where nothing goes (``output="text"``); or the sha256 of the kept words
-    joined by one space (``output="sha256"``). Null text has no words. Keys are whole numbers; rows of one key are taken for one
-    document's repeats and each judged alone, null keys are left out; an empty table has no rows.
+    joined by one space (``output="sha256"``). Null text has no words. Keys are whole numbers; rows of one key are each judged alone
+    against smaller keys, and origin (origin_of() of the text) tells them apart; null keys are left out; an empty table has no rows.
 
     Blocks of half a window, one after the other from each text's start, are the index. Every rolling block of every text probes
     it; any repeat of a whole window holds an indexed block of either text, so none is missed. Around hits, fingerprints of
@@ -310,22 +321,22 @@ def dedup_substrings(df: DataFrame, key: str, text: str = "text", window: int =
         hits = hits.unionByName(split)
     hits = scratch.put(hits, "hits")
     scratch.drop("probes", "large")
-    same = docs.select("id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha")).where(F.col("sha").isNotNull())
+    same = docs.select("id", origin_of(F.col("text")).alias("h"), F.sha2("text", 256).alias("sha")).where(F.col("sha").isNotNull())
     first = scratch.put(same.groupBy("h", "sha").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "copied")
-    copies = same.join(first, ["h", "sha"]).where("id > least").groupBy(grp.alias("grp")).agg(F.to_binary(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: F.lpad(F.hex(i), 16, "0")), ""), F.lit("hex")).alias("payload"))
+    copies = same.join(first, ["h", "sha"]).where("id > least").groupBy(grp.alias("grp")).agg(F.to_binary(F.array_join(F.transform(F.collect_list(F.struct("id", "h")), lambda r: F.concat(F.lpad(F.hex(r["id"]), 16, "0"), F.lpad(F.hex(r["h"]), 16, "0"))), ""), F.lit("hex")).alias("payload"))
     answers = hits.unionByName(copies.select("grp", F.lit(-1).alias("kind"), "payload"))
-    schema = "grp bigint, id bigint, n_words bigint, n_removed bigint, kept string, text string, bucket int, payload binary"
+    schema = "grp bigint, id bigint, origin bigint, n_words bigint, n_removed bigint, kept string, text string, bucket int, payload binary"
     one = scratch.put(docs.withColumn("grp", grp).groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda d, a: parts.extend(d, a), schema), "extended")
     scratch.drop("hits")
     windows = one.where(F.col("bucket").isNotNull()).select("bucket", "grp", "payload")
     least = scratch.put(windows.groupBy("bucket").applyInArrow(lambda t: parts.smallest(t), "grp bigint, payload binary"), "least")
     open_docs = one.where(F.col("text").isNotNull()).select("grp", "id", "text")
-    two = open_docs.groupBy("grp").cogroup(least.groupBy("grp")).applyInArrow(lambda d, a: parts.remove(d, a), "id bigint, n_words bigint, n_removed bigint, kept string")
-    done = one.where(F.col("kept").isNotNull()).select("id", "n_words", "n_removed", "kept")
+    two = open_docs.groupBy("grp").cogroup(least.groupBy("grp")).applyInArrow(lambda d, a: parts.remove(d, a), "id bigint, origin bigint, n_words bigint, n_removed bigint, kept string")
+    done = one.where(F.col("kept").isNotNull()).select("id", "origin", "n_words", "n_removed", "kept")
     return done.unionByName(two).withColumnRenamed("id", key)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents, with windows of 50 words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_substrings(docs, "doc_id", output="sha256").withColumnRenamed("kept", "kept_sha256")
+    return dedup_substrings(docs, "doc_id", output="sha256").drop("origin").withColumnRenamed("kept", "kept_sha256")

@@ -68,3 +68,22 @@ def test_jaccard_stage_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
     got = sorted((tuple(r) for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, a, "en", None), (1, b, "en", "s"), (3, "alone", "en", "s"), (4, None, "en", "s"), (None, "no id", "en", "s"), (None, "no id", "en", "s")], key=str)
+
+
+def test_substring_stage_repeated_rows(spark):
+    """Rows that share an id keep their own columns; also those that share the text as well, long texts and null ones."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    long = " ".join(f"l{i}" for i in range(20_000))
+    rows = [(1, a, "en", "s1"), (1, c, "fr", "s2"), (2, b, "en", "s1"), (2, b, "de", "s2"), (2, a + " more", "es", "s3"), (3, None, "en", "s"), (4, long, "en", "s"), (5, "x " + long, "en", "s"), (6, a, "en", "s"), (None, a, "en", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("_extra", F.col("source")).repartition(3)
+    out = corpus_pipeline.substring_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(1, a, "en", "s1"), (1, c, "fr", "s2"), (2, b, "en", "s1"), (2, b, "de", "s2"), (2, "more", "es", "s3"), (3, None, "en", "s"), (4, long, "en", "s"), (5, "x", "en", "s"), (None, a, "en", "s")]
+    assert sorted((tuple(r)[:4] for r in out.collect()), key=str) == sorted(want, key=str)
+    assert out.where("text is not null and n_chars <> length(text) or _extra <> source").count() == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -194,9 +194,12 @@ def test_substrings_with_hot_passage(spark, monkeypatch):
 def test_substrings_of_repeated_rows(spark):
     """Rows of one key are judged each alone against smaller keys."""
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
-    rows = [(1, a), (1, a), (1, b), (2, a), (2, b), (2, "short"), (None, a)]
-    got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id").collect())
-    assert got == [(1, 0), (1, 0), (1, 0), (2, 0), (2, 60), (2, 60)]
+    c = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, a), (1, a), (1, b), (2, a), (2, c), (2, "short"), (2, None), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("o", substring_dedup.origin_of(F.col("text")))
+    texts = {(r.doc_id, r.o): r.text or "" for r in df.collect()}
+    got = sorted((r.doc_id, texts[r.doc_id, r.origin][:5], r.n_removed) for r in substring_dedup.dedup_substrings(df, "doc_id").collect())
+    assert got == [(1, a[:5], 0), (1, a[:5], 0), (1, b[:5], 0), (2, "", 0), (2, a[:5], 60), (2, c[:5], 0), (2, "short", 0)]
 
 
 def test_substrings_odd_tables(spark):
@@ -288,8 +291,25 @@ def test_sharding(spark):
             by.setdefault(r.shard, []).append(r.slot)
         sizes = [len(by.get(s, [])) for s in range(shards)]
         assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
-    a, b = ({(r.doc_id, r.text): r.shard for r in sharding.shard_rows(df, "doc_id", ["c"], shards=n).collect()} for n in (8, 9))
-    assert sum(a[k] != b[k] for k in a) < 0.55 * len(a)
+    clash = odd.select("*", *(F.lit(i).alias(n) for i, n in enumerate(("p_from", "p_shard", "_ring_slice", "slice", "place", "row", "rank", "slot", "a.b"))))
+    same = sharding.shard_rows(clash, "doc_id", ["c"])
+    assert same.columns[-2:] == ["shard", "slot"] and {(r.p_from, r.slice, r.row) for r in same.collect()} == {(0, 3, 5)}
+    many = spark.range(20_000).withColumn("c", F.lit(1))
+    for few, more in ((8, 9), (24, 25)):
+        a, b = ({r.id: r.shard for r in sharding.shard_rows(many, "id", ["c"], shards=n).collect()} for n in (few, more))
+        assert sum(a[k] != b[k] for k in a) < 2 / more * len(a)
     assert sharding.shard_rows(df.where("false"), "doc_id", ["c"]).count() == 0
     with pytest.raises(ValueError):
         sharding.ring(100, 64, 4096)
+
+
+def test_sharding_query(spark, tmp_path):
+    texts = corpus() + ["é" * 100, "same", "same"]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sharding.op10_sharding(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 8, zlib.crc32(data), "rows", None)
+    counts = [sorted(r.slot for r in rows if r.shard == s) for s in range(24)]
+    assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
