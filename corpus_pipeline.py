@@ -14,7 +14,7 @@ from foliant.llm.jaccard_join import jaccard_components
 from foliant.llm.language_id import BUCKETS, held_out, predict, train
 from foliant.llm.packing import pack_documents
 from foliant.llm.scratch import Scratch
-from foliant.llm.substring_dedup import dedup_substrings
+from foliant.llm.substring_dedup import dedup_substrings, origin_of
 from foliant.session import ship
 
 
@@ -42,12 +42,16 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go; the kept words are joined by one space, and n_chars follows. Texts without such words stay as
-    they are; a document of which nothing is left goes. Rows with a null id stay."""
+    they are; a document of which nothing is left goes. Rows with a null id or text stay. Rows that share an id are each judged alone
+    and keep their own columns."""
     ship(spark)
-    kept = dedup_substrings(docs.select("doc_id", "text"), "doc_id").where("n_words = 0 or n_removed < n_words")
-    rest = docs.drop("text", "n_chars").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    out = kept.select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("bigint").alias("n_chars")).join(rest, "doc_id")
-    return out.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).withColumn("_origin", origin_of(F.col("text")))
+    kept = dedup_substrings(own.select("doc_id", "text"), "doc_id").where("n_words = 0 or n_removed < n_words").withColumnRenamed("origin", "_origin")
+    twice = own.groupBy("doc_id", "_origin").count().where("count > 1").select("doc_id", "_origin")
+    if not twice.isEmpty():
+        kept = kept.join(twice, ["doc_id", "_origin"], "left_anti").unionByName(kept.join(twice, ["doc_id", "_origin"], "left_semi").dropDuplicates(["doc_id", "_origin"]))
+    out = kept.select("doc_id", "_origin", F.col("kept").alias("text"), F.length("kept").cast("bigint").alias("n_chars")).join(own.drop("text", "n_chars"), ["doc_id", "_origin"])
+    return out.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull() | F.col("text").isNull()))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
