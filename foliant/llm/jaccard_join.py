@@ -359,7 +359,8 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     places = placed.join(pieces, "cluster").groupBy("sid").agg(F.collect_list(F.struct("cluster", "pieces")).alias("places"))
     kind = "array<struct<cluster:bigint,pieces:int>>"
     shown = scratch.put(places.join(active, "sid").select("id", "sid", "places"), "shown")
-    sets = docs.join(shown, "id").select("sid", "text", "places").mapInArrow(work.sets, f"sid bigint, places {kind}, members binary")
+    # one plan at every size: the texts are dealt by id to the few rows that name them, without a sort
+    sets = docs.join(shown.hint("shuffle_hash"), "id").select("sid", "text", "places").mapInArrow(work.sets, f"sid bigint, places {kind}, members binary")
     sets = scratch.put(sets, "sets")
     scratch.drop("members", "first", "active", "placed", "shown")
     near = sets.select("sid", "members", F.inline("places"))
