@@ -10,6 +10,8 @@ from foliant.functions.text import clean_text, strip_space
 
 #: Fixed values of the page that text is rendered to.
 PAGE_WIDTH, PAGE_HEIGHT, MARGIN, LINE_SPACING, FONT_SIZE = 1200, 1600, 60, 8, 28
+#: Why a document has no boxes.
+BOX_SHAPE, BOX_ORDER, NO_WORDS = "box of the wrong shape", "box with coordinates out of order", "no readable words"
 PAYLOAD = "struct<label:string,words:array<string>,boxes:array<array<int>>,confidences:array<double>,page_indices:array<int>>"
 OCR_JSON = "words array<string>, boxes array<array<double>>, image_width string, image_height string"
 
@@ -37,12 +39,17 @@ def merge_payloads(label: Column, payloads: Column) -> Column:
 
 def box_error(box: Column) -> Column:
     """Why a raw box is invalid, else null."""
-    return F.when(box.isNull() | (F.size(box) != 4) | F.exists(box, lambda v: v.isNull()), "Invalid OCR box shape").when((F.get(box, F.lit(2)) < F.get(box, F.lit(0))) | (F.get(box, F.lit(3)) < F.get(box, F.lit(1))), "Invalid OCR box coordinates")
+    return F.when(box.isNull() | (F.size(box) != 4) | F.exists(box, lambda v: v.isNull()), BOX_SHAPE).when((F.get(box, F.lit(2)) < F.get(box, F.lit(0))) | (F.get(box, F.lit(3)) < F.get(box, F.lit(1))), BOX_ORDER)
+
+
+def scaled_corners(corners: list[Column], width: Column, height: Column) -> list[Column]:
+    """Left, top, right and bottom on a page of 1000 by 1000; for rows of one word, which need no lists."""
+    return [clamp_1000(F.try_divide(v.cast("double") * 1000, side.cast("double"))) for v, side in zip(corners, (width, height, width, height), strict=True)]
 
 
 def scale_box(box: Column, width: Column, height: Column) -> Column:
     """A valid raw box on a page of 1000 by 1000; null where the page has no extent."""
-    return F.when((width > 0) & (height > 0), F.array(*(clamp_1000(F.try_divide(F.get(box, F.lit(i)).cast("double") * 1000, side.cast("double"))) for i, side in enumerate((width, height, width, height)))))
+    return F.when((width > 0) & (height > 0), F.array(*scaled_corners([F.get(box, F.lit(i)) for i in range(4)], width, height)))
 
 
 def normalize_ocr(words: Column, boxes: Column, width: Column, height: Column, clean=clean_text) -> Column:
@@ -54,8 +61,8 @@ def normalize_ocr(words: Column, boxes: Column, width: Column, height: Column, c
     bad = F.get(F.filter(F.transform(rows, lambda r: box_error(r["b"])), lambda e: e.isNotNull()), F.lit(0))
     error = (
         F.when(words.isNull() | boxes.isNull(), "words and boxes must be lists")
-        .when(F.size(words) != F.size(boxes), F.format_string("words/boxes mismatch: %d words, %d boxes", F.size(words), F.size(boxes)))
-        .when(F.size(rows) == 0, "no readable words")
+        .when(F.size(words) != F.size(boxes), F.format_string("mismatch of %d words and %d boxes", F.size(words), F.size(boxes)))
+        .when(F.size(rows) == 0, NO_WORDS)
         .when(bad.isNotNull(), bad)
         .when(~F.coalesce((width > 0) & (height > 0), F.lit(False)), "page without extent")
     )

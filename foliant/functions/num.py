@@ -42,13 +42,8 @@ def label_at(classes: list[str], place: Column) -> Column:
     return F.get(F.array(*map(F.lit, classes)), place - 1)
 
 
-def cross_entropy(probabilities: Column, place: Column) -> Column:
-    """-log of the probability of the true class (1-based)."""
-    return -F.log(F.get(probabilities, place - 1))
-
-
 def heat(value: Column, most: Column) -> dict[str, Column]:
-    """Cell colours of a heat map: intensity, red, green, blue, and the text colour."""
+    """Cell colours of a heat map: intensity, red, green, blue, and the text colour. The numbers are fixed values."""
     t = safe_ratio(value, most)
     shade = (F.lit(255) - F.lit(170) * t).cast("int")
     return {"intensity": t, "red": shade, "green": shade + (F.lit(35) * (F.lit(1) - t)).cast("int"), "blue": F.lit(255), "text_colour": F.when(t > 0.65, "white").otherwise("black")}

@@ -25,7 +25,7 @@ def strip_space(c: Column) -> Column:
 
 
 def strip_html(c: Column) -> Column:
-    """Script and style blocks, then tags, each as a space; then clean. Entities stay as they are."""
+    """Script and style blocks, then tags, each as a space (fixed patterns); then clean. Entities stay as they are."""
     out = F.coalesce(c, F.lit(""))
     for block in ("script", "style"):
         out = F.regexp_replace(out, rf"(?isu)<{block}.*?</{block}>", " ")

@@ -1,4 +1,4 @@
-"""Classification metrics over evaluation records: one grouped pass, dense on the class axis."""
+"""Classification metrics over evaluation records, dense on the class axis."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from foliant.operators.tables import dimension
 
 
 def pair_counts(records: DataFrame) -> DataFrame:
-    """(model, true_label, predicted_label, n) of the successful records; the only pass over the records."""
+    """(model, true_label, predicted_label, n) of the successful records."""
     return records.where(F.col("status") == "success").groupBy("model", "true_label", "predicted_label").agg(F.count("*").alias("n"))
 
 
@@ -36,22 +36,39 @@ def class_metrics(counts: DataFrame, classes: list[str], models: list[str] | Non
     return out.withColumn("f1", f1).select("model", "class_idx", "label", "precision", "recall", "f1", "support")
 
 
-def macro_metrics(records: DataFrame, classes: list[str], models: list[str] | None = None) -> DataFrame:
-    """By model: accuracy over successes, macro averages over the whole class list in its order, times, and record counts."""
-    counts = pair_counts(records)
-    by_class = class_metrics(counts, classes, models).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("class_idx", "precision", "recall", "f1"))).alias("c"))
-    mean = lambda f: total(F.transform("c", lambda x: x[f])) / F.lit(float(len(classes)))
-    macro = by_class.select("model", mean("precision").alias("macro_precision"), mean("recall").alias("macro_recall"), mean("f1").alias("macro_f1"))
-    ok = F.col("status") == "success"
-    plain = records.groupBy("model").agg(
-        F.sum(F.when(ok & (F.col("true_label") == F.col("predicted_label")), 1).otherwise(0)).alias("hits"),
-        F.sum(F.when(ok, 1).otherwise(0)).alias("documents_processed"),
-        F.sum(F.when(ok, 0).otherwise(1)).alias("documents_failed"),
-        F.count("*").alias("documents_total"),
-        F.coalesce(F.sum(F.when(ok, F.col("prediction_time_seconds"))), F.lit(0.0)).alias("prediction_time_seconds"),
+def evaluation(records: DataFrame, classes: list[str], models: list[str] | None = None) -> DataFrame:
+    """One row by model, from one grouped pass over the records: accuracy over successes, macro averages over the whole class list in
+    its order, times, record counts, and per_class (class_idx, label, precision, recall, f1, support).
+
+    The sums are conditional, three for each class, so the class list is a short one. Unknown labels count in no class.
+    """
+    true, predicted, ok = F.col("true_label"), F.col("predicted_label"), F.coalesce(F.col("status") == "success", F.lit(False))
+    count = lambda what: F.count(F.when(what, 1))
+    sums = [x for i, c in enumerate(classes) for x in (count(ok & (true == c) & (predicted == c)).alias(f"_hit{i}"), count(ok & (predicted == c)).alias(f"_said{i}"), count(ok & (true == c)).alias(f"_true{i}"))]
+    plain = [count(ok & (true == predicted)).alias("_hits"), count(ok).alias("documents_processed"), count(~ok).alias("documents_failed"), F.count("*").alias("documents_total")]
+    one = records.groupBy("model").agg(*plain, F.coalesce(F.sum(F.when(ok, F.col("prediction_time_seconds"))), F.lit(0.0)).alias("prediction_time_seconds"), *sums)
+    if models:
+        one = dimension(records.sparkSession, models, "model", "model_idx").select("model").join(one, "model", "left").na.fill(0)
+    cells = F.array(*(F.struct(F.lit(i + 1).alias("class_idx"), F.lit(c).alias("label"), safe_ratio(F.col(f"_hit{i}"), F.col(f"_said{i}")).alias("p"), safe_ratio(F.col(f"_hit{i}"), F.col(f"_true{i}")).alias("r"), F.col(f"_true{i}").alias("n")) for i, c in enumerate(classes)))
+    f1 = lambda x: safe_ratio(2 * x["p"] * x["r"], x["p"] + x["r"])
+    out = one.withColumn("_cells", cells).withColumn("per_class", F.transform("_cells", lambda x: F.struct(x["class_idx"], x["label"], x["p"].alias("precision"), x["r"].alias("recall"), f1(x).alias("f1"), x["n"].alias("support"))))
+    mean = lambda f: total(F.transform("per_class", lambda x: x[f])) / F.lit(float(len(classes)))
+    return out.select(
+        "model",
+        safe_ratio(F.col("_hits"), F.col("documents_processed")).alias("accuracy"),
+        *(mean(f).alias(f"macro_{f}") for f in ("precision", "recall", "f1")),
+        "prediction_time_seconds",
+        safe_ratio(F.col("prediction_time_seconds"), F.col("documents_processed")).alias("seconds_per_document"),
+        "documents_processed",
+        "documents_failed",
+        "documents_total",
+        "per_class",
     )
-    out = macro.join(plain, "model", "left").na.fill(0, ["hits", "documents_processed", "documents_failed", "documents_total"]).na.fill(0.0, ["prediction_time_seconds"])
-    return out.withColumns({"accuracy": safe_ratio(F.col("hits"), F.col("documents_processed")), "seconds_per_document": safe_ratio(F.col("prediction_time_seconds"), F.col("documents_processed"))}).drop("hits")
+
+
+def macro_metrics(records: DataFrame, classes: list[str], models: list[str] | None = None) -> DataFrame:
+    """evaluation() without the classes."""
+    return evaluation(records, classes, models).drop("per_class")
 
 
 def confusion_matrix(counts: DataFrame, classes: list[str], models: list[str] | None = None) -> DataFrame:
@@ -95,19 +112,18 @@ def compare_two(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, "class", "full_outer").na.fill(0.0, ["first", "second"])
 
 
-def metrics_json(metrics: DataFrame, by_class: DataFrame) -> DataFrame:
-    """One JSON document by model: scalars and a map from class to its metrics."""
-    per = by_class.groupBy("model").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "label", "precision", "recall", "f1", "support"))), lambda x: F.struct(x["label"], F.struct(x["precision"], x["recall"], x["f1"], x["support"])))).alias("per_class"))
-    out = metrics.join(per, "model")
+def metrics_json(evaluated: DataFrame) -> DataFrame:
+    """One JSON document by model of evaluation(): scalars and a map from class to its metrics."""
+    per = F.map_from_entries(F.transform("per_class", lambda x: F.struct(x["label"], F.struct(x["precision"], x["recall"], x["f1"], x["support"]))))
+    out = evaluated.withColumn("per_class", per)
     return out.select("model", F.to_json(F.struct(*(c for c in out.columns if c != "model"))).alias("json"))
 
 
-def report_text(metrics: DataFrame, by_class: DataFrame) -> DataFrame:
-    """A text block by model: a line for each class, accuracy, and the macro line."""
+def report_text(evaluated: DataFrame) -> DataFrame:
+    """A text block by model of evaluation(): a line for each class, a blank one, accuracy and the macro averages (a fixed format)."""
     line = lambda x: F.format_string("%s,%.6f,%.6f,%.6f,%d", x["label"], x["precision"], x["recall"], x["f1"], x["support"])
-    per = by_class.groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "label", "precision", "recall", "f1", "support"))), line), "\n").alias("lines"))
-    head, macro = F.lit("class,precision,recall,f1,support"), F.format_string("macro,%.6f,%.6f,%.6f", "macro_precision", "macro_recall", "macro_f1")
-    return metrics.join(per, "model").select("model", F.concat_ws("\n", head, "lines", F.format_string("accuracy,%.6f", "accuracy"), macro).alias("report"))
+    rest = (F.format_string(f"{c},%.6f", c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1"))
+    return evaluated.select("model", F.concat_ws("\n", F.lit("label,precision,recall,f1,support"), F.array_join(F.transform("per_class", line), "\n"), F.lit(""), *rest).alias("report"))
 
 
 def best_tags(df: DataFrame, tags: list[tuple[str, Column, str]], order: str) -> Column:

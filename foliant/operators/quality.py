@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.num import safe_ratio
-from foliant.functions.text import MIN_CHARS, clean_length, clean_text
+from foliant.functions.text import MIN_CHARS, clean_length, joined_length
 from foliant.operators.tables import dimension
 
 
@@ -71,10 +71,10 @@ def issue_counts(found: DataFrame) -> DataFrame:
 
 
 def prepared_rows(df: DataFrame, labels: list[str], key: str, label: str, text: str) -> DataFrame:
-    """id, label, label_id (from 0), the text as it is, and the cleaned length; unknown labels dropped."""
+    """id, label, label_id (from 0), the text as it is, and its length with white space collapsed; unknown labels dropped."""
     dim = F.broadcast(dimension(df.sparkSession, labels))
     own = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(text).alias("text"))
-    return own.join(dim, "label").select("id", "label", (F.col("class_idx") - 1).alias("label_id"), "text", F.length(clean_text(F.col("text"))).alias("text_length"))
+    return own.join(dim, "label").select("id", "label", (F.col("class_idx") - 1).alias("label_id"), "text", joined_length(F.col("text")).alias("text_length"))
 
 
 def retry(df: DataFrame, refreshed: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.nested import tokens
 from foliant.functions.num import argmax, label_at, softmax, total
 from foliant.functions.text import MIN_CHARS, clean_text
 
@@ -43,10 +43,10 @@ def charset_logits(text: Column, classes: list[str]) -> Column:
     return F.transform(F.array(*map(F.lit, classes)), lambda c: F.when(c == found, 2.0).otherwise(0.0))
 
 
-def records(df: DataFrame, model: str, key: str, label: str, logits: Column, classes: list[str], error: Column | None = None, seconds: Column | None = None) -> DataFrame:
+def records(df: DataFrame, model: str | Column, key: str, label: str, logits: Column, classes: list[str], error: Column | None = None, seconds: Column | None = None) -> DataFrame:
     """Evaluation records of one model. A row with an error is a failed record whose prediction is null; the others succeed."""
     failed = F.lit(None).cast("string") if error is None else error
-    out = df.select(F.lit(model).alias("model"), F.col(key).alias("document"), F.col(label).alias("true_label"), failed.alias("error_message"), logits.alias("_logits"), (F.lit(None).cast("double") if seconds is None else seconds).alias("_seconds"))
+    out = df.select((F.lit(model) if isinstance(model, str) else model).alias("model"), F.col(key).alias("document"), F.col(label).alias("true_label"), failed.alias("error_message"), logits.alias("_logits"), (F.lit(None).cast("double") if seconds is None else seconds).alias("_seconds"))
     out = out.withColumn("_p", F.when(F.col("error_message").isNull(), softmax(F.col("_logits"))))
     place = argmax(F.col("_p"))
     return out.select(
@@ -62,17 +62,21 @@ def records(df: DataFrame, model: str, key: str, label: str, logits: Column, cla
     )
 
 
-def short_error(text: Column, least: int = MIN_CHARS) -> Column:
-    return F.when(F.length(clean_text(text)) < least, SHORT)
+def score_texts(df: DataFrame, key: str, label: str, text: str, classes: list[str], models: tuple[str, ...] = ("lexicon", "charset"), least: int = MIN_CHARS) -> DataFrame:
+    """Records of the text models, all from one pass over the texts, which are cleaned once. A text that is too short fails."""
+    own = df.select(key, label, F.col(text).alias("_text"), clean_text(F.col(text)).alias("_clean"))
+    own = own.select(key, label, "_text", F.when(F.length("_clean") < least, SHORT).alias("_error"), F.when(F.col("_clean") == "", F.array().cast("array<string>")).otherwise(F.split(F.lower("_clean"), " ")).alias("_words"))
+    logits = {"lexicon": lambda: lexicon_logits(F.col("_words"), classes), "charset": lambda: charset_logits(F.col("_text"), classes)}
+    rows = own.select(key, label, "_error", F.inline(F.array(*(F.struct(F.lit(m).alias("_model"), logits[m]().alias("_scores")) for m in models))))
+    return records(rows, F.col("_model"), key, label, F.col("_scores"), classes, F.col("_error"))
 
 
 def score_lexicon(df: DataFrame, key: str, label: str, text: str, classes: list[str]) -> DataFrame:
-    words = df.select(key, label, tokens(F.lower(F.col(text)), None).alias("_words"), short_error(F.col(text)).alias("_error"))
-    return records(words, "lexicon", key, label, lexicon_logits(F.col("_words"), classes), classes, F.col("_error"))
+    return score_texts(df, key, label, text, classes, ("lexicon",))
 
 
 def score_charset(df: DataFrame, key: str, label: str, text: str, classes: list[str]) -> DataFrame:
-    return records(df, "charset", key, label, charset_logits(F.col(text), classes), classes, short_error(F.col(text)))
+    return score_texts(df, key, label, text, classes, ("charset",))
 
 
 def centroids(df: DataFrame, vector: str, label: str, classes: list[str]) -> DataFrame:
@@ -91,27 +95,37 @@ def score_centroid(df: DataFrame, key: str, label: str, vector: str, classes: li
     return records(own, "centroid", "_k", "_l", logits, classes)
 
 
+_LOADED: dict[str, Callable[[object], list[float]]] = {}
+
+
 @dataclass(frozen=True)
 class Provider:
     """A model outside the engine. load() gives a function from a text or other input to a list of class scores."""
 
     name: str
-    load: Callable[[], Callable[[object], list[float]]]
+    load: Callable[[], Callable[[object], list[float]]] = field(compare=False)
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def model(self) -> Callable[[object], list[float]]:
+        """The loaded model; a worker process keeps it for its later tasks."""
+        if self.token not in _LOADED:
+            _LOADED[self.token] = self.load()
+        return _LOADED[self.token]
 
 
 def score_provider(df: DataFrame, provider: Provider, key: str, label: str, column: str, classes: list[str]) -> DataFrame:
     """Two levels of failure: an error on a row fails that row; an error on loading fails every row of the model.
 
     Loading is tried once on the driver, so that no part of a model's rows succeeds where another part could not load it. Workers
-    load once for each task and score Arrow batches; the time is that of the scoring alone.
+    load once for each process and score Arrow batches; the time is that of the scoring alone.
     """
     try:
-        provider.load()
+        provider.model()
     except Exception as e:
         return records(df, provider.name, key, label, F.array(*(F.lit(0.0) for _ in classes)), classes, F.lit(f"{type(e).__name__}: {e}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = provider.load()
+        model = provider.model()
         for b in batches:
             logits, errors, took = [], [], []
             for x in b["x"]:

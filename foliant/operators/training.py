@@ -6,12 +6,13 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.scoring import records
+from foliant.sources.files import exists
 
 
 def text_pipeline(classes: list[str], label: str = "label", text: str = "text", features: int = 1 << 15, rounds: int = 20) -> Pipeline:
@@ -59,11 +60,6 @@ def predict(model: PipelineModel, df: DataFrame, name: str, key: str, label: str
     return records(scored, name, key, label, padded, classes)
 
 
-def label_indexer(classes: list[str], label: str) -> tuple[StringIndexer, IndexToString]:
-    """Spark ML's own index for callers that train other estimators; frequency order doesn't matter to them."""
-    return StringIndexer(inputCol=label, outputCol="class_id", handleInvalid="skip"), IndexToString(inputCol="prediction", outputCol="predicted_label", labels=classes)
-
-
 def save_checkpoint(model: PipelineModel, path: str, epoch: int, classes: list[str], f1: float) -> None:
     """The model with a sidecar table of epoch, classes and validation F1."""
     spark = SparkSession.getActiveSession()
@@ -71,12 +67,34 @@ def save_checkpoint(model: PipelineModel, path: str, epoch: int, classes: list[s
     spark.range(1).select(F.lit(json.dumps({"epoch": epoch, "classes": classes, "validation_macro_f1": f1})).alias("value")).write.mode("overwrite").text(f"{path}/about")
 
 
+def inspect_checkpoint(spark, path: str) -> tuple[PipelineModel, dict]:
+    """The model and what is known of it, for either layout: a model with its sidecar, or a bare saved model.
+
+    The last stage must have a coefficient for each class and feature; else ValueError.
+    """
+    if exists(spark, f"{path}/about"):
+        about = {"type": "training_checkpoint", **json.loads(spark.read.text(f"{path}/about").first()[0])}
+        model = PipelineModel.load(f"{path}/model")
+    else:
+        about, model = {"type": "bare_model", "classes": None}, PipelineModel.load(path)
+    last = model.stages[-1]
+    if not hasattr(last, "coefficientMatrix"):
+        raise ValueError("the checkpoint's last stage has no coefficients")
+    weights = last.coefficientMatrix
+    about |= {"outputs": last.numClasses, "inputs": last.numFeatures, "weight_shape": [weights.numRows, weights.numCols]}
+    if about["classes"] is not None and len(about["classes"]) < last.numClasses:
+        raise ValueError(f"{last.numClasses} outputs for {len(about['classes'])} classes")
+    return model, about
+
+
 def load_checkpoint(spark, path: str, classes: list[str]) -> PipelineModel:
-    """The model of a checkpoint, whose classes must be the given ones in their order."""
-    about = json.loads(spark.read.text(f"{path}/about").first()[0])
-    if about["classes"] != classes:
+    """The model of a checkpoint. Where it names its classes, they must be the given ones in their order; else their number must do."""
+    model, about = inspect_checkpoint(spark, path)
+    if about["classes"] is not None and about["classes"] != classes:
         raise ValueError(f"classes of the checkpoint: {about['classes']}")
-    return PipelineModel.load(f"{path}/model")
+    if about["outputs"] > len(classes):
+        raise ValueError(f"the checkpoint has {about['outputs']} outputs, {len(classes)} classes are named")
+    return model
 
 
 def best_epochs(history: DataFrame, value: str = "validation_macro_f1") -> DataFrame:

@@ -109,21 +109,14 @@ def q_missing_artifacts(spark, d):
     return quality.missing_artifacts(docs(spark, d, "doc_id"), spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
 
 
-@query(f"SELECT doc_id AS id, lang AS label, list_position(['en', 'fr', 'de'], lang) - 1 AS label_id, sha256(text) AS text_sha, length({_clean('text')}) AS text_length FROM documents WHERE lang IN ('en', 'fr', 'de')")
+@query(f"SELECT doc_id AS id, lang AS label, list_position(['en', 'fr', 'de'], lang) - 1 AS label_id, sha256(text) AS text_sha, length(trim(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g'), ' ')) AS text_length FROM documents WHERE lang IN ('en', 'fr', 'de')")
 def q_prepared_rows(spark, d):
     out = quality.prepared_rows(docs(spark, d, "doc_id", "lang", "text"), CLASSES[:3], "doc_id", "lang", "text")
     return out.select("id", "label", "label_id", F.sha2("text", 256).alias("text_sha"), F.col("text_length").cast("bigint").alias("text_length"))
 
 
-@query("SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN reverse(substring(text, 1, 40)) ELSE substring(text, 1, 40) END AS head FROM documents")
-def q_retry_upsert(spark, d):
-    base = docs(spark, d, "doc_id", "lang", "text").select("doc_id", "lang", F.substring("text", 1, 40).alias("head"))
-    fresh = base.where("doc_id % 10 = 0").select("doc_id", F.reverse("head").alias("head"))
-    return quality.retry(base, fresh, "doc_id", ["head"])
-
-
 @query(f"SELECT doc_id, lang, sha256(t) AS text_sha, length(t) AS text_length FROM (SELECT doc_id, lang, CASE WHEN length({_clean('text')}) < 20 THEN 'retried ' || coalesce(text, '') ELSE text END AS t FROM documents)")
-def q_retry_short_texts(spark, d):
+def q_retry_upsert(spark, d):
     """Whole texts; the refreshed rows are those of which the extraction failed, and a prefix stands for the new extraction."""
     base = docs(spark, d, "doc_id", "lang", "text")
     fresh = quality.failed_extraction(base).select("doc_id", F.concat(F.lit("retried "), F.coalesce("text", F.lit(""))).alias("text"))
@@ -217,8 +210,7 @@ def kept_texts(spark, d) -> DataFrame:
 
 
 def predictions(spark, d) -> DataFrame:
-    kept = kept_texts(spark, d)
-    return scoring.score_lexicon(kept, "doc_id", "lang", "text", CLASSES).unionByName(scoring.score_charset(kept, "doc_id", "lang", "text", CLASSES))
+    return scoring.score_texts(kept_texts(spark, d), "doc_id", "lang", "text", CLASSES)
 
 
 def _logits(model: str, c: str) -> list[str]:
@@ -374,8 +366,7 @@ _INTERNAL = f"(WITH own AS MATERIALIZED (SELECT doc_id, lang, text FROM document
 
 
 def internal_predictions(spark, d) -> DataFrame:
-    own = docs(spark, d, "doc_id", "lang", "text").where("doc_id % 5 <> 0")
-    return scoring.score_lexicon(own, "doc_id", "lang", "text", CLASSES).unionByName(scoring.score_charset(own, "doc_id", "lang", "text", CLASSES))
+    return scoring.score_texts(docs(spark, d, "doc_id", "lang", "text").where("doc_id % 5 <> 0"), "doc_id", "lang", "text", CLASSES)
 
 
 @query(
@@ -479,17 +470,11 @@ b AS (SELECT doc_id, i, word, (i % 12) * 90 + 60 AS x1, (i // 12) * 36 + 60 AS y
 SELECT doc_id, CAST(i AS INTEGER) AS position, word, CAST(greatest(0, least(1000, round_even(CAST(1000 * x1 AS DOUBLE) / 1200, 0))) AS INTEGER) AS x1, CAST(greatest(0, least(1000, round_even(CAST(1000 * y1 AS DOUBLE) / 1600, 0))) AS INTEGER) AS y1, CAST(greatest(0, least(1000, round_even(CAST(1000 * x2 AS DOUBLE) / 1200, 0))) AS INTEGER) AS x2, CAST(greatest(0, least(1000, round_even(CAST(1000 * y2 AS DOUBLE) / 1600, 0))) AS INTEGER) AS y2 FROM b"""
 )
 def q_word_boxes(spark, d):
-    words = docs(spark, d, "doc_id", "text").select("doc_id", nested.tokens(F.col("text"), None).alias("words"))
-    at = lambda w, i: F.array((i % 12) * 90 + 60, F.floor(i / 12).cast("int") * 36 + 60, (i % 12) * 90 + 60 + F.length(w) * 7, F.floor(i / 12).cast("int") * 36 + 88)
-    found = words.select("doc_id", nested.normalize_ocr(F.col("words"), F.transform("words", at), F.lit(nested.PAGE_WIDTH), F.lit(nested.PAGE_HEIGHT), lambda w: w).alias("o"))  # the words are clean
-    rows = found.select("doc_id", F.posexplode(F.arrays_zip("o.words", "o.boxes")).alias("position", "r"))
-    return rows.select("doc_id", "position", F.col("r.words").alias("word"), *(F.get("r.boxes", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))
-
-
-@query(None)
-def q_greedy_wrap(spark, d):
-    lines = docs(spark, d, "doc_id", "text").select("doc_id", nested.wrap_words(F.col("text"), 77).alias("lines"))
-    return lines.select("doc_id", F.size("lines").alias("n_lines"), F.array_max(F.transform("lines", F.length)).alias("longest"))
+    """Words become rows first; the corners are plain columns then."""
+    words = docs(spark, d, "doc_id", "text").select("doc_id", F.posexplode(nested.tokens(F.col("text"), None)).alias("position", "word"))
+    left, top = F.col("position") % 12 * 90 + 60, F.floor(F.col("position") / 12).cast("int") * 36 + 60
+    corners = nested.scaled_corners([left, top, left + F.length("word") * 7, top + 28], F.lit(nested.PAGE_WIDTH), F.lit(nested.PAGE_HEIGHT))
+    return words.select("doc_id", "position", "word", *(c.alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)))
 
 
 @query(
@@ -569,21 +554,14 @@ def q_train_mlr(spark, d):
     return _macro_select(metrics.macro_metrics(scored, CLASSES, ["mlr"]))
 
 
-@query(None)
-def q_report_text(spark, d):
-    p = predictions(spark, d)
-    return metrics.report_text(metrics.macro_metrics(p, CLASSES, MODELS), metrics.class_metrics(metrics.pair_counts(p), CLASSES, MODELS))
-
-
-@query(None)
-def q_metrics_json(spark, d):
-    p = predictions(spark, d)
-    return metrics.metrics_json(metrics.macro_metrics(p, CLASSES, MODELS), metrics.class_metrics(metrics.pair_counts(p), CLASSES, MODELS))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External evaluation: hash, anti join, short texts failed, two scorers, metrics by model in model order."""
     return dashboard.model_comparison(metrics.macro_metrics(predictions(spark, sf_dir), CLASSES, MODELS), MODELS)
 
 
-QUERIES["q_external_evaluation"] = flagship
+@query(
+    f"SELECT m.model_idx, x.model, {_MACRO_ROUND}, CAST(0.0 AS DOUBLE) AS prediction_time_seconds, CAST(0.0 AS DOUBLE) AS seconds_per_document, CASE WHEN row_number() OVER (ORDER BY macro_f1 DESC, model_idx) = 1 THEN 'best macro F1' ELSE '' END AS tag FROM {_macro(_PREDICTIONS)} x JOIN {_values(MODELS, 'model', 'model_idx')} m ON m.model = x.model"
+)
+def q_external_evaluation(spark, d):
+    out = flagship(spark, d)
+    return out.select(*(F.round(c, 6).alias(c) if c in ("accuracy", "macro_precision", "macro_recall", "macro_f1") else c for c in out.columns))

@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,22 +25,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as file sources name it, with its scheme."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def scan_tree(spark: SparkSession, root: str, labels: list[str], types: tuple[str, ...] | None = TEXT_TYPES, missing: str = "empty", content: bool = True) -> DataFrame:
     """Files below root/label: path, label, extension, length and content, with the place in path order left to the caller.
 
-    types None: any file. A label without a folder has no rows; a missing root gives an empty table or raises (missing="raise").
-    Files that can't be read are skipped. The content column isn't read where it isn't selected.
+    types None: any file. Only the labels' folders are listed; a label without a folder has no rows; a missing root gives an empty
+    table or raises (missing="raise"). Files that can't be read are skipped. The content column isn't read where it isn't selected.
     """
-    if not exists(spark, root):
-        if missing == "raise":
-            raise FileNotFoundError(root)
-        return spark.createDataFrame([], "path string, label string, extension string, length bigint, content binary")
+    if missing == "raise" and not exists(spark, root):
+        raise FileNotFoundError(root)
+    folders = [f"{root.rstrip('/')}/{x}" for x in labels]
+    folders = [f for f in folders if exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], "path string, label string, extension string, length bigint" + (", content binary" if content else ""))
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-    base = root.rstrip("/").split("/")[-1]
-    files = reader.load(root)
-    label = F.regexp_extract("path", rf"/\Q{base}\E/([^/]+)/", 1)
-    out = files.select("path", label.alias("label"), extension(F.col("path")).alias("extension"), "length", *(["content"] if content else []))
-    out = out.where(F.col("label").isin(*labels))
+    above = len(qualified(spark, root.rstrip("/"))) + 1
+    label = F.substring_index(F.substring(F.col("path"), above + 1, 1 << 30), "/", 1)
+    out = reader.load(folders).select("path", label.alias("label"), extension(F.col("path")).alias("extension"), "length", *(["content"] if content else []))
     return out if types is None else out.where(F.col("extension").isin(*types))
 
 
@@ -144,18 +151,28 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
 
-def image_features(images: DataFrame, size: int = 32, mean: tuple[float, ...] = (0.485, 0.456, 0.406), std: tuple[float, ...] = (0.229, 0.224, 0.225)) -> DataFrame:
-    """Red, green and blue planes of nearest-pixel size x size, scaled to 0..1 and normalised by channel, as a list of doubles."""
-    import numpy as np
+def resize_weights(length: int, size: int) -> np.ndarray:
+    """[size, length]: each output pixel as a weighted mean of input pixels, linear in their distance; wider where pixels are lost."""
+    scale = length / size
+    reach = max(scale, 1.0)
+    near = np.clip(1 - np.abs((np.arange(length) + 0.5)[None, :] - ((np.arange(size) + 0.5) * scale)[:, None]) / reach, 0, None)
+    return near / near.sum(axis=1, keepdims=True)
+
+
+def image_features(images: DataFrame, size: int = 224, mean: tuple[float, ...] = (0.485, 0.456, 0.406), std: tuple[float, ...] = (0.229, 0.224, 0.225)) -> DataFrame:
+    """Red, green and blue planes of size x size by bilinear resizing, scaled to 0..1 and normalised by channel, as a list of doubles.
+
+    The defaults are the fixed values of the usual image models.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for h, w, c, data in zip(b["height"], b["width"], b["nChannels"], b["data"], strict=True):
                 x = np.frombuffer(data, np.uint8).reshape(h, w, c)
-                x = np.repeat(x, 3, axis=2) if c == 1 else x[:, :, 2::-1]
-                x = x[np.arange(size) * h // size][:, np.arange(size) * w // size] / 255.0
-                out.append(((x - mean) / std).transpose(2, 0, 1).ravel().tolist())
+                x = (np.repeat(x, 3, axis=2) if c == 1 else x[:, :, 2::-1]) / 255.0
+                planes = resize_weights(h, size) @ x.transpose(2, 0, 1) @ resize_weights(w, size).T
+                out.append(((planes - np.array(mean)[:, None, None]) / np.array(std)[:, None, None]).ravel().tolist())
             yield pd.DataFrame({"origin": b["origin"], "features": out})
 
     return images.mapInPandas(run, "origin string, features array<double>")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """With a header; nulls as empty fields. single: one file, for reports."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    """With a header; nulls as empty fields, white space as it is. single: one file, for reports."""
+    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
@@ -32,18 +31,15 @@ def write_text(df: DataFrame, path: str, column: str, by: str = "model") -> None
 
 
 def write_comparison(metrics: DataFrame, path: str) -> None:
-    """The comparison in model order, one file."""
+    """The comparison in model order, one file; its columns are a fixed format."""
     names = ["model", "accuracy", "macro_precision", "macro_recall", "macro_f1", "seconds_per_document", "documents_processed", "documents_failed"]
     write_csv(metrics.orderBy("model_idx").select(*names), path, single=True)
 
 
 def write_labels(classes: list[str], path: str, spark) -> None:
-    """Class names and both mappings as JSON."""
+    """Class names and both mappings as JSON; the keys are a fixed format."""
     names = F.array(*map(F.lit, classes))
     places = F.array(*(F.lit(i) for i in range(len(classes))))
     row = spark.range(1).select(F.to_json(F.struct(names.alias("class_names"), F.map_from_arrays(names, places).alias("label_to_index"), F.map_from_arrays(F.transform(places, lambda p: p.cast("string")), names).alias("index_to_label"))).alias("value"))
     row.write.mode("overwrite").text(path)
 
-
-def write_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)

@@ -33,6 +33,6 @@ def test_query(spark, name):
 def test_retry_takes_short_texts_whole(spark, tmp_path):
     texts = {1: "short", 2: None, 10: "x" * 60 + " end", 13: " \n ", 20: "y" * 60}
     spark.createDataFrame([(i, "en", t) for i, t in texts.items()], "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.text_sha, r.text_length) for r in entry.queries()["q_retry_short_texts"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.text_sha, r.text_length) for r in entry.queries()["q_retry_upsert"](spark, str(tmp_path)).collect()}
     want = texts | {1: "retried short", 2: "retried ", 13: "retried  \n "}
     assert got == {i: (sha256(t.encode()).hexdigest(), len(t)) for i, t in want.items()}

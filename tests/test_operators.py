@@ -6,7 +6,7 @@ from foliant.operators.tables import HISTORY, dimension, literal_table, require_
 from foliant.plans import dashboard
 
 CLASSES = ["invoice", "cv", "contract", "email", "scientific"]
-#: Confusion matrices with their accuracy and macro precision, recall and F1.
+#: Confusion matrices with their accuracy and macro precision, recall and F1.
 GOLDEN = {
     "image": ([[3, 1, 0, 1, 0], [0, 4, 0, 0, 1], [1, 3, 0, 0, 1], [2, 2, 1, 0, 0], [0, 4, 1, 0, 0]], 0.28, 0.15714285714285714, 0.27999999999999997, 0.19330143540669856),
     "text": ([[4, 0, 1, 0, 0], [0, 5, 0, 0, 0], [0, 0, 5, 0, 0], [0, 0, 0, 5, 0], [0, 5, 0, 0, 0]], 0.76, 0.6666666666666667, 0.76, 0.692929292929293),
@@ -139,6 +139,13 @@ def test_training_round_trip(spark, tmp_path):
     assert training.load_checkpoint(spark, str(tmp_path / "c"), ["a", "b"]).stages[-1].numClasses == 2
     with pytest.raises(ValueError):
         training.load_checkpoint(spark, str(tmp_path / "c"), ["b", "a"])
+    model.write().save(str(tmp_path / "bare"))
+    _, about = training.inspect_checkpoint(spark, str(tmp_path / "c"))
+    assert (about["type"], about["epoch"], about["outputs"], about["weight_shape"][1]) == ("training_checkpoint", 3, 2, 256)
+    assert training.inspect_checkpoint(spark, str(tmp_path / "bare"))[1]["type"] == "bare_model"
+    assert training.load_checkpoint(spark, str(tmp_path / "bare"), ["a", "b"]).stages[-1].numClasses == 2
+    with pytest.raises(ValueError):
+        training.load_checkpoint(spark, str(tmp_path / "bare"), ["a"])
     layout = training.train_layout(df.withColumn("n", F.lit(1.0)), ["a", "b"], "label", "text", ["n"], features=64, rounds=3)
     assert layout.stages[-1].numClasses == 2
     vec = df.withColumn("v", F.when(F.col("label") == "a", F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))))

@@ -42,6 +42,11 @@ def tree(tmp_path):
 
 def test_scan_and_extract(spark, tmp_path):
     root = tree(tmp_path)
+    nested = tmp_path / "x" / "raw" / "x" / "raw" / "cv" / "raw"
+    nested.mkdir(parents=True)
+    (nested / "a.txt").write_text("below folders of the root's name")
+    again = files.scan_tree(spark, str(tmp_path / "x" / "raw" / "x" / "raw") + "/", ["cv", "none"]).collect()
+    assert [(r.label, r.extension) for r in again] == [("cv", ".txt")]
     found = files.scan_tree(spark, root, ["cv", "email"])
     assert {r.path.rsplit("/", 1)[1] for r in found.select("path").collect()} == {"a.TXT", "b.docx", "c.pdf", "e.html", "f.docx"}
     assert files.scan_tree(spark, root, ["cv"], None).count() == 4
@@ -62,6 +67,9 @@ def test_images(spark, tmp_path):
     (tmp_path / "i" / "x.png").write_bytes(png(4, 2, (255, 0, 0)))
     got = files.image_features(files.read_images(spark, str(tmp_path / "i")), size=2, mean=(0, 0, 0), std=(1, 1, 1)).first()
     assert got.features == [1.0] * 4 + [0.0] * 8
+    w = files.resize_weights(4, 2)
+    assert w.shape == (2, 4) and abs(w.sum() - 2) < 1e-12 and abs(w[0] @ [0, 1, 2, 3] - 0.7142857142857143) < 1e-12
+    assert (files.resize_weights(3, 3) == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]).all()
 
 
 def test_csv_and_sinks(spark, tmp_path):
@@ -94,3 +102,14 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     want = {tuple(r) for r in ingest.prepared(df).select("id", "sha256", "issue").collect()}
     assert {tuple(r) for r in spark.read.parquet(dst).select("id", "sha256", "issue").collect()} == want
+
+
+def test_stream_operators(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", "a", "x"), ("2024-01-01 00:01:00", "a", "x"), ("2024-01-01 00:02:00", "b", "long enough to be a usable text")]
+    df = spark.createDataFrame(rows, "t string, label string, text string").withColumn("t", F.col("t").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = ingest.prepared(ingest.stream_documents(spark, str(tmp_path / "in"), "t timestamp, label string, text string"))
+    for name, made, want in (("first", ingest.first_copies(stream, "t"), 2), ("counts", ingest.quality_counts(stream, "t", "label"), 0)):
+        q = ingest.write_stream(made, str(tmp_path / name), str(tmp_path / f"{name}-at"))
+        q.awaitTermination(60)
+        assert spark.read.schema(made.schema).parquet(str(tmp_path / name)).count() >= want
