@@ -33,9 +33,10 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     columns come first. Rows with a null id stay."""
     ship(spark)
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    single = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "text", "r.*")
-    docs = docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(single)
+    if not repeated.isEmpty():
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        single = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "text", "r.*")
+        docs = Scratch(spark, "jaccard-stage").put(docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(single), "single")
     linked = jaccard_components(docs.select("doc_id", "text"), "doc_id").where("doc_id <> component_id").select("doc_id")
     return docs.join(linked, "doc_id", "left_anti").select(*docs.columns)
 
