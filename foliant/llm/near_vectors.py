@@ -18,7 +18,7 @@ from foliant.llm.topk import _matrix, valid
 #: Members of a cell that meet in one task, at most about; larger cells are cut into blocks that meet in pairs.
 CELL_ROWS = 2048
 #: Neighbouring cells that are probed in each table, and the share of pairs at the least cosine that the tables have to find.
-PROBES, RECALL = 4, 0.95
+PROBES, RECALL = 4, 0.985
 #: Sizes of cells, from coarse to fine: lattices whose points make a cell, cells to the unit; and, measured in 64 dimensions with four
 #: probes, the share of pairs at a cosine of 0.9 that one table finds and the share of pairs of random vectors whose homes are one cell.
 CELLS = ((2, 3.5, 0.40, 1.5e-4), (2, 4.0, 0.29, 1.5e-5), (2, 4.5, 0.20, 2.6e-6), (3, 4.0, 0.09, 5.8e-8), (3, 4.5, 0.048, 4.2e-9), (3, 5.0, 0.025, 4.8e-10))
