@@ -210,6 +210,11 @@ def kept_texts(spark, d) -> DataFrame:
 
 
 def predictions(spark, d) -> DataFrame:
+    """Both text models over all documents."""
+    return scoring.score_texts(docs(spark, d, "doc_id", "lang", "text"), "doc_id", "lang", "text", CLASSES)
+
+
+def external_predictions(spark, d) -> DataFrame:
     return scoring.score_texts(kept_texts(spark, d), "doc_id", "lang", "text", CLASSES)
 
 
@@ -233,7 +238,8 @@ def _records(model: str, table: str) -> str:
     )
 
 
-_PREDICTIONS = f"(WITH kept AS MATERIALIZED {_KEPT} {_records('lexicon', 'kept')} UNION ALL {_records('charset', 'kept')})"
+_PREDICTIONS = f"({_records('lexicon', 'documents')} UNION ALL {_records('charset', 'documents')})"
+_EXTERNAL = f"(WITH kept AS MATERIALIZED {_KEPT} {_records('lexicon', 'kept')} UNION ALL {_records('charset', 'kept')})"
 _PROBS = ", ".join(f"round(prob_{c}, 6) AS prob_{c}" for c in CLASSES)
 
 
@@ -371,25 +377,25 @@ def internal_predictions(spark, d) -> DataFrame:
 
 @query(
     f"""WITH j AS (SELECT m.model_idx, i.model, i.accuracy AS internal_accuracy, e.accuracy AS external_accuracy, i.accuracy - e.accuracy AS accuracy_drop, i.macro_f1 AS internal_macro_f1, e.macro_f1 AS external_macro_f1, i.macro_f1 - e.macro_f1 AS macro_f1_drop
-FROM {_macro(_INTERNAL)} i JOIN {_macro(_PREDICTIONS)} e ON e.model = i.model JOIN {_values(MODELS, 'model', 'model_idx')} m ON m.model = i.model),
+FROM {_macro(_INTERNAL)} i JOIN {_macro(_EXTERNAL)} e ON e.model = i.model JOIN {_values(MODELS, 'model', 'model_idx')} m ON m.model = i.model),
 r AS (SELECT *, row_number() OVER (ORDER BY internal_macro_f1 DESC, model_idx) AS a, row_number() OVER (ORDER BY external_macro_f1 DESC, model_idx) AS b, row_number() OVER (ORDER BY macro_f1_drop, model_idx) AS c FROM j)
 SELECT model_idx, model, round(internal_accuracy, 6) AS internal_accuracy, round(external_accuracy, 6) AS external_accuracy, round(accuracy_drop, 6) AS accuracy_drop, round(internal_macro_f1, 6) AS internal_macro_f1, round(external_macro_f1, 6) AS external_macro_f1, round(macro_f1_drop, 6) AS macro_f1_drop,
 concat_ws(', ', CASE WHEN a = 1 THEN 'best internal' END, CASE WHEN b = 1 THEN 'best external' END, CASE WHEN c = 1 THEN 'smallest drop' END) AS tags FROM r"""
 )
 def q_internal_vs_external(spark, d):
     inside = metrics.macro_metrics(internal_predictions(spark, d), CLASSES, MODELS)
-    outside = metrics.macro_metrics(predictions(spark, d), CLASSES, MODELS)
+    outside = metrics.macro_metrics(external_predictions(spark, d), CLASSES, MODELS)
     out = dashboard.final_comparison(inside, outside, MODELS)
     return out.select("model_idx", "model", *(F.round(c, 6).alias(c) for c in ("internal_accuracy", "external_accuracy", "accuracy_drop", "internal_macro_f1", "external_macro_f1", "macro_f1_drop")), "tags")
 
 
 @query(
-    f"""WITH j AS (SELECT m.model_idx, i.model, i.macro_f1 AS a, e.macro_f1 AS b, i.macro_f1 - e.macro_f1 AS c FROM {_macro(_INTERNAL)} i JOIN {_macro(_PREDICTIONS)} e ON e.model = i.model JOIN {_values(MODELS, 'model', 'model_idx')} m ON m.model = i.model)
+    f"""WITH j AS (SELECT m.model_idx, i.model, i.macro_f1 AS a, e.macro_f1 AS b, i.macro_f1 - e.macro_f1 AS c FROM {_macro(_INTERNAL)} i JOIN {_macro(_EXTERNAL)} e ON e.model = i.model JOIN {_values(MODELS, 'model', 'model_idx')} m ON m.model = i.model)
 SELECT (SELECT model FROM j ORDER BY a DESC, model_idx LIMIT 1) AS best_internal, (SELECT model FROM j ORDER BY b DESC, model_idx LIMIT 1) AS best_external, (SELECT model FROM j ORDER BY c, model_idx LIMIT 1) AS smallest_drop, (SELECT string_agg(model, ' and ' ORDER BY c DESC, model_idx) FROM (SELECT * FROM j ORDER BY c DESC, model_idx LIMIT 2)) AS largest_drops"""
 )
 def q_comparison_narrative(spark, d):
     inside = metrics.macro_metrics(internal_predictions(spark, d), CLASSES, MODELS)
-    outside = metrics.macro_metrics(predictions(spark, d), CLASSES, MODELS)
+    outside = metrics.macro_metrics(external_predictions(spark, d), CLASSES, MODELS)
     return dashboard.narrative_facts(dashboard.final_comparison(inside, outside, MODELS)).drop("summary")
 
 
@@ -450,14 +456,18 @@ def q_chart_unpivot(spark, d):
     return out.select("model", "measure", F.round("percent", 4).alias("percent"))
 
 
-@query(f"SELECT c.class, round(coalesce(a.p, 0.0), 6) AS first, round(coalesce(b.p, 0.0), 6) AS second FROM (SELECT unnest(['en', 'fr', 'de', 'es']) AS class) c LEFT JOIN (SELECT lang AS class, count(*) / sum(count(*)) OVER () AS p FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) a USING (class) LEFT JOIN (SELECT lang AS class, count(*) / sum(count(*)) OVER () AS p FROM documents WHERE doc_id % 2 = 1 AND lang <> 'es' GROUP BY 1) b USING (class)")
+_SHARE = f"SELECT predicted_label AS class, count(*) / sum(count(*)) OVER () AS p FROM {_PREDICTIONS} WHERE status = 'success' AND model = "
+
+
+@query(f"SELECT class, round(coalesce(a.p, 0.0), 6) AS first, round(coalesce(b.p, 0.0), 6) AS second FROM ({_SHARE}'lexicon' GROUP BY 1) a FULL JOIN ({_SHARE}'charset' GROUP BY 1) b USING (class)")
 def q_two_model_outer(spark, d):
-    def share(df):
-        counts = df.groupBy(F.col("lang").alias("class")).agg(F.count("*").alias("n"))
-        return counts.crossJoin(F.broadcast(df.agg(F.count("*").alias("t")))).select("class", (F.col("n") / F.col("t")).alias("probability"))
+    """The share of each class among the predictions of either model."""
 
-    own = docs(spark, d, "doc_id", "lang")
-    out = metrics.compare_two(share(own.where("doc_id % 2 = 0")), share(own.where("doc_id % 2 = 1 and lang <> 'es'")))
+    def share(model):
+        counts = predictions(spark, d).where((F.col("model") == model) & (F.col("status") == "success")).groupBy(F.col("predicted_label").alias("class")).agg(F.count("*").alias("n"))
+        return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("t")))).select("class", (F.col("n") / F.col("t")).alias("probability"))
+
+    out = metrics.compare_two(share("lexicon"), share("charset"))
     return out.select("class", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"))
 
 
@@ -556,11 +566,11 @@ def q_train_mlr(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External evaluation: hash, anti join, short texts failed, two scorers, metrics by model in model order."""
-    return dashboard.model_comparison(metrics.macro_metrics(predictions(spark, sf_dir), CLASSES, MODELS), MODELS)
+    return dashboard.model_comparison(metrics.macro_metrics(external_predictions(spark, sf_dir), CLASSES, MODELS), MODELS)
 
 
 @query(
-    f"SELECT m.model_idx, x.model, {_MACRO_ROUND}, CAST(0.0 AS DOUBLE) AS prediction_time_seconds, CAST(0.0 AS DOUBLE) AS seconds_per_document, CASE WHEN row_number() OVER (ORDER BY macro_f1 DESC, model_idx) = 1 THEN 'best macro F1' ELSE '' END AS tag FROM {_macro(_PREDICTIONS)} x JOIN {_values(MODELS, 'model', 'model_idx')} m ON m.model = x.model"
+    f"SELECT m.model_idx, x.model, {_MACRO_ROUND}, CAST(0.0 AS DOUBLE) AS prediction_time_seconds, CAST(0.0 AS DOUBLE) AS seconds_per_document, CASE WHEN row_number() OVER (ORDER BY macro_f1 DESC, model_idx) = 1 THEN 'best macro F1' ELSE '' END AS tag FROM {_macro(_EXTERNAL)} x JOIN {_values(MODELS, 'model', 'model_idx')} m ON m.model = x.model"
 )
 def q_external_evaluation(spark, d):
     out = flagship(spark, d)

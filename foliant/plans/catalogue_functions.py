@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliant.functions import nested, text
 from foliant.operators import metrics, quality, scoring, training
 from foliant.plans import dashboard
-from foliant.plans.catalogue import _WS, CLASSES, MODELS, _clean, _INTERNAL, _macro, _PREDICTIONS, _values, docs, internal_predictions, predictions, query
+from foliant.plans.catalogue import _WS, CLASSES, MODELS, _clean, _EXTERNAL, _INTERNAL, _macro, _values, docs, external_predictions, internal_predictions, query
 
 # ---------------------------------------------------------------- text and paths
 
@@ -144,13 +144,13 @@ def q_weighted_loss(spark, d):
 
 
 @query(
-    f"""WITH j AS (SELECT m.model_idx, i.model, i.macro_f1 AS a, e.macro_f1 AS b, i.macro_f1 - e.macro_f1 AS c FROM {_macro(_INTERNAL)} i JOIN {_macro(_PREDICTIONS)} e ON e.model = i.model JOIN {_values(MODELS, 'model', 'model_idx')} m ON m.model = i.model)
+    f"""WITH j AS (SELECT m.model_idx, i.model, i.macro_f1 AS a, e.macro_f1 AS b, i.macro_f1 - e.macro_f1 AS c FROM {_macro(_INTERNAL)} i JOIN {_macro(_EXTERNAL)} e ON e.model = i.model JOIN {_values(MODELS, 'model', 'model_idx')} m ON m.model = i.model)
 SELECT 'Best on the internal set: ' || (SELECT model FROM j ORDER BY a DESC, model_idx LIMIT 1) || '. Best on the external set: ' || (SELECT model FROM j ORDER BY b DESC, model_idx LIMIT 1) || '. Smallest drop of macro F1: ' || (SELECT model FROM j ORDER BY c, model_idx LIMIT 1) ||
 '. Most sensitive to new sources: ' || (SELECT string_agg(model, ' and ' ORDER BY c DESC, model_idx) FROM (SELECT * FROM j ORDER BY c DESC, model_idx LIMIT 2)) || '.' AS summary"""
 )
 def q_comparison_sentence(spark, d):
     inside = metrics.macro_metrics(internal_predictions(spark, d), CLASSES, MODELS)
-    outside = metrics.macro_metrics(predictions(spark, d), CLASSES, MODELS)
+    outside = metrics.macro_metrics(external_predictions(spark, d), CLASSES, MODELS)
     return dashboard.narrative_facts(dashboard.final_comparison(inside, outside, MODELS)).select("summary")
 
 

@@ -165,3 +165,9 @@ def test_dashboard(spark):
     assert got == {"x": True, "y": False}
     assert [r.label for r in dimension(spark, ["q", "p"]).orderBy("class_idx").collect()] == ["q", "p"]
     assert dashboard.numeric(spark.createDataFrame([("x",), ("2",)], "v string"), ["v"]).agg(F.sum("v")).first()[0] == 2.0
+
+
+def test_two_models_fill_missing_classes(spark):
+    side = lambda rows: spark.createDataFrame(rows, "class string, probability double")
+    got = {r["class"]: (r["first"], r["second"]) for r in metrics.compare_two(side([("a", 0.25), ("b", 0.75)]), side([("b", 0.5), ("c", 0.5)])).collect()}
+    assert got == {"a": (0.25, 0.0), "b": (0.75, 0.5), "c": (0.0, 0.5)}
