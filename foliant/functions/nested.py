@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.num import clamp_1000, lenient_double
+from foliant.functions.num import bind, clamp_1000, lenient_double
 from foliant.functions.text import clean_text, strip_space
 
 #: Fixed values of the page that text is rendered to.
@@ -57,23 +57,35 @@ def normalize_ocr(words: Column, boxes: Column, width: Column, height: Column, c
 
     clean: clean_text as inference does, or strip_space as training does.
     """
-    rows = F.filter(F.transform(F.arrays_zip(words.alias("w"), boxes.alias("b")), lambda r: F.struct(clean(r["w"]).alias("w"), r["b"].alias("b"))), lambda r: F.coalesce(r["w"], F.lit("")) != "")
-    bad = F.get(F.filter(F.transform(rows, lambda r: box_error(r["b"])), lambda e: e.isNotNull()), F.lit(0))
-    error = (
+    given = F.struct(words.alias("words"), boxes.alias("boxes"), width.cast("double").alias("width"), height.cast("double").alias("height"))
+    return bind(given, lambda g: bind(_cleaned_rows(g, clean), lambda rows: bind(_ocr_error(g, rows), lambda error: _normalized(g, rows, error))))
+
+
+def _cleaned_rows(given: Column, clean) -> Column:
+    rows = F.transform(F.arrays_zip(given["words"].alias("w"), given["boxes"].alias("b")), lambda r: F.struct(clean(r["w"]).alias("w"), r["b"].alias("b")))
+    return F.filter(rows, lambda r: F.coalesce(r["w"], F.lit("")) != "")
+
+
+def _ocr_error(given: Column, rows: Column) -> Column:
+    words, boxes = given["words"], given["boxes"]
+    return (
         F.when(words.isNull() | boxes.isNull(), "words and boxes must be lists")
         .when(F.size(words) != F.size(boxes), F.format_string("mismatch of %d words and %d boxes", F.size(words), F.size(boxes)))
         .when(F.size(rows) == 0, NO_WORDS)
-        .when(bad.isNotNull(), bad)
-        .when(~F.coalesce((width > 0) & (height > 0), F.lit(False)), "page without extent")
+        .otherwise(F.coalesce(F.get(F.filter(F.transform(rows, lambda r: box_error(r["b"])), lambda e: e.isNotNull()), F.lit(0)), F.when(~F.coalesce((given["width"] > 0) & (given["height"] > 0), F.lit(False)), "page without extent")))
     )
-    return F.struct(error.alias("error"), F.when(error.isNull(), F.transform(rows, lambda r: r["w"])).alias("words"), F.when(error.isNull(), F.transform(rows, lambda r: scale_box(r["b"], width, height))).alias("boxes"))
+
+
+def _normalized(given: Column, rows: Column, error: Column) -> Column:
+    boxes = F.transform(rows, lambda r: scale_box(r["b"], given["width"], given["height"]))
+    return F.struct(error.alias("error"), F.when(error.isNull(), F.transform(rows, lambda r: r["w"])).alias("words"), F.when(error.isNull(), boxes).alias("boxes"))
 
 
 def load_ocr(json: Column, image_width: Column, image_height: Column, clean=strip_space) -> Column:
     """normalize_ocr() of a JSON payload. Its image size counts where it is a positive number, else the given one."""
-    p = F.from_json(json, OCR_JSON, {"mode": "PERMISSIVE"})
     side = lambda own, given: F.coalesce(F.when(lenient_double(own, None) > 0, lenient_double(own, None)), given.cast("double"))
-    return normalize_ocr(p["words"], p["boxes"], side(p["image_width"], image_width), side(p["image_height"], image_height), clean)
+    parsed = F.from_json(json, OCR_JSON, {"mode": "PERMISSIVE"})
+    return bind(parsed, lambda p: normalize_ocr(p["words"], p["boxes"], side(p["image_width"], image_width), side(p["image_height"], image_height), clean))
 
 
 def mapping_consistent(label2id: Column, id2label: Column) -> Column:

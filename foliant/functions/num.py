@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for each row. Written out, an expression runs again wherever body names it, and inside a
+    function of a list's elements once for each of them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lenient_double(c: Column, default: float | None = 0.0) -> Column:
     """A number in a string, else the default. Java's suffixes d and f don't make one."""
     text = F.trim(c.cast("string"))
@@ -29,8 +37,8 @@ def total(values: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / total(e))
+    powers = bind(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return bind(powers, lambda e: bind(total(e), lambda z: F.transform(e, lambda x: x / z)))
 
 
 def argmax(values: Column) -> Column:
