@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, chat_format, jaccard_join, language_id, near_vectors, packing, sharding, substring_dedup, topk, url_filter
+from foliant.llm import bpe, change_points, chat_format, jaccard_join, language_id, near_vectors, packing, sharding, substring_dedup, topk, url_filter
 from foliant.session import ship
 
 
@@ -28,6 +28,7 @@ QUERIES = {
         packing.op8_packing,
         chat_format.op9_chat_format,
         sharding.op10_sharding,
+        change_points.op12_change_points,
     )
 }
-ORACLES = {"op1_topk": topk.OP1_SQL, "op9_chat_format": chat_format.OP9_SQL}
+ORACLES = {"op1_topk": topk.OP1_SQL, "op9_chat_format": chat_format.OP9_SQL, "op12_change_points": change_points.OP12_SQL}
