@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, change_points, chat_format, jaccard_join, language_id, near_vectors, packing, sharding, substring_dedup, topk, url_filter
+from foliant.llm import bpe, centroids, change_points, chat_format, jaccard_join, language_id, near_vectors, packing, sharding, substring_dedup, topk, url_filter
 from foliant.session import ship
 
 
@@ -29,6 +29,7 @@ QUERIES = {
         chat_format.op9_chat_format,
         sharding.op10_sharding,
         change_points.op12_change_points,
+        centroids.op13_centroids,
     )
 }
-ORACLES = {"op1_topk": topk.OP1_SQL, "op9_chat_format": chat_format.OP9_SQL, "op12_change_points": change_points.OP12_SQL}
+ORACLES = {"op1_topk": topk.OP1_SQL, "op9_chat_format": chat_format.OP9_SQL, "op12_change_points": change_points.OP12_SQL, "op13_centroids": centroids.OP13_SQL}
