@@ -52,19 +52,20 @@ def _segments(days: str, least: int, penalty: int, kind: str) -> str:
     cost = f"cast({_cost('(b.at - a.at)', _spread(n, s, q, kind))} as bigint)"
     start = f"array(named_struct('at', 0L, 's', {zero}, 'q', {zero}, 'best', 0L, 'enter', r))"
     points = f"aggregate({days}, array(named_struct('at', 0L, 's', {zero}, 'q', {zero})), (p, x) -> p || array(named_struct('at', cast(size(p) as bigint), 's', cast(p[size(p) - 1].s + x as {kind}), 'q', cast(p[size(p) - 1].q + cast(x as {kind}) * x as {kind}))))"
-    before = f"slice(f, 1, 1) || slice(f, {least + 1}, greatest(cast(b.at as int) - {2 * least - 1}, 0))"
+    later = f"slice(f, {least + 1}, greatest(cast(b.at as int) - {2 * least - 1}, 0))"
+    entered = f"a.enter + rr * {cost}"
     idle = f"b.at > size({days}) - {least} and b.at < size({days})"
-    step = f"if({idle}, 0L, array_min(transform({before}, a -> a.enter + r * r * {cost})))"
-    state = _let("m", step, f"named_struct('at', b.at, 's', b.s, 'q', b.q, 'best', m, 'enter', m - m % r + r + b.at + r * r * {penalty}L)")
+    step = f"if({idle}, 0L, aggregate({later}, {_let('a', 'f[0]', entered)}, (m, a) -> least(m, {entered})))"
+    state = _let("m", step, f"named_struct('at', b.at, 's', b.s, 'q', b.q, 'best', m, 'enter', m - m % r + r + b.at + rr * {penalty}L)")
     fold = f"aggregate(slice({points}, 2, size({days})), {start}, (f, b) -> f || array({state}))"
     end = "f[size(f) - 1]"
     parts = f"{end}.best div r % r"
     hop = _let("a", "f[cast(w.at as int)].best % r", "named_struct('at', a, 'way', array(named_struct('a', a, 'b', w.at)) || w.way)")
     back = f"aggregate(sequence(1L, {parts}), named_struct('at', {end}.at, 'way', cast(array() as array<struct<a: bigint, b: bigint>>)), (w, k) -> {hop}, w -> w.way)"
-    named = f"named_struct('after', a.at, 'n_days', b.at - a.at, 'total', cast(b.s - a.s as bigint), 'spread', cast({_spread(n, s, q, kind)} as bigint), 'cost', {cost}, 'n_segments', {parts}, 'best_cost', {end}.best div (r * r))"
+    named = f"named_struct('after', a.at, 'n_days', b.at - a.at, 'total', cast(b.s - a.s as bigint), 'spread', cast({_spread(n, s, q, kind)} as bigint), 'cost', {cost}, 'n_segments', {parts}, 'best_cost', {end}.best div rr)"
     ends = _let("b", "f[cast(c.b as int)]", named)
     whole = _let("f", fold, f"transform({back}, c -> {_let('a', 'f[cast(c.a as int)]', ends)})")
-    return _let("r", f"cast(size({days}) + 2 as bigint)", whole)
+    return _let("r", f"cast(size({days}) + 2 as bigint)", _let("rr", "r * r", whole))
 
 
 def change_points(daily: DataFrame, least: int = 14, penalty: int = 40_000) -> DataFrame:
