@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: n * Q of a series up to which whole numbers of 64 bits hold every product; beyond, decimals of 38 digits do.
 NARROW = 4e18
+#: Days of the fold between two choices of the prefixes that may still win.
+STRIDE = 8
 
 
 def daily_totals(df: DataFrame, key: Column, at: Column, value: Column) -> DataFrame:
@@ -23,14 +25,14 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _spread(n: str, s: str, q: str, kind: str) -> str:
-    """V = 1 + floor((n * q - s * s) / (n * n)) of a segment with n days, sum s and sum of squares q."""
-    top, low = f"({n} * {q} - {s} * {s})", f"({n} * {n})"
+def _ratio(n: str, s: str, q: str, low: str, kind: str) -> str:
+    """1 + floor((n * q - s * s) / low)."""
+    top = f"({n} * {q} - {s} * {s})"
     return f"(1 + {top} div {low})" if kind == "bigint" else f"(1 + ({top} - {top} % {low}) / {low})"
 
 
-def _cost(n: str, v: str) -> str:
-    return f"({n} * floor(1000D * ln(cast({v} as double))))"
+def _log(v: str) -> str:
+    return f"floor(1000D * ln(cast({v} as double)))"
 
 
 def _between(a: str, b: str, kind: str) -> tuple[str, str, str]:
@@ -46,26 +48,51 @@ def _segments(days: str, least: int, penalty: int, kind: str) -> str:
     best cost, its number of segments, and the prefix before its last segment. Numbers compare as the three do. The next day's
     element is the least number over the whole prefix as one segment and over all prefixes that leave room for ``least`` days on both sides
     (enter: what such a segment adds to, with its own place as last digit). Days too close to the end to start a segment get no costs.
+
+    The fold goes in strides of w days, at most ``least``, so that no day of a stride can be the start of a segment that ends in it; a fold copies
+    its state at every step. Before a stride, prefixes that can't win on any of its days are left out, exactly: a segment of
+    n days whose squared deviations sum to D has, t days later, at least D and so at least (n + t) * g as cost, with g = floor(1000 * ln(1 + floor(D / (n + w)))).
+    On the other side every day's best is at most what the whole prefix or the last day's winner cost there (most: the largest of those less t * h,
+    with h the winner's cost a day). So prefix a is out if enter + n * g - w * max(0, h - g) > most.
     """
-    zero = f"cast(0 as {kind})"
+    zero, w = f"cast(0 as {kind})", min(STRIDE, least)
     n, s, q = _between("a", "b", kind)
-    cost = f"cast({_cost('(b.at - a.at)', _spread(n, s, q, kind))} as bigint)"
-    start = f"array(named_struct('at', 0L, 's', {zero}, 'q', {zero}, 'best', 0L, 'enter', r))"
-    points = f"aggregate({days}, array(named_struct('at', 0L, 's', {zero}, 'q', {zero})), (p, x) -> p || array(named_struct('at', cast(size(p) as bigint), 's', cast(p[size(p) - 1].s + x as {kind}), 'q', cast(p[size(p) - 1].q + cast(x as {kind}) * x as {kind}))))"
-    later = f"slice(f, {least + 1}, greatest(cast(b.at as int) - {2 * least - 1}, 0))"
+    spread = _ratio(n, s, q, f"({n} * {n})", kind)
+    cost = f"cast((b.at - a.at) * {_log(spread)} as bigint)"
     entered = f"a.enter + rr * {cost}"
+    start = f"array(named_struct('at', 0L, 's', {zero}, 'q', {zero}, 'best', 0L, 'enter', r))"
+    end = "f[size(f) - 1]"
+    known = "cast(o.at as int)"
+
+    # the points of a stride, and its days' elements: from the whole prefix, the prefixes kept, and those that get room within the stride
+    last = "p[size(p) - 1]"
+    points = f"slice(aggregate(slice({days}, k * {w} + 1, {w}), array(named_struct('at', o.at, 's', o.s, 'q', o.q)), (p, x) -> p || array(named_struct('at', {last}.at + 1L, 's', cast({last}.s + x as {kind}), 'q', cast({last}.q + cast(x as {kind}) * x as {kind})))), 2, {w})"
+    oldest = f"greatest({least}, {known} - {least - 1})"
+    recent = f"slice(f, {oldest} + 1, {w})"
+    room = f"slice(recent, 1, greatest(cast(b.at as int) - {least - 1} - {oldest}, 0))"
     idle = f"b.at > size({days}) - {least} and b.at < size({days})"
-    step = f"if({idle}, 0L, aggregate({later}, {_let('a', 'f[0]', entered)}, (m, a) -> least(m, {entered})))"
+    step = f"if({idle}, 0L, aggregate({room}, aggregate(kept, {_let('a', 'f[0]', entered)}, (m, a) -> least(m, {entered})), (m, a) -> least(m, {entered})))"
     state = _let("m", step, f"named_struct('at', b.at, 's', b.s, 'q', b.q, 'best', m, 'enter', m - m % r + r + b.at + rr * {penalty}L)")
-    fold = f"aggregate(slice({points}, 2, size({days})), {start}, (f, b) -> f || array({state}))"
-    end = "f[size(f) - 1]"
+
+    # the prefixes kept
+    n0, s0, q0 = _between("a", "o", kind)
+    low = _log(_ratio(n0, s0, q0, f"({n0} * ({n0} + {w}))", kind))
+    bound = _let("g", low, f"a.enter + rr * ((o.at - a.at) * g - {w}L * greatest(0L, h - g))")
+    whole, winner = _let("a", "f[0]", entered), _let("a", "win", entered)
+    most = f"array_max(transform(stride, b -> least({whole}, {winner}) - rr * (b.at - o.at) * h))"
+    ready = f"slice(f, {least + 1}, greatest({known} - {2 * least - 1}, 0))"
+    h = "cast((o.best - win.enter) div rr div (o.at - win.at) as bigint)"
+    kept = f"if(o.at < {2 * least}, {ready}, {_let('win', 'f[cast(o.best % r as int)]', _let('h', h, _let('most', most, f'filter({ready}, a -> {bound} <= most)')))})"
+    days_of = _let("kept", kept, _let("recent", recent, f"f || transform(stride, b -> {state})"))
+    fold = f"aggregate(sequence(0, (size({days}) - 1) div {w}), {start}, (f, k) -> {_let('o', end, _let('stride', points, days_of))})"
+
     parts = f"{end}.best div r % r"
     hop = _let("a", "f[cast(w.at as int)].best % r", "named_struct('at', a, 'way', array(named_struct('a', a, 'b', w.at)) || w.way)")
     back = f"aggregate(sequence(1L, {parts}), named_struct('at', {end}.at, 'way', cast(array() as array<struct<a: bigint, b: bigint>>)), (w, k) -> {hop}, w -> w.way)"
-    named = f"named_struct('after', a.at, 'n_days', b.at - a.at, 'total', cast(b.s - a.s as bigint), 'spread', cast({_spread(n, s, q, kind)} as bigint), 'cost', {cost}, 'n_segments', {parts}, 'best_cost', {end}.best div rr)"
+    named = f"named_struct('after', a.at, 'n_days', b.at - a.at, 'total', cast(b.s - a.s as bigint), 'spread', cast({spread} as bigint), 'cost', {cost}, 'n_segments', {parts}, 'best_cost', {end}.best div rr)"
     ends = _let("b", "f[cast(c.b as int)]", named)
-    whole = _let("f", fold, f"transform({back}, c -> {_let('a', 'f[cast(c.a as int)]', ends)})")
-    return _let("r", f"cast(size({days}) + 2 as bigint)", _let("rr", "r * r", whole))
+    segments = _let("f", fold, f"transform({back}, c -> {_let('a', 'f[cast(c.a as int)]', ends)})")
+    return _let("r", f"cast(size({days}) + 2 as bigint)", _let("rr", "r * r", segments))
 
 
 def change_points(daily: DataFrame, least: int = 14, penalty: int = 40_000) -> DataFrame:
