@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, centroids, change_points, chat_format, jaccard_join, language_id, near_vectors, packing, sharding, substring_dedup, topk, url_filter
+from foliant.llm import bpe, centroids, change_points, chat_format, jaccard_join, language_id, near_vectors, packing, personal_data, sharding, substring_dedup, topk, url_filter
 from foliant.session import ship
 
 
@@ -28,6 +28,7 @@ QUERIES = {
         packing.op8_packing,
         chat_format.op9_chat_format,
         sharding.op10_sharding,
+        personal_data.op11_personal_data,
         change_points.op12_change_points,
         centroids.op13_centroids,
     )

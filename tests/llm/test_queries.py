@@ -14,7 +14,7 @@ needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
 
 
 @needs_data
