@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliant.llm.hashing import U, Words, distinct, mix, text_slices
 from foliant.llm.packed import pack_arrays, runs_of, unpack_arrays
 from foliant.llm.scratch import Scratch, components
+from foliant.llm.substring_dedup import origin_of
 
 #: Bits of a signature, children of a tree's node, members of a block that meet in one task at most.
 BITS, FAN, BLOCK = 4096, 8, 1024
@@ -21,6 +22,8 @@ SPARE = 4
 ROW = 1 << 16
 #: Bytes of text that a bucket of shingles stands for, about; buckets at least.
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
+#: Bytes of sets that a group of blocks gets, about.
+GROUP_BYTES = 8 << 20
 #: Documents of the sample that names the frequent shingles, about, and how many of its texts make one frequent.
 SAMPLE, FREQUENT = 20_000, 3
 
@@ -208,7 +211,7 @@ class Shingles:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
 
     def prefixes(self, frequent):
-        """For each document its number of shingles and its set's id (bucket -1); for each bucket the prefix shingles of the sets.
+        """For each document its number of shingles and its set's id (bucket -1), with the hash of its text; for each bucket the prefix shingles of the sets.
 
         Frequent shingles come last in the order, so that they stand in few prefixes. Equal sets of one task go once.
         """
@@ -216,11 +219,11 @@ class Shingles:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hot, seen = frequent.value, set()
             for b in batches:
-                ids = b.column(0).to_numpy()
+                ids, origins = b.column(0).to_numpy(), b.column(2).to_numpy()
                 for at, end, sets in self._sets(b):
                     sids = [set_id(s) if len(s) else None for s in sets]
                     n = end - at
-                    yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), pa.array(ids[at:end]), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), pa.array([None] * n, pa.binary())], ["bucket", "id", "n", "sid", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), pa.array(ids[at:end]), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), pa.array(origins[at:end]), pa.array([None] * n, pa.binary())], ["bucket", "id", "n", "sid", "origin", "payload"])
                     tokens, owners = [], []
                     for s, k in zip(sets, sids, strict=True):
                         if k is None or k in seen:
@@ -249,7 +252,7 @@ class Shingles:
                         keys.append(k)
                         blobs.append(pack_arrays(own[cut], np.diff(np.append(cut, len(own))).astype("<u4"), mark[part]))
                     n = len(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "id", "n", "sid", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([None] * n, pa.int64()) for _ in range(4)), pa.array(blobs, pa.binary())], ["bucket", "id", "n", "sid", "origin", "payload"])
 
         return run
 
@@ -309,12 +312,13 @@ class Shingles:
 
 
 def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """(key, n_shingles, component_id): distinct shingles of ``size`` words, and the smallest key reachable by links, for every row.
+    """(key, n_shingles, component_id, origin, first): distinct shingles of ``size`` words, and the smallest key reachable by links, for every row.
 
     A-Z are lower-cased; words are runs of characters other than ASCII white space. Fewer words than a shingle: the whole sequence
     is the one shingle; null text or none: the set is empty and linked with nothing. Two texts link when 100 * intersection >=
-    percent * union. Keys are whole numbers; rows of one key are in one component only if linked; null keys are left out; an
-    empty table has no rows. Fingerprints have 64 bits.
+    percent * union. Keys are whole numbers; rows of one key are in one component only if linked, and origin (a hash of the text) tells them
+    apart; null keys are left out; an empty table has no rows. first: the row has the smallest key and then origin of its component, as equal rows
+    all have. Fingerprints have 64 bits.
 
     Linked sets share one of the first shingles of each, in any common order, and so are in one of the lists of sets by
     shingle. The first shingles are some more than one shared one needs, so that linked sets share
@@ -328,26 +332,25 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     """
     spark = df.sparkSession
     scratch, similar = Scratch(spark, "jaccard-join"), Similarity(percent)
-    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), origin_of(F.col(text)).alias("origin"))
     rows, volume = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     work = Shingles(size, similar, 1 << max(LEAST_BUCKETS.bit_length() - 1, (int(volume) // BUCKET_BYTES).bit_length()))
-    groups = work.buckets * 2
 
     share = min(1.0, SAMPLE / max(rows, 1))
     sample = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
     often = sample.select("id", "text").mapInArrow(work.sampled, "token bigint").groupBy("token").count().where(F.col("count") >= FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-    one = scratch.put(docs.mapInArrow(work.prefixes(frequent), "bucket int, id bigint, n bigint, sid bigint, payload binary"), "prefixes")
-    classes = scratch.put(one.where("bucket = -1").select("id", "n", "sid"), "classes")
+    one = scratch.put(docs.select("id", "text", "origin").mapInArrow(work.prefixes(frequent), "bucket int, id bigint, n bigint, sid bigint, origin bigint, payload binary"), "prefixes")
+    classes = scratch.put(one.where("bucket = -1").select("id", "n", "sid", "origin"), "classes")
     lists = one.where("bucket >= 0").select("bucket", "payload").groupBy("bucket").applyInArrow(lambda t: work.blocks(t), "list bigint, part bigint, shared bigint, sids binary")
     lists = lists.groupBy("list", "part").agg(F.sum("shared").alias("shared"), F.first("sids").alias("sids")).select("list", "shared", "sids")
     member = scratch.put(lists.mapInArrow(work.members, "list bigint, shared bigint, sid bigint"), "met")
     scratch.drop("prefixes")
 
     # sets that share too few of their first shingles with any other have no link
-    firsts = classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    firsts = classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min(F.struct("id", "origin")).alias("row"), F.min("n").alias("n"))
     shares = member.groupBy("sid").agg(F.sum("shared").alias("shared"))
-    active = scratch.put(firsts.join(shares, "sid").where(F.col("shared") >= F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / SPARE) + 1).select("sid", "id"), "active")
+    active = scratch.put(firsts.join(shares, "sid").where(F.col("shared") >= F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / SPARE) + 1).select("sid", "row.*"), "active")
     member = scratch.put(member.join(active.select("sid"), "sid").select("list", "shared", "sid"), "members")
     scratch.drop("met")
     first = scratch.put(member.groupBy("list").agg(F.min("sid").alias("first"), F.count("*").alias("size")).where("size > 1").select("list", "first"), "first")
@@ -358,11 +361,14 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     pieces = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
     places = placed.join(pieces, "cluster").groupBy("sid").agg(F.collect_list(F.struct("cluster", "pieces")).alias("places"))
     kind = "array<struct<cluster:bigint,pieces:int>>"
-    shown = scratch.put(places.join(active, "sid").select("id", "sid", "places"), "shown")
+    shown = scratch.put(places.join(active, "sid").select("id", "origin", "sid", "places"), "shown")
     # one plan at every size: the texts are dealt by id to the few rows that name them, without a sort
-    sets = docs.join(shown.hint("shuffle_hash"), "id").select("sid", "text", "places").mapInArrow(work.sets, f"sid bigint, places {kind}, members binary")
+    sets = docs.join(shown.hint("shuffle_hash"), ["id", "origin"]).select("sid", "text", "places").mapInArrow(work.sets, f"sid bigint, places {kind}, members binary")
     sets = scratch.put(sets, "sets")
     scratch.drop("members", "first", "active", "placed", "shown")
+    # a set goes out once for each piece of its clusters: the groups follow what is sent
+    sent = sets.agg(F.coalesce(F.sum(F.octet_length("members") * F.aggregate("places", F.lit(0).cast("bigint"), lambda n, p: n + p["pieces"])), F.lit(0))).first()[0]
+    groups = max(work.buckets * 2, int(sent) // GROUP_BYTES)
     near = sets.select("sid", "members", F.inline("places"))
     piece = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("pieces")).cast("int")
     near = near.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -372,13 +378,14 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     scratch.drop("sets")
     label = components(scratch, links, "linked")
 
-    named = classes.join(label, classes.sid == label.node, "left").select("id", "n", F.coalesce("component", "sid").alias("class"))
+    named = classes.join(label, classes.sid == label.node, "left").select("id", "n", "origin", F.coalesce("component", "sid").alias("class"))
     named = scratch.put(named, "named")
-    least = scratch.put(named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least")), "least")
+    least = scratch.put(named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("id", "origin")).alias("least")), "least")
     out = named.join(least, "class", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    first = F.coalesce((F.col("id") == F.col("least.id")) & (F.col("origin") == F.col("least.origin")), F.lit(True))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least.id", "id").alias("component_id"), "origin", first.alias("first"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents by shingles of five words and a Jaccard similarity of 0.75 or more."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").drop("origin", "first")

@@ -118,16 +118,16 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", rounds: int = 6, penalty: float = 5.0) -> DataFrame:
-    """Adds lang_pred and score from the text alone.
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", rounds: int = 6, penalty: float = 5.0, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds lang_pred and score, or what ``into`` calls them, from the text alone.
 
     ``und`` with score 0: text that is null, empty or has no letter, or nothing was learned. Columns of these names are replaced;
     rows are neither added nor dropped.
     """
     langs, logs = model
-    df = df.drop("lang_pred", "score")
+    df = df.drop(*into)
     names = df.columns
-    at_text = names.index(text)
+    at_text, plain = names.index(text), [f"c{i}" for i in range(len(names))]
     shared = df.sparkSession.sparkContext.broadcast(logs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +139,10 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
                     part = data[offsets[i] : offsets[i + 1]]
                     texts.append((part, any(map(str.isalpha, part.tobytes().decode("utf-8", "replace")))))
                 best, score = infer(texts, logs, rounds, penalty)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in b.columns), pa.array([langs[x] if x >= 0 else "und" for x in best], pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in b.columns), pa.array([langs[x] if x >= 0 else "und" for x in best], pa.string()), pa.array(score, pa.float64())], [*plain, *into])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", lang_pred string, score double"
-    return df.mapInArrow(run, schema)
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, df.schema, strict=True)) + f", `{into[0]}` string, `{into[1]}` double"
+    return df.toDF(*plain).mapInArrow(run, schema).toDF(*names, *into)
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:

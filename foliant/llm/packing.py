@@ -38,13 +38,13 @@ class WordEncoder:
     The vocabulary's pre-tokeniser drops white space and never joins what it parts, and no character composes with it, so the
     ids of a text are those of its runs in order. A run that is a plain word and a tail of stops is those two pre-tokens. New plain
     words are encoded many at a time, as one text; the ids that end a word part them again. All other runs go to the
-    tokeniser one by one.
+    tokeniser one by one. The strings of its special tokens, which hold no white space, become those tokens inside texts too, as the library does
+    by default.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True

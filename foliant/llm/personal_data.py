@@ -321,9 +321,9 @@ def detect(df: DataFrame, model: Model, text: str = "text", limit: float = LIMIT
     these two names are replaced; rows are neither added nor dropped. Takes time with a text's length, and any text may repeat.
     """
     df = df.drop("base_spans", "added_spans")
-    spans = "array<struct<kind:int,start:bigint,end:bigint>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", base_spans {spans}, added_spans {spans}"
-    return df.mapInArrow(_detect(model, limit, df.columns.index(text)), schema)
+    spans, plain = "array<struct<kind:int,start:bigint,end:bigint>>", [f"c{i}" for i in range(len(df.columns))]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, df.schema, strict=True)) + f", base_spans {spans}, added_spans {spans}"
+    return df.toDF(*plain).mapInArrow(_detect(model, limit, df.columns.index(text)), schema).toDF(*df.columns, "base_spans", "added_spans")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -70,6 +70,29 @@ def test_jaccard_stage_repeated_rows(spark):
     assert got == sorted([(1, a, "en", None), (1, b, "en", "s"), (3, "alone", "en", "s"), (4, None, "en", "s"), (None, "no id", "en", "s"), (None, "no id", "en", "s")], key=str)
 
 
+def test_jaccard_stage_texts_under_one_id(spark):
+    """A text goes only if it is linked itself; another one under the same id stays."""
+    x, alone = [f"x{i}" for i in range(40)], " ".join(f"a{i}" for i in range(40))
+    near, other = " ".join([*x, "more"]), " ".join(f"o{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, " ".join(x)), (5, near), (5, other), (6, alone), (6, other)], "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()}
+    assert got == {(1, " ".join(x)), (5, other), (6, alone)}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Clashing names keep their values and types through every stage."""
+    texts = {i: " ".join(f"{c}{i}" for c in "abcdefghijkl") + f" w{i}" * 3 for i in range(6)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    more = {"score": F.lit(5), "lang_pred": F.lit(7.5), "_origin": F.lit("o"), "origin": F.lit(True), "Origin_": F.lit(1), "first": F.lit("f"), "n_words": F.lit(2), "kept": F.array(F.lit(1)), "component_id": F.lit("c"), "dotted.name": F.lit("d"), "r": F.lit(3), "count": F.lit(4)}
+    docs = docs.withColumns(more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for rows in (docs, docs.union(docs)):
+            out = stage(spark, rows, "")
+            assert out.schema.names == docs.schema.names and [f.dataType.simpleString() for f in out.schema] == [f.dataType.simpleString() for f in docs.schema], name
+            assert {tuple(map(str, r)) for r in out.collect()} == {tuple(map(str, r)) for r in docs.collect()}, name
+    assert {r.doc_id for r in corpus_pipeline.packing_stage(spark, docs, "").collect()} == set(texts)
+
+
 def test_substring_stage_repeated_rows(spark):
     """Rows that share an id keep their own columns; also those that share the text as well, long texts and null ones."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")

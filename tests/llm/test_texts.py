@@ -96,6 +96,31 @@ def test_jaccard_is_brute_force(spark, monkeypatch, block):
     assert got == brute_components(texts)
 
 
+def test_jaccard_of_different_texts_under_one_id(spark):
+    """Against brute force over tables with repeated ids: rows are linked by their own text alone."""
+    rng = random.Random(4)
+    base = [[f"{c}{i}" for i in range(40)] for c in "xyz"]
+    rows = []
+    for k in range(60):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 12])):
+            words[rng.randrange(40)] = f"n{k}{rng.randrange(9)}"
+        rows.append((rng.randrange(20), " ".join(words)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(36)} for _, t in rows]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    want = sorted((rows[i][0], rows[i][1], min(rows[j][0] for j in range(60) if root[j] == root[i])) for i in range(60))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = jaccard_join.jaccard_components(df, "doc_id").join(df.select("doc_id", "text", substring_dedup.origin_of(F.col("text")).alias("origin")).distinct(), ["doc_id", "origin"])
+    assert sorted((r.doc_id, r.text, r.component_id) for r in out.collect()) == want
+    firsts = out.where("first").select("component_id", "doc_id", "text").distinct().collect()
+    assert len(firsts) == len({root[i] for i in range(60)}) and all(r.doc_id == r.component_id for r in firsts)
+
+
 def test_jaccard_odd_tables(spark):
     df = table(spark, corpus())
     assert jaccard_join.jaccard_components(df.where("false"), "doc_id").count() == 0
@@ -209,10 +234,9 @@ def test_substrings_odd_tables(spark):
 
 
 def test_packing(spark):
-    texts = corpus() + ["word " * 5000, "<|endoftext|> x", "e\u0301 \u03a3\u03a3 \u0130"]
+    texts = corpus() + ["word " * 5000, "<|endoftext|> x", "e\u0301 \u03a3\u03a3 \u0130", "hello <|startoftext|> world<|endoftext|>, end", "<|startoftext|><|endoftext|>.", "A<|STARTOFTEXT|>b <|endoftext |>", "x" * 5000]
     df = table(spark, texts)
     lib = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    lib.encode_special_tokens = True
     rows = packing.pack_documents(df, "doc_id").collect()
     for i, t in enumerate(texts):
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
