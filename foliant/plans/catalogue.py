@@ -6,15 +6,18 @@ embeddings stands for image features, conversations for documents of several pag
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import nested, num, text
-from foliant.operators import dedup, metrics, quality, scoring, split, training
-from foliant.operators.tables import HISTORY, dimension, literal_table
+from foliant.operators import dedup, loop, metrics, quality, scoring, split, training
+from foliant.operators.tables import dimension
 from foliant.plans import dashboard
+from foliant.session import shared_dir, ship
 
 CLASSES = ["en", "fr", "de", "es"]
 MODELS = ["lexicon", "charset"]
@@ -502,25 +505,48 @@ def q_ocr_payload_merge(spark, d):
 
 # ---------------------------------------------------------------- history, JSON, failures, models
 
-HISTORY_ROWS = [
-    {"epoch": e, "train_loss": lo, "train_accuracy": a, "validation_loss": vl, "validation_accuracy": va, "validation_macro_precision": f, "validation_macro_recall": f, "validation_macro_f1": f}
-    for e, lo, a, vl, va, f in ((1, 1.2, 0.5, 1.1, 0.55, 0.5), (2, 0.8, 0.7, 0.9, 0.66, 0.64), (3, 0.6, 0.78, 0.95, 0.65, 0.64), (4, 0.5, 0.82, 0.8, 0.7, 0.69), (5, 0.4, 0.86, 0.82, 0.69, 0.68), (6, 0.3, 0.9, 0.85, 0.69, 0.67), (7, 0.2, 0.93, 0.7, 0.75, 0.74))
-]
-_HIST = "(SELECT * FROM (VALUES " + ", ".join(f"({r['epoch']}, CAST({r['validation_macro_f1']} AS DOUBLE))" for r in HISTORY_ROWS) + ") t(epoch, f1))"
-_IMPROVED = f"(SELECT epoch, f1, f1 > greatest(-1, coalesce(max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)) AS improved FROM {_HIST})"
+def training_run(spark, d) -> tuple[DataFrame, loop.Run]:
+    """The feature rows of all documents, split by language, and a training loop over them. A mini-batch is a sixteenth of the training rows
+    (64 at least), so that an epoch has as many steps at every size."""
+    ship(spark)
+    own = split.stratified_split(docs(spark, d, "doc_id", "lang", "text").where(F.col("lang").isNotNull()), "lang", "doc_id")
+    settings = loop.Settings()
+    place = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    loop.features(own, "doc_id", "lang", "text", "split", CLASSES, settings.dim).write.parquet(place)
+    rows = spark.read.schema(loop.FEATURES).parquet(place)
+    size = max(settings.batch, -(-rows.where("split = 'train'").count() // 16))
+    return rows, loop.train(rows, CLASSES, replace(settings, batch=size))
 
 
-@query(f"SELECT epoch, f1, improved FROM {_IMPROVED}")
+@query(None)
+def q_training_history(spark, d):
+    """One row of measures for each epoch of the training loop over documents."""
+    _, run = training_run(spark, d)
+    return run.table(spark)
+
+
+@query(None)
 def q_best_epoch(spark, d):
-    return training.best_epochs(literal_table(spark, HISTORY_ROWS, HISTORY)).select("epoch", F.col("validation_macro_f1").alias("f1"), "improved")
+    """Which epochs of the training loop over documents wrote the checkpoint."""
+    _, run = training_run(spark, d)
+    return training.best_epochs(run.table(spark)).select("epoch", F.col("validation_macro_f1").alias("f1"), "improved")
 
 
-@query(
-    f"WITH g AS (SELECT *, sum(CASE WHEN improved THEN 1 ELSE 0 END) OVER (ORDER BY epoch) AS run FROM {_IMPROVED}), s AS (SELECT *, sum(CASE WHEN improved THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY epoch) AS stale FROM g) "
-    "SELECT epoch, improved, CAST(stale AS BIGINT) AS stale FROM s WHERE epoch <= coalesce((SELECT min(epoch) FROM s WHERE stale >= 2), 1000000)"
-)
+@query(None)
 def q_early_stop(spark, d):
-    return training.early_stop(literal_table(spark, HISTORY_ROWS, HISTORY)).select("epoch", "improved", "stale")
+    """When the training loop over documents stops."""
+    _, run = training_run(spark, d)
+    return training.early_stop(run.table(spark)).select("epoch", "improved", "stale")
+
+
+@query(None)
+def q_trained_test_metrics(spark, d):
+    """The best checkpoint of the training loop, loaded again and judged on the test documents."""
+    rows, run = training_run(spark, d)
+    weights, _ = loop.load_weights(spark, run.best, CLASSES)
+    names = F.array(*map(F.lit, CLASSES))
+    scored = loop.predict(rows.where("split = 'test'"), weights).select("document", names[F.col("y")].alias("lang"), "scores")
+    return _macro_select(metrics.macro_metrics(scoring.records(scored, "loop", "document", "lang", F.col("scores"), CLASSES), CLASSES, ["loop"]))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS DOUBLE) AS k_number, len(json_keys(props)) AS fields FROM events")
@@ -556,14 +582,6 @@ def _missing_model():
     raise OSError("no weights")
 
 
-@query(None)
-def q_train_mlr(spark, d):
-    own = split.stratified_split(docs(spark, d, "doc_id", "lang", "text"), "lang", "doc_id")
-    model = training.train_text(own.where("split = 'train'"), CLASSES, "lang", "text")
-    scored = training.predict(model, own.where("split = 'test'").withColumn("text", F.coalesce("text", F.lit(""))), "mlr", "doc_id", "lang", CLASSES)
-    return _macro_select(metrics.macro_metrics(scored, CLASSES, ["mlr"]))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External evaluation: hash, anti join, short texts failed, two scorers, metrics by model in model order."""
     return dashboard.model_comparison(metrics.macro_metrics(external_predictions(spark, sf_dir), CLASSES, MODELS), MODELS)
