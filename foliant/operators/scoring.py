@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foliant.functions.num import argmax, label_at, softmax, total
+from foliant.functions.subwords import by_length
 from foliant.functions.text import MIN_CHARS, clean_text
 
 #: Word lists that stand in for a text model. Ties go to the first class.
@@ -100,24 +101,49 @@ _LOADED: dict[str, Callable[[object], list[float]]] = {}
 
 @dataclass(frozen=True)
 class Provider:
-    """A model outside the engine. load() gives a function from a text or other input to a list of class scores."""
+    """A model outside the engine. load() gives a function from a text or other input to a list of class scores; with batch, from a list of up
+    to so many inputs to their lists of scores."""
 
     name: str
-    load: Callable[[], Callable[[object], list[float]]] = field(compare=False)
+    load: Callable[[], Callable] = field(compare=False)
+    batch: int | None = None
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def model(self) -> Callable[[object], list[float]]:
+    def model(self) -> Callable:
         """The loaded model; a worker process keeps it for its later tasks."""
         if self.token not in _LOADED:
             _LOADED[self.token] = self.load()
         return _LOADED[self.token]
 
+    def judge(self, inputs: list, width: int) -> list[tuple[list[float] | None, str | None, float]]:
+        """(scores, error, seconds) of each input. A batch that fails is halved until the failing inputs stand alone; a batch's time is dealt evenly."""
+        began = time.perf_counter()
+        try:
+            found = [self.model()(inputs[0])] if self.batch is None else list(self.model()(inputs))
+            if len(found) != len(inputs):
+                raise ValueError(f"{len(found)} answers for {len(inputs)} inputs")
+            found = [[float(v) for v in f] for f in found]
+            if wrong := next((len(f) for f in found if len(f) != width), None):
+                raise ValueError(f"{wrong} scores for {width} classes")
+            took = (time.perf_counter() - began) / len(inputs)
+            return [(f, None, took) for f in found]
+        except Exception as e:
+            if len(inputs) == 1:
+                return [(None, f"{type(e).__name__}: {e}", time.perf_counter() - began)]
+            half = len(inputs) // 2
+            return self.judge(inputs[:half], width) + self.judge(inputs[half:], width)
+
+
+def _size(x: object) -> int:
+    return len(x) if hasattr(x, "__len__") else 0
+
 
 def score_provider(df: DataFrame, provider: Provider, key: str, label: str, column: str, classes: list[str]) -> DataFrame:
     """Two levels of failure: an error on a row fails that row; an error on loading fails every row of the model.
 
     Loading is tried once on the driver, so that no part of a model's rows succeeds where another part could not load it. Workers
-    load once for each process and score Arrow batches; the time is that of the scoring alone.
+    load once for each process; the time is that of the scoring alone. A provider with batch gets the rows of an Arrow batch in lists of like length
+    (longest first), so that it pads little.
     """
     try:
         provider.model()
@@ -125,21 +151,13 @@ def score_provider(df: DataFrame, provider: Provider, key: str, label: str, colu
         return records(df, provider.name, key, label, F.array(*(F.lit(0.0) for _ in classes)), classes, F.lit(f"{type(e).__name__}: {e}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = provider.model()
         for b in batches:
-            logits, errors, took = [], [], []
-            for x in b["x"]:
-                began = time.perf_counter()
-                try:
-                    found = [float(v) for v in model(x)]
-                    if len(found) != len(classes):
-                        raise ValueError(f"{len(found)} scores for {len(classes)} classes")
-                    logits.append(found)
-                    errors.append(None)
-                except Exception as e:
-                    logits.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-                took.append(time.perf_counter() - began)
+            inputs = b["x"].tolist()
+            found: list = [None] * len(inputs)
+            for places in by_length(inputs, _size, provider.batch or 1):
+                for i, answer in zip(places, provider.judge([inputs[i] for i in places], len(classes)), strict=True):
+                    found[i] = answer
+            logits, errors, took = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
             yield pd.DataFrame({"k": b["k"], "l": b["l"], "logits": logits, "error": errors, "seconds": took})
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, label)}
@@ -147,6 +165,13 @@ def score_provider(df: DataFrame, provider: Provider, key: str, label: str, colu
     return records(scored, provider.name, "k", "l", F.col("logits"), classes, F.col("error"), F.col("seconds"))
 
 
+def observed(records_df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The records, and totals that come with whatever action first runs them: documents, processed, failed, and seconds of prediction. No second pass."""
+    totals = Observation()
+    ok = F.col("status") == "success"
+    return records_df.observe(totals, F.count(F.lit(1)).alias("documents"), F.count(F.when(ok, 1)).alias("processed"), F.count(F.when(~ok, 1)).alias("failed"), F.coalesce(F.sum("prediction_time_seconds"), F.lit(0.0)).alias("seconds")), totals
+
+
 def ranked(records_df: DataFrame, classes: list[str]) -> DataFrame:
     """One row for each record and class by falling probability; ties keep the class order."""
     pairs = F.array(*(F.struct((-F.col(f"prob_{c}")).alias("o"), F.lit(i).alias("i"), F.lit(c).alias("class"), F.col(f"prob_{c}").alias("p")) for i, c in enumerate(classes)))

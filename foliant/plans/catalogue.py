@@ -10,10 +10,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions import nested, num, text
+from foliant.functions import nested, num, subwords, text
 from foliant.operators import dedup, loop, metrics, quality, scoring, split, training
 from foliant.operators.tables import dimension
 from foliant.plans import dashboard
@@ -21,6 +22,7 @@ from foliant.session import shared_dir, ship
 
 CLASSES = ["en", "fr", "de", "es"]
 MODELS = ["lexicon", "charset"]
+VOCABULARY = "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -503,6 +505,39 @@ def q_ocr_payload_merge(spark, d):
     return whole.select("conv_id", "pages", F.size("m.words").cast("bigint").alias("words"), F.sha2(nested.payload_text(F.col("m")), 256).alias("text_sha"))
 
 
+# ---------------------------------------------------------------- model inputs
+
+
+@query(None)
+def q_subword_tokens(spark, d):
+    """The model input of every whole text: ids between a first and a last token; the cut to 512 is the feature, all_tokens is before it."""
+    ship(spark)
+    path = public_tokenizers.path(VOCABULARY)
+    own = subwords.subword_tokens(docs(spark, d, "doc_id", "text"), path, longest=None).select("doc_id", "tokens")
+    kept = F.when(F.size("tokens") <= subwords.LONGEST, F.col("tokens")).otherwise(F.concat(F.slice("tokens", 1, subwords.LONGEST - 1), F.slice("tokens", -1, 1)))
+    return own.select("doc_id", F.size("tokens").cast("bigint").alias("all_tokens"), F.size(kept).cast("bigint").alias("tokens"), F.sha2(F.array_join(kept, ","), 256).alias("ids_sha"))
+
+
+def _first_ids():
+    """A batch model that stands in for a neural one: shares of the ids by class of their remainder, over padded inputs."""
+    import numpy as np
+
+    def score(rows):
+        ids, mask = subwords.padded([np.array(r, np.int32) for r in rows], 0)
+        return [[float(((i % len(CLASSES) == c) * m).sum()) / max(1, int(m.sum())) for c in range(len(CLASSES))] for i, m in zip(ids, mask, strict=True)]
+
+    return score
+
+
+@query(None)
+def q_batch_inference(spark, d):
+    """A provider that takes padded batches of subword ids, over all documents; its totals are observed on the way."""
+    ship(spark)
+    own = subwords.subword_tokens(docs(spark, d, "doc_id", "lang", "text"), public_tokenizers.path(VOCABULARY))
+    scored = scoring.score_provider(own, scoring.Provider("batch", _first_ids, 8), "doc_id", "lang", "tokens", CLASSES)
+    return scored.select("model", "document", "predicted_label", F.round("confidence", 6).alias("confidence"), "status", "error_message")
+
+
 # ---------------------------------------------------------------- history, JSON, failures, models
 
 def training_run(spark, d) -> tuple[DataFrame, loop.Run]:
