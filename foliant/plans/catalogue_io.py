@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import metrics, split
+from foliant.functions import text
+from foliant.operators import kept_index, metrics, split
 from foliant.plans import dashboard
-from foliant.plans.catalogue import _HTML, _MACRO_ROUND, _PREDICTIONS, _SPLIT, CLASSES, MODELS, _class_metrics, _clean, _macro, _values, docs, predictions, query
+from foliant.plans.catalogue import _HTML, _KEPT, _MACRO_ROUND, _PREDICTIONS, _SPLIT, CLASSES, MODELS, ORACLES, _class_metrics, _clean, _macro, _values, docs, external_internal, predictions, query
 from foliant.session import shared_dir
-from foliant.sources import files, sinks
+from foliant.sources import artifacts, files, sinks
 from foliant.streaming import ingest
 
 
@@ -164,3 +165,56 @@ def q_stream_prepared(spark, d):
     stream = ingest.stream_documents(spark, f"{path}/in", "doc_id bigint, text string")
     ingest.write_stream(ingest.prepared(stream), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema("doc_id bigint, text string, text_length int, issue string, sha256 string").parquet(f"{path}/out").select("doc_id", "sha256", F.col("text_length").cast("bigint").alias("text_length"), "issue")
+
+
+_TITLE = f"{_clean("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}"
+
+
+@query(f"SELECT page_id, url, sha256(t) AS text_sha, length(t) AS text_length FROM (SELECT page_id, url, CASE WHEN length({_TITLE}) < 40 THEN {_HTML} ELSE {_TITLE} END AS t FROM pages)")
+def q_retry_in_place(spark, d):
+    """Titles are stored as texts; pages whose title is too short are extracted again, from all of their HTML, and put in place."""
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    store = artifacts.ArtifactStore(spark, work_dir(spark, "store"), "page_id", 16)
+    store.create(pages.select("page_id", "url", text.clean_text(F.regexp_extract(F.coalesce("html", F.lit("")), "(?is)<title>(.*?)</title>", 1)).alias("text")))
+    short = store.read().where(F.length("text") < 40).select("page_id")
+    store.upsert(pages.join(short, "page_id", "left_semi").select("page_id", text.strip_html(F.col("html")).alias("text")))
+    return store.read().select("page_id", "url", F.sha2("text", 256).alias("text_sha"), F.length("text").cast("bigint").alias("text_length"))
+
+
+def document_tree(spark: SparkSession, d: str) -> str:
+    """A folder for each language and last digit of the id, with the texts of the labelled documents; the others have no file."""
+    root = work_dir(spark, "tree")
+    have = spark.read.parquet(f"{d}/labels.parquet").select("doc_id").distinct()
+    own = docs(spark, d, "doc_id", "lang", "text").where("lang is not null").join(have, "doc_id", "left_semi")
+    own.select("lang", F.pmod("doc_id", F.lit(10)).alias("digit"), "doc_id", "text").write.partitionBy("lang", "digit").json(root)
+    return root
+
+
+_BELOW = "SELECT DISTINCT lang, doc_id % 10 AS digit FROM documents JOIN labels USING (doc_id) WHERE lang IS NOT NULL"
+
+
+@query(f"SELECT doc_id, lang, EXISTS (SELECT 1 FROM ({_BELOW}) b WHERE b.lang = d.lang AND b.digit = d.doc_id % 10) AS present FROM documents d")
+def q_artifact_paths(spark, d):
+    """Documents and the folders of a written tree, joined on the parts of their paths; no file is opened."""
+    found = artifacts.listing(spark, document_tree(spark, d), "*.json").select(F.regexp_extract("relative", "^(.*)/[^/]*$", 1).alias("folder")).distinct().withColumn("present", F.lit(True))
+    own = docs(spark, d, "doc_id", "lang").withColumn("folder", F.concat(F.lit("lang="), "lang", F.lit("/digit="), F.pmod("doc_id", F.lit(10)).cast("string")))
+    return own.join(found, "folder", "left").select("doc_id", "lang", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def kept(spark, d) -> tuple[DataFrame, kept_index.KeptIndex]:
+    """External documents with their hashes, and the kept index of the internal ones."""
+    external, internal = external_internal(spark, d)
+    name = f"foliant_hashes_{uuid.uuid4().hex}"
+    return external, kept_index.KeptIndex(spark, name).build(internal, "doc_id", work_dir(spark, name), 8)
+
+
+@query(f"SELECT doc_id, lang FROM {_KEPT}")
+def q_index_kept(spark, d):
+    external, index = kept(spark, d)
+    return index.exclude(external).select("doc_id", "lang")
+
+
+@query(ORACLES["q_dedup_excluded"])
+def q_index_excluded(spark, d):
+    external, index = kept(spark, d)
+    return index.excluded(external).select("doc_id", "lang", "sha256", "matching_raw_paths")
