@@ -71,6 +71,23 @@ def macro_metrics(records: DataFrame, classes: list[str], models: list[str] | No
     return evaluation(records, classes, models).drop("per_class")
 
 
+def confusion_by_set(records: DataFrame, classes: list[str], test_set: str = "test_set") -> DataFrame:
+    """Confusion counts for each test set and model, each set over all models, each model over all sets, and all together: null stands for all.
+
+    (test set, model, class_idx, true_label, a column for each predicted class), from one pass over the records; pairs without any successful
+    record have no rows, and unknown labels are left out.
+    """
+    own = records.where((F.col("status") == "success") & F.col("true_label").isin(*classes))
+    cells = own.groupingSets([[test_set, "model", "true_label"], [test_set, "true_label"], ["model", "true_label"], ["true_label"]], test_set, "model", "true_label").agg(*(F.count(F.when(F.col("predicted_label") == c, 1)).alias(c) for c in classes))
+    # the classes of a pair in one row, so that those without records come back as zeros
+    place = F.array_position(F.array(*map(F.lit, classes)), F.col("true_label")).cast("int")
+    rows = cells.groupBy(test_set, "model").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("i"), F.array(*classes).alias("n")))).alias("by"))
+    zeros = F.array(*(F.lit(0).cast("bigint") for _ in classes))
+    axis = F.array(*(F.struct(F.lit(i + 1).alias("class_idx"), F.lit(c).alias("true_label")) for i, c in enumerate(classes)))
+    out = rows.select(test_set, "model", "by", F.inline(axis)).withColumn("n", F.coalesce(F.try_element_at("by", F.col("class_idx")), zeros))
+    return out.select(test_set, "model", "class_idx", "true_label", *(F.col("n")[i].alias(c) for i, c in enumerate(classes)))
+
+
 def confusion_matrix(counts: DataFrame, classes: list[str], models: list[str] | None = None) -> DataFrame:
     """A row for every model and true class, a column for every predicted class; unknown labels are left out."""
     wide = counts.groupBy("model", "true_label").pivot("predicted_label", classes).agg(F.sum("n"))

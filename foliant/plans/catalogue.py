@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import nested, num, subwords, text
-from foliant.operators import dedup, loop, metrics, quality, scoring, split, training
+from foliant.operators import bayes, dedup, loop, metrics, quality, scoring, split, training
 from foliant.operators.tables import dimension
 from foliant.plans import dashboard
 from foliant.session import shared_dir, ship
@@ -309,6 +309,19 @@ def q_confusion_matrix(spark, d):
     return metrics.confusion_matrix(metrics.pair_counts(predictions(spark, d)), CLASSES, MODELS)
 
 
+_SETS = f"(SELECT *, CASE WHEN document % 5 = 0 THEN 'external' ELSE 'internal' END AS test_set FROM {_PREDICTIONS} WHERE status = 'success')"
+
+
+@query(
+    f"WITH p AS MATERIALIZED {_SETS}, g AS (SELECT DISTINCT test_set, model FROM (SELECT test_set, model FROM p GROUP BY GROUPING SETS ((test_set, model), (test_set), (model), ()))), c AS {_values(CLASSES, 'true_label', 'class_idx')} "
+    f"SELECT g.test_set, g.model, c.class_idx, c.true_label, {', '.join(f"(SELECT count(*) FROM p WHERE p.true_label = c.true_label AND predicted_label = '{x}' AND coalesce(g.test_set, p.test_set) = p.test_set AND coalesce(g.model, p.model) = p.model) AS {x}" for x in CLASSES)} FROM g CROSS JOIN c"
+)
+def q_confusion_by_set(spark, d):
+    """Both models over both test sets, with totals, from one pass over the predictions."""
+    own = predictions(spark, d).withColumn("test_set", F.when(F.pmod("document", F.lit(5)) == 0, "external").otherwise("internal"))
+    return metrics.confusion_by_set(own, CLASSES)
+
+
 def _class_metrics(source: str) -> str:
     return f"""(WITH p AS (SELECT * FROM {source} WHERE status = 'success'),
 c AS (SELECT a.model, a.class_idx, a.label, count(*) FILTER (WHERE p.true_label = a.label AND p.predicted_label = a.label) AS tp, count(*) FILTER (WHERE p.predicted_label = a.label) AS pr, count(*) FILTER (WHERE p.true_label = a.label) AS support
@@ -505,6 +518,60 @@ def q_ocr_payload_merge(spark, d):
     return whole.select("conv_id", "pages", F.size("m.words").cast("bigint").alias("words"), F.sha2(nested.payload_text(F.col("m")), 256).alias("text_sha"))
 
 
+# ---------------------------------------------------------------- models as tables
+
+
+def _bayes_sql(model: str, words: str) -> str:
+    """Records of a naive Bayes model over the rows (doc_id, w) of ``words``, trained on the documents of split train."""
+    split_of = f"(SELECT s.doc_id, s.lang, s.split FROM {_SPLIT} s)"
+    logits = ", ".join(f"p{i} + sum(CASE WHEN w IS NULL THEN 0.0 ELSE k * ln((coalesce(c{i}, 0) + 1.0) / (n{i} + v)) END) AS l{i}" for i in range(4))
+    top, z = "greatest(l0, l1, l2, l3)", " + ".join(f"exp(l{i} - greatest(l0, l1, l2, l3))" for i in range(4))
+    p = ", ".join(f"CASE WHEN ok THEN round(exp(l{i} - {top}) / ({z}), 6) END AS prob_{c}" for i, c in enumerate(CLASSES))
+    pick = "CASE " + " ".join(f"WHEN l{i} = {top} THEN '{c}'" for i, c in enumerate(CLASSES)) + " END"
+    return (
+        f"WITH s AS MATERIALIZED {split_of}, w AS MATERIALIZED ({words}), "
+        f"c AS MATERIALIZED (SELECT w, {', '.join(f"count(*) FILTER (WHERE lang = '{x}') AS c{i}" for i, x in enumerate(CLASSES))} FROM w JOIN s USING (doc_id) WHERE split = 'train' AND w IS NOT NULL GROUP BY 1), "
+        f"n AS (SELECT count(*) AS v, {', '.join(f'sum(c{i}) AS n{i}' for i in range(4))} FROM c), "
+        f"d AS (SELECT {', '.join(f"ln((count(*) FILTER (WHERE lang = '{x}') + 1.0) / (count(*) + 4.0)) AS p{i}" for i, x in enumerate(CLASSES))} FROM s WHERE split = 'train'), "
+        f"k AS (SELECT doc_id, w, count(*) AS k FROM w GROUP BY ALL), "
+        f"l AS (SELECT doc_id, {logits} FROM k LEFT JOIN c USING (w) CROSS JOIN n CROSS JOIN d GROUP BY doc_id, p0, p1, p2, p3) "
+        f"SELECT '{model}' AS model, doc_id AS document, lang AS true_label, CASE WHEN ok THEN {pick} END AS predicted_label, CASE WHEN ok THEN round(1.0 / ({z}), 6) END AS confidence, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, "
+        f"CASE WHEN NOT ok THEN 'text is too short' END AS error_message, {p} FROM l JOIN (SELECT doc_id, lang, length({_clean('text')}) >= 20 AS ok FROM documents) USING (doc_id)"
+    )
+
+
+_WORDS_OF = f"SELECT doc_id, unnest(CASE WHEN c = '' THEN [NULL] ELSE string_split(c, ' ') END) AS w FROM (SELECT doc_id, lower({_clean('text')}) AS c FROM documents)"
+_GRID_OF = (
+    f"SELECT doc_id, CASE WHEN word IS NOT NULL THEN ((x1 + x2) * 4 // 2002) || ':' || ((y1 + y2) * 4 // 2002) || ':' || lower(right(word, 2)) END AS w FROM (SELECT doc_id, word, CAST(greatest(0, least(1000, round_even(CAST(1000 * (i % 12 * 90 + 60) AS DOUBLE) / 1200, 0))) AS BIGINT) AS x1, "
+    "CAST(greatest(0, least(1000, round_even(CAST(1000 * (i // 12 * 36 + 60) AS DOUBLE) / 1600, 0))) AS BIGINT) AS y1, CAST(greatest(0, least(1000, round_even(CAST(1000 * (i % 12 * 90 + 60 + 7 * length(word)) AS DOUBLE) / 1200, 0))) AS BIGINT) AS x2, "
+    "CAST(greatest(0, least(1000, round_even(CAST(1000 * (i // 12 * 36 + 88) AS DOUBLE) / 1600, 0))) AS BIGINT) AS y2 FROM "
+    f"(SELECT doc_id, unnest(CASE WHEN c = '' THEN [NULL] ELSE string_split(c, ' ') END) AS word, unnest(CASE WHEN c = '' THEN [0] ELSE range(0, len(string_split(c, ' '))) END) AS i FROM (SELECT doc_id, {_clean('text')} AS c FROM documents)))"
+)
+
+
+def bayes_records(spark, d, name: str, features: DataFrame) -> DataFrame:
+    """Records of all documents by a naive Bayes model that learns from those of split train. features: (doc_id, feature)."""
+    own = split.stratified_split(docs(spark, d, "doc_id", "lang"), "lang", "doc_id").where("split = 'train'").select("doc_id", "lang")
+    model = bayes.fit(features.join(own, "doc_id").select("lang", "feature"), "lang", own, CLASSES)
+    scored = docs(spark, d, "doc_id", "lang", "text").select("doc_id", "lang", F.when(text.clean_length(F.col("text")) < text.MIN_CHARS, scoring.SHORT).alias("error")).join(bayes.scores(features, "doc_id", model), "doc_id")
+    out = scoring.records(scored, name, "doc_id", "lang", F.col("scores"), CLASSES, F.col("error"))
+    return _rounded(out).select(F.lit(name).alias("model"), "*")
+
+
+@query(_bayes_sql("bayes", _WORDS_OF))
+def q_score_bayes(spark, d):
+    """The text model: naive Bayes over the words of whole texts."""
+    return bayes_records(spark, d, "bayes", bayes.word_features(docs(spark, d, "doc_id", "text"), "doc_id", "text"))
+
+
+@query(_bayes_sql("layout", _GRID_OF))
+def q_score_layout(spark, d):
+    """The layout model: naive Bayes over the ends of words in the cells of a grid over the page."""
+    boxes = q_word_boxes(spark, d).select("doc_id", bayes.grid_feature(F.col("word"), *(F.col(c) for c in ("x1", "y1", "x2", "y2"))).alias("feature"))
+    empty = docs(spark, d, "doc_id", "text").where(text.clean_length(F.col("text")) == 0).select("doc_id", F.lit(None).cast("string").alias("feature"))
+    return bayes_records(spark, d, "layout", boxes.unionByName(empty))
+
+
 # ---------------------------------------------------------------- model inputs
 
 
