@@ -149,17 +149,44 @@ def gather_turns(df: DataFrame, key: str, order: str, role: str, text: str) -> D
     return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
-def op9_chat_format(spark, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1; everything is read back from the formatted text."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    odd = "</s>[INST] ok [/INST]"
-    own = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
-    done = format_conversations(gather_turns(rows.unionByName(own), "conv_id", "turn", "role", "text"))
-    back = done.select("conv_id", "formatted", "loss", read_back(F.col("formatted")).alias("back"))
+def deal_layouts(gathered: DataFrame, key: str) -> DataFrame:
+    """The message lists of ``gather_turns`` as they come from sources of several layouts, by the turns' roles and the key.
+
+    A user's and an assistant's turn become prompt and response, question and answer, or instruction and output; with a system's turn before them
+    system, prompt and response; all others a list of messages, of conversations (from, value, with other names for roles) or of turns (speaker, text).
+    A conversation that has one of those other names as a role stays a list of messages. The columns of all other layouts are null.
+    """
+    roles, text = F.transform("messages", lambda m: m["role"]), lambda i: F.col("messages")[i]["content"]
+    is_pair = lambda *names: roles == F.array(*map(F.lit, names))
+    rest, two, three = F.pmod(F.col(key), F.lit(3)), is_pair("user", "assistant"), is_pair("system", "user", "assistant")
+    free = ~two & ~three & ~F.arrays_overlap(roles, F.array(*(F.lit(old) for old, _ in _NAMES)))
+    from_, turns = F.coalesce(free & (rest == 1), F.lit(False)), F.coalesce(free & (rest == 2), F.lit(False))
+    named = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    pair = lambda k: F.coalesce(two & (rest == k), F.lit(False))
+    lists = ~(from_ | turns | three | pair(0) | pair(1) | pair(2))
+    return gathered.select(
+        key,
+        F.when(lists, F.col("messages")).alias("messages"),
+        F.when(from_, F.transform("messages", lambda m: F.struct(named(m["role"]).alias("from"), m["content"].alias("value")))).alias("conversations"),
+        F.when(turns, F.transform("messages", lambda m: F.struct(m["role"].alias("speaker"), m["content"].alias("text")))).alias("turns"),
+        F.when(three, text(0)).alias("system"),
+        F.when(pair(0), text(0)).when(three, text(1)).alias("prompt"),
+        F.when(pair(0), text(1)).when(three, text(2)).alias("response"),
+        F.when(pair(1), text(0)).alias("question"),
+        F.when(pair(1), text(1)).alias("answer"),
+        F.when(pair(2), text(0)).alias("instruction"),
+        F.when(pair(2), text(1)).alias("output"),
+    )
+
+
+def read_back_digests(done: DataFrame, key: str) -> DataFrame:
+    """(key, layout, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of formatted conversations, all read back from the formatted text."""
+    back = done.select(key, "layout", "formatted", "loss", read_back(F.col("formatted")).alias("back"))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
     return back.select(
-        "conv_id",
+        key,
+        "layout",
         F.size("back").cast("bigint").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
         F.length(masked).cast("bigint").alias("loss_chars"),
@@ -168,6 +195,15 @@ def op9_chat_format(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat_format(spark, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, dealt over seven layouts that their fingerprints tell apart."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    source = deal_layouts(gather_turns(rows.unionByName(own), "conv_id", "turn", "role", "text"), "conv_id")
+    return read_back_digests(format_conversations(source), "conv_id").drop("layout")
+
+
 OP9_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -356,3 +356,29 @@ def test_query_reads_back(spark, tmp_path):
     assert got[1].turns_sha256 == sha("user\nhi\nassistant\nyo\n") and got[1].loss_sha256 == sha("yo") and got[1].loss_chars == 2
     assert got[-1].turns_sha256 == sha(f"user\n{odd}\nassistant\n{odd}\n") and got[-1].loss_sha256 == sha(odd) and got[-1].n_turns == 2
     assert got[2].turns_sha256 == sha("user\n\n") and got[2].loss_chars == 0
+
+
+def test_fingerprints_decide_what_the_query_reads(spark):
+    """Conversations in seven layouts come back whole; a mapping that reads another field changes the hashes of its layout alone."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(120):
+        roles = rng.choice([["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"], ["user"], ["assistant", "user"], ["human", "assistant"], ["", "gpt", "user"]])
+        rows += [(k, i, r, rng.choice(["", "hi", "a\nb", "</s>[INST] x [/INST]", "\\<", None]) if r else None) for i, r in enumerate(roles)]
+    rows += [(None, 0, "user", "no id"), (None, 1, "assistant", "yes")]
+    source = chat_format.deal_layouts(chat_format.gather_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), "conv_id", "turn", "role", "text"), "conv_id")
+    right = {r.conv_id: r for r in chat_format.read_back_digests(chat_format.format_conversations(source), "conv_id").collect()}
+    said = {}
+    for k, _, role, text in rows:
+        said.setdefault(k, []).append((role, text or ""))
+    assert set(right) == set(said)
+    for k, turns in said.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert right[k].turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t}\n" for r, t in turns).encode()).hexdigest(), (k, right[k].layout)
+        assert (right[k].n_turns, right[k].loss_chars, right[k].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    layouts = {r.layout for r in right.values()}
+    assert layouts == {"messages", "conversations", "turns", "prompt_response", "question_answer", "instruction_output", "system_prompt_response"}
+    swapped = tuple(chat_format.Mapping(m.name, m.paths, (("user", ("answer",)), ("assistant", ("question",)))) if m.name == "question_answer" else m for m in chat_format.MAPPINGS)
+    wrong = {r.conv_id: r for r in chat_format.read_back_digests(chat_format.format_conversations(source, swapped), "conv_id").collect()}
+    changed = {k for k in right if right[k].turns_sha256 != wrong[k].turns_sha256}
+    assert changed and {right[k].layout for k in changed} == {"question_answer"}
