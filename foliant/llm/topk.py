@@ -126,45 +126,43 @@ def _look_up(shared, pairs):
     return run
 
 
-def _resolve(shared, k: int, meter):
-    """Phases 2 and 3. Each list sends the entries that reach cutoff / lists; a score at or above the cutoff has one in some list.
-
-    A sent vector's parts that were not sent are below cutoff / lists, which bounds its score; where the bound reaches the cutoff,
-    the missing parts are looked up. The k best of a task go on.
-    """
+def _send(shared, j: int, meter):
+    """Phase 2 at list j, from its own column: the entries that reach cutoff / lists; a score at or above the cutoff has one in some list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
-        lists, held = block.lists, {}
-        for dim, ids, x in block.chunks(batches):
+        for dim, ids, (x,) in block.chunks(batches):
             q, cutoff = block.ids[dim], block.cutoffs[dim]
-            found = held.setdefault(dim, [np.zeros((3, 0), np.int64)])
             for at in range(0, len(q), QUERIES):
                 own = slice(at, at + QUERIES)
-                low = cutoff[own, None]
-                part = [a[own] @ b.T for a, b in zip(block.parts[dim], x, strict=True)]
-                sent = [p * lists >= low for p in part]
-                r, c = np.nonzero(np.logical_or.reduce(sent))
-                known, missing = np.zeros(len(r), block.kind), np.zeros(len(r), block.kind)
-                for s, p in zip(sent, part, strict=True):
-                    known += np.where(s[r, c], p[r, c], 0)
-                    missing += ~s[r, c]
-                live = known * lists + missing * low[r, 0] >= low[r, 0] * lists
-                live &= q[at + r] != ids[c]
+                part = block.parts[dim][j][own] @ x.T
+                r, c = np.nonzero((part * block.lists >= cutoff[own, None]) & (q[own, None] != ids[None, :]))
                 if meter is not None:
-                    for i, n in enumerate((len(part) * part[0].size, sum(int(s.sum()) for s in sent), int(live.sum()))):
-                        meter[i].add(n)
-                r, c = r[live], c[live]
-                score = sum(p[r, c] for p in part)
-                keep = score >= low[r, 0]
-                found.append(np.stack((at + r[keep], ids[c[keep]], score[keep].astype(np.int64))))
-            if sum(f.shape[1] for f in found) > k * len(q) + (1 << 18):
-                every = np.concatenate(found, axis=1)
-                held[dim] = [every[:, _best(every[0], every[1], every[2], k)]]
-        for dim, found in held.items():
-            every = np.concatenate(found, axis=1)
-            r, who, score = every[:, _best(every[0], every[1], every[2], k)]
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids[dim][r]), pa.array(who), pa.array(score)], ["query_id", "vec_id", "score"])
+                    meter[0].add(part.size)
+                    meter[1].add(len(r))
+                yield pa.RecordBatch.from_arrays([pa.array(q[at + r]), pa.array(ids[c]), pa.array(part[r, c].astype(np.int64)), pa.array(cutoff[at + r].astype(np.int64))], ["query_id", "vec_id", "part", "cutoff"])
+
+    return run
+
+
+def _resolve(shared, meter):
+    """Phase 3 for pairs whose vectors have been joined: the whole scores, where they reach the cutoff."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Block = shared.value
+        for b in batches:
+            dims, asks = b.column("dim").to_numpy(), b.column("query_id").to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                place = np.searchsorted(block.ids[dim], asks[own])
+                score = 0
+                for j, q in enumerate(block.parts[dim]):
+                    x = b.column(f"x{j}").take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(block.kind)
+                    score = score + np.einsum("ij,ij->i", q[place], x)
+                keep = score >= block.cutoffs[dim][place]
+                if meter is not None:
+                    meter[2].add(len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(asks[own][keep]), b.column("vec_id").take(pa.array(own[keep])), pa.array(score[keep].astype(np.int64))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -181,8 +179,9 @@ def search(vectors: DataFrame, is_query: Column, key: str, vector: str, k: int =
     go out in blocks of a bounded size, and each block's phases scan the vectors where they are: no vector is shuffled for a query.
     Phase 1: each list, which reads its column alone, gives its k largest entries for each query; as parts may be negative, sums
     of parts bound nothing from below, so the whole scores of these few are looked up, and the k-th best is the cutoff. Phase 2:
-    the cutoff is broadcast, and only entries of at least cutoff / lists are collected. Phase 3: what may still reach the
-    cutoff is resolved exactly. Whole scores are summed for those alone.
+    the cutoff is broadcast, and each list, again from its column alone, sends its entries of at least cutoff / lists, which are summed by query and
+    vector; a part that wasn't sent is below cutoff / lists, which bounds the score. Phase 3: sums of all parts are scores; of the others those whose
+    bound reaches the cutoff are joined with their vectors and resolved exactly.
     Of equal vectors the k + 1 smallest ids are candidates; no other can be among the k best of any query, so many copies cost nothing.
     meter: three accumulators that get the numbers of entries, of entries sent, and of scores resolved.
     """
@@ -193,7 +192,7 @@ def search(vectors: DataFrame, is_query: Column, key: str, vector: str, k: int =
     largest = F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))
     top, dim, values, asked = own.agg(F.coalesce(largest, F.lit(0)), F.coalesce(F.max("dim"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("ask"), F.col("dim") + 1)), F.lit(0)), F.count(F.when(F.col("ask"), 1))).first()
     reach = top * top * max(dim, 1) * lists
-    if reach >= 2**63:
+    if reach >= 2**62:
         raise ValueError("inner products might leave a long")
     kind = np.float64 if reach < 2**53 else np.int64  # doubles where they are exact
     rank = F.row_number().over(Window.partitionBy(F.xxhash64("x"), "x").orderBy("id"))
@@ -230,8 +229,19 @@ def search(vectors: DataFrame, is_query: Column, key: str, vector: str, k: int =
             full = last < np.searchsorted(asks, q, "right")
             block.cutoffs[d] = np.full(len(q), -int(top) * int(top) * max(dim, 1), kind)  # no score is below that
             block.cutoffs[d][full] = scores[last[full]]
-        found = x.mapInArrow(_resolve(spark.sparkContext.broadcast(block), k, meter), "query_id bigint, vec_id bigint, score bigint")
-        found = scratch.put(found, f"found-{b}")
+        shared = spark.sparkContext.broadcast(block)
+        form = "query_id bigint, vec_id bigint, part bigint, cutoff bigint"
+        sent = None
+        for j, n in enumerate(names):
+            more = x.select("id", "dim", n).mapInArrow(_send(shared, j, meter), form)
+            sent = more if sent is None else sent.unionByName(more)
+        sums = sent.groupBy("query_id", "vec_id").agg(F.sum("part").alias("known"), F.count("*").alias("n"), F.first("cutoff").alias("cutoff"))
+        may = F.col("known") * lists + (F.lit(lists) - F.col("n")) * F.col("cutoff") >= F.col("cutoff") * lists
+        sums = scratch.put(sums.where(may), f"sums-{b}")
+        whole = sums.where(F.col("n") == lists).select("query_id", "vec_id", F.col("known").alias("score"))
+        rest = sums.where(F.col("n") < lists).select("query_id", "vec_id").join(x, F.col("vec_id") == F.col("id"))
+        found = scratch.put(whole.unionByName(rest.mapInArrow(_resolve(shared, meter), "query_id bigint, vec_id bigint, score bigint")), f"found-{b}")
+        scratch.drop(f"sums-{b}")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
