@@ -58,14 +58,18 @@ def fit(features: DataFrame, label: str, documents: DataFrame, classes: list[str
 def scores(features: DataFrame, key: str, model: Bayes) -> DataFrame:
     """(key, scores): log prior plus the sum of log likelihoods of a document's features, in class order.
 
-    Equal features of a document are counted first and looked up once. The most frequent features, whose rows would pile up in few tasks of
-    a join, come from a broadcast table of a fixed bound; all others are joined. A document without features has its priors.
+    The most frequent features, whose rows would pile up in few tasks of a join, come from a broadcast table of a fixed bound, so their
+    rows are summed by document where they are. Only the others are shuffled: counted by document and feature, joined with the rest of the table.
+    A document without features has its priors.
     """
-    counts = features.groupBy(key, "feature").agg(F.count("*").alias("k"))
-    often = model.table.orderBy(F.desc("n"), "feature").limit(FREQUENT)
-    known = counts.join(F.broadcast(often.select("feature", F.col("logs").alias("_often"))), "feature", "left")
-    seldom = known.where(F.col("_often").isNull()).join(model.table.join(F.broadcast(often.select("feature")), "feature", "left_anti").select("feature", "logs"), "feature", "left")
-    every = known.where(F.col("_often").isNotNull()).select(key, "feature", "k", F.col("_often").alias("logs")).unionByName(seldom.select(key, "feature", "k", "logs"))
-    term = lambda i: F.when(F.col("feature").isNotNull(), F.col("k") * F.coalesce(F.col("logs")[i], F.lit(model.unseen[i]))).otherwise(0.0)
-    sums = every.groupBy(key).agg(*(F.sum(term(i)).alias(f"_{i}") for i in range(len(model.classes))))
-    return sums.select(key, F.array(*(F.col(f"_{i}") + F.lit(model.start[i]) for i in range(len(model.classes)))).alias("scores"))
+    logs = [F.col(f"_{i}") for i in range(len(model.classes))]
+    wide = model.table.select("feature", "n", *(F.col("logs")[i].alias(f"_{i}") for i in range(len(model.classes))))
+    often = wide.orderBy(F.desc("n"), "feature").limit(FREQUENT).drop("n")
+    known = features.join(F.broadcast(often), "feature", "left")
+    near = known.where(F.col("_0").isNotNull() | F.col("feature").isNull()).select(key, *(F.coalesce(c, F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(logs)))
+    seldom = known.where(F.col("_0").isNull() & F.col("feature").isNotNull()).groupBy(key, "feature").agg(F.count("*").alias("k"))
+    rest = wide.drop("n").join(F.broadcast(often.select("feature")), "feature", "left_anti")
+    far = seldom.join(rest, "feature", "left").select(key, *((F.col("k") * F.coalesce(c, F.lit(u))).alias(f"s{i}") for i, (c, u) in enumerate(zip(logs, model.unseen, strict=True))))
+    sums = [x.groupBy(key).agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(logs)))) for x in (near, far)]
+    both = sums[0].unionByName(sums[1]).groupBy(key).agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(logs))))
+    return both.select(key, F.array(*(F.col(f"s{i}") + F.lit(s) for i, s in enumerate(model.start))).alias("scores"))

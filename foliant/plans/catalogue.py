@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import nested, num, subwords, text
@@ -492,6 +492,12 @@ def q_two_model_outer(spark, d):
 # ---------------------------------------------------------------- boxes, payloads, wrapping
 
 
+def word_box(position: Column, word: Column) -> list[Column]:
+    """The corners, from 0 to 1000, of a word on a page of twelve words a line."""
+    left, top = position % 12 * 90 + 60, F.floor(position / 12).cast("int") * 36 + 60
+    return nested.scaled_corners([left, top, left + F.length(word) * 7, top + 28], F.lit(nested.PAGE_WIDTH), F.lit(nested.PAGE_HEIGHT))
+
+
 @query(
     f"""WITH w AS (SELECT doc_id, unnest(string_split(c, ' ')) AS word, unnest(range(0, len(string_split(c, ' ')))) AS i FROM (SELECT doc_id, {_clean('text')} AS c FROM documents) WHERE c <> ''),
 b AS (SELECT doc_id, i, word, (i % 12) * 90 + 60 AS x1, (i // 12) * 36 + 60 AS y1, (i % 12) * 90 + 60 + 7 * length(word) AS x2, (i // 12) * 36 + 88 AS y2 FROM w)
@@ -500,8 +506,7 @@ SELECT doc_id, CAST(i AS INTEGER) AS position, word, CAST(greatest(0, least(1000
 def q_word_boxes(spark, d):
     """Words become rows first; the corners are plain columns then."""
     words = docs(spark, d, "doc_id", "text").select("doc_id", F.posexplode(nested.tokens(F.col("text"), None)).alias("position", "word"))
-    left, top = F.col("position") % 12 * 90 + 60, F.floor(F.col("position") / 12).cast("int") * 36 + 60
-    corners = nested.scaled_corners([left, top, left + F.length("word") * 7, top + 28], F.lit(nested.PAGE_WIDTH), F.lit(nested.PAGE_HEIGHT))
+    corners = word_box(F.col("position"), F.col("word"))
     return words.select("doc_id", "position", "word", *(c.alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)))
 
 
@@ -549,11 +554,18 @@ _GRID_OF = (
 )
 
 
-def bayes_records(spark, d, name: str, features: DataFrame) -> DataFrame:
-    """Records of all documents by a naive Bayes model that learns from those of split train. features: (doc_id, feature)."""
-    own = split.stratified_split(docs(spark, d, "doc_id", "lang"), "lang", "doc_id").where("split = 'train'").select("doc_id", "lang")
-    model = bayes.fit(features.join(own, "doc_id").select("lang", "feature"), "lang", own, CLASSES)
-    scored = docs(spark, d, "doc_id", "lang", "text").select("doc_id", "lang", F.when(text.clean_length(F.col("text")) < text.MIN_CHARS, scoring.SHORT).alias("error")).join(bayes.scores(features, "doc_id", model), "doc_id")
+def bayes_records(spark, d, name: str, features: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Records of all documents by a naive Bayes model that learns from those of split train. features: rows of doc_id, text and lang as
+    rows of doc_id, lang and feature."""
+    own = docs(spark, d, "doc_id", "lang", "text")
+    train = split.stratified_split(docs(spark, d, "doc_id", "lang"), "lang", "doc_id").where("split = 'train'").select("doc_id", "lang")
+    model = bayes.fit(features(own.join(train.select("doc_id"), "doc_id", "left_semi")), "lang", train, CLASSES)
+    # the table is read twice for the scores and its sums once for the model
+    place = f"{shared_dir(spark)}/bayes-{uuid.uuid4().hex}"
+    model.table.write.parquet(place)
+    model = replace(model, table=spark.read.schema("feature string, n bigint, logs array<double>").parquet(place))
+    short = F.when(text.clean_length(F.col("text")) < text.MIN_CHARS, scoring.SHORT)
+    scored = own.select("doc_id", "lang", short.alias("error")).join(bayes.scores(features(own), "doc_id", model), "doc_id")
     out = scoring.records(scored, name, "doc_id", "lang", F.col("scores"), CLASSES, F.col("error"))
     return _rounded(out).select(F.lit(name).alias("model"), "*")
 
@@ -561,15 +573,20 @@ def bayes_records(spark, d, name: str, features: DataFrame) -> DataFrame:
 @query(_bayes_sql("bayes", _WORDS_OF))
 def q_score_bayes(spark, d):
     """The text model: naive Bayes over the words of whole texts."""
-    return bayes_records(spark, d, "bayes", bayes.word_features(docs(spark, d, "doc_id", "text"), "doc_id", "text"))
+    return bayes_records(spark, d, "bayes", lambda df: bayes.word_features(df, "doc_id", "text", "lang"))
+
+
+def grid_features(df: DataFrame) -> DataFrame:
+    """The ends of words in the cells of a grid over the page; a text without words has one row whose feature is null."""
+    words = df.select("doc_id", "lang", F.posexplode_outer(nested.tokens(F.col("text"), None)).alias("position", "word"))
+    cell = bayes.grid_feature(F.col("word"), *word_box(F.col("position"), F.col("word")))
+    return words.select("doc_id", "lang", F.when(F.col("word").isNotNull(), cell).alias("feature"))
 
 
 @query(_bayes_sql("layout", _GRID_OF))
 def q_score_layout(spark, d):
     """The layout model: naive Bayes over the ends of words in the cells of a grid over the page."""
-    boxes = q_word_boxes(spark, d).select("doc_id", bayes.grid_feature(F.col("word"), *(F.col(c) for c in ("x1", "y1", "x2", "y2"))).alias("feature"))
-    empty = docs(spark, d, "doc_id", "text").where(text.clean_length(F.col("text")) == 0).select("doc_id", F.lit(None).cast("string").alias("feature"))
-    return bayes_records(spark, d, "layout", boxes.unionByName(empty))
+    return bayes_records(spark, d, "layout", grid_features)
 
 
 # ---------------------------------------------------------------- model inputs

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions import text
+from foliant.functions import raster, text
 from foliant.operators import kept_index, metrics, split
 from foliant.plans import dashboard
 from foliant.plans.catalogue import _HTML, _KEPT, _MACRO_ROUND, _PREDICTIONS, _SPLIT, CLASSES, MODELS, ORACLES, _class_metrics, _clean, _macro, _values, docs, external_internal, predictions, query
-from foliant.session import shared_dir
+from foliant.session import shared_dir, ship
 from foliant.sources import artifacts, files, sinks
 from foliant.streaming import ingest
 
@@ -61,8 +61,13 @@ def _embedded(content: bytes) -> str:
     return content.decode("utf-8", "ignore") if len(content) % 2 == 0 else ""
 
 
+def _from_image(path: str, content: bytes) -> str:
+    """Stands for a reader of page images."""
+    return f"read from the image of {path}"
+
+
 @query(
-    f"""WITH p AS (SELECT page_id, html, {_HTML} AS stripped, {_clean("html")} AS plain, 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' ELSE '.bin' END AS path FROM pages),
+    f"""WITH p AS (SELECT page_id, html, {_HTML} AS stripped, {_clean("html")} AS plain, 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' ELSE '.bin' END AS path FROM pages WHERE html IS NOT NULL),
 t AS (SELECT *, CASE page_id % 3 WHEN 0 THEN CASE WHEN strlen(html) % 2 = 0 THEN plain ELSE '' END WHEN 1 THEN stripped ELSE '' END AS found FROM p)
 SELECT path, CASE WHEN page_id % 3 = 2 THEN 'ValueError: no extractor for .bin' END AS error, length(found) < 20 AS short, sha256(CASE WHEN length(found) >= 20 THEN found ELSE 'read from the image of ' || path END) AS text_sha FROM t"""
 )
@@ -71,9 +76,9 @@ def q_extract_with_fallback(spark, d):
     kind = F.element_at(F.array(F.lit(".pdf"), F.lit(".html"), F.lit(".bin")), (F.col("page_id") % 3 + 1).cast("int"))
     pages = spark.read.parquet(f"{d}/pages.parquet").where("html is not null")
     found = pages.select(F.concat(F.lit("p"), "page_id", kind).alias("path"), kind.alias("extension"), F.col("html").cast("binary").alias("content"))
-    read = files.extract_texts(found, {".pdf": _embedded})
-    done = files.with_fallback(read, "text", lambda rest: rest.withColumn("text", F.concat(F.lit("read from the image of "), "path")))
-    return done.select("path", "error", "short", F.sha2("text", 256).alias("text_sha"))
+    done = files.extract_texts(found, {".pdf": _embedded}, fallback=_from_image)
+    native = F.when((F.col("source") == "native") & F.col("short"), F.concat(F.lit("read from the image of "), "path")).otherwise(F.col("text"))
+    return done.withColumn("text", native).select("path", "error", "short", F.sha2("text", 256).alias("text_sha"))
 
 
 @query(f"SELECT * FROM {_SPLIT}")
@@ -83,6 +88,16 @@ def q_split_files(spark, d):
     return spark.read.schema("doc_id bigint, lang string, split string").parquet(path)
 
 
+@query("SELECT doc_id, lang, CAST(n_chars AS DOUBLE) / 2 AS half, n_chars, doc_id % 2 = 0 AS even FROM documents")
+def q_csv_inferred(spark, d):
+    """Types come from the file: whole numbers, doubles, booleans and text."""
+    path = work_dir(spark, "csv")
+    sinks.write_csv(docs(spark, d, "doc_id", "lang", "n_chars").select("doc_id", "lang", (F.col("n_chars") / 2).alias("half"), "n_chars", (F.col("doc_id") % 2 == 0).alias("even")), path)
+    back = files.read_csv(spark, path)
+    whole = {n: F.col(n).cast("bigint").alias(n) for n, kind in back.dtypes if kind == "int"}
+    return back.select(*(whole.get(n, F.col(n)) for n in back.columns))
+
+
 @query("SELECT doc_id, lang, sha256(text) AS text_sha FROM documents")
 def q_document_table(spark, d):
     path = work_dir(spark, "documents")
@@ -218,3 +233,31 @@ def q_index_kept(spark, d):
 def q_index_excluded(spark, d):
     external, index = kept(spark, d)
     return index.excluded(external).select("doc_id", "lang", "sha256", "matching_raw_paths")
+
+
+_PIXELS = f"(14 * length(w) + 3 * length(regexp_replace(w, '[^A-Z]', '', 'g')) + 6 * length(regexp_replace(w, '[^mwMW@%]', '', 'g')) - 7 * length(regexp_replace(w, '[^ijlt.,:;''!|]', '', 'g')))"
+_PAGE = f"list_reduce(list_prepend({{'lines': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'dark': CAST(0 AS BIGINT)}}, list_transform(string_split(c, ' '), lambda w: {{'lines': CAST(0 AS BIGINT), 'n': CAST({_PIXELS} AS BIGINT), 'dark': CAST(0 AS BIGINT)}})), lambda a, b: CASE WHEN a.lines > 0 AND a.n + 14 + b.n <= 1080 THEN {{'lines': a.lines, 'n': a.n + 14 + b.n, 'dark': greatest(a.dark, a.n + 14 + b.n)}} ELSE {{'lines': a.lines + 1, 'n': b.n, 'dark': greatest(a.dark, b.n)}} END)"
+
+
+@query(f"SELECT doc_id, CASE WHEN c = '' THEN 0 ELSE r.lines END AS n_lines, CASE WHEN c <> '' THEN r.dark END AS widest FROM (SELECT doc_id, c, {_PAGE} AS r FROM (SELECT doc_id, {_clean('text')} AS c FROM documents))")
+def q_wrapped_pixels(spark, d):
+    """Lines by glyph widths on a page of 1200 pixels, over whole texts."""
+    lines = docs(spark, d, "doc_id", "text").select("doc_id", raster.wrap_pixels(F.col("text")).alias("lines"))
+    return lines.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.array_max(F.transform("lines", raster.text_width)).cast("bigint").alias("widest"))
+
+
+@query(None)
+def q_page_images(spark, d):
+    """Every document's first page as an image, and its features of 224 x 224; the cut to one page is the feature."""
+    ship(spark)
+    pages = raster.rendered(docs(spark, d, "doc_id", "text"), "doc_id", "text")
+    dark = files.image_features(pages, 224, (0, 0, 0), (1, 1, 1))
+    return dark.select(F.col("origin").cast("bigint").alias("doc_id"), F.size("features").alias("features"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x) / F.size("features"), 4).alias("brightness"))
+
+
+@query(None)
+def q_heatmap_images(spark, d):
+    """Each model's confusion matrix as a PNG file."""
+    ship(spark)
+    cells = metrics.heatmap_cells(metrics.confusion_matrix(metrics.pair_counts(predictions(spark, d)), CLASSES, MODELS), CLASSES)
+    return raster.heat_images(cells, CLASSES).select("model", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha"))

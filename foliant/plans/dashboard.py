@@ -74,13 +74,8 @@ def chart_rows(metrics: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def availability(files: DataFrame, models: dict[str, list[list[str]]]) -> DataFrame:
-    """(model, available): every group of a model has one of its files. files: a column path, relative to the model folder."""
-    out = None
-    for model, groups in models.items():
-        row = files.agg(*(F.coalesce(F.max(F.col("path").isin(*g)), F.lit(False)).alias(f"g{i}") for i, g in enumerate(groups)))
-        have = F.lit(True)
-        for i in range(len(groups)):
-            have = have & F.col(f"g{i}")
-        row = row.select(F.lit(model).alias("model"), have.alias("available"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(model, available): every group of a model has one of its files, from one aggregation for all. files: a column path, relative to the model folder."""
+    groups = [(model, i, g) for model, own in models.items() for i, g in enumerate(own)]
+    one = files.agg(*(F.coalesce(F.max(F.col("path").isin(*g)), F.lit(False)).alias(f"{m}/{i}") for m, i, g in groups))
+    all_of = lambda model: F.forall(F.array(F.lit(True), *(F.col(f"`{m}/{i}`") for m, i, _ in groups if m == model)), lambda x: x)
+    return one.select(F.inline(F.array(*(F.struct(F.lit(m).alias("model"), all_of(m).alias("available")) for m in models))))

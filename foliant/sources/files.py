@@ -59,11 +59,13 @@ def in_path_order(df: DataFrame, path: str = "path") -> DataFrame:
     return df.orderBy(path_order(F.col(path)))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame | None:
-    """A CSV with a header; a byte order mark and quoted line breaks are understood. None where there is no such file."""
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, required: list[str] | None = None, share: float = 1.0) -> DataFrame | None:
+    """A CSV with a header; a byte order mark and quoted line breaks are understood. None where there is no such file. Without a schema the
+    columns' types (whole numbers, doubles, dates, timestamps, booleans, else text) are inferred in a pass of their own over a share of the rows."""
     if not exists(spark, path):
         return None
-    df = spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=True, encoding="UTF-8")
+    typed = {"inferSchema": True, "samplingRatio": share} if schema is None else {"schema": schema}
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", **typed)
     return require_columns(df, required) if required else df
 
 
@@ -107,41 +109,51 @@ def docx_text(content: bytes) -> str:
     return "\n".join(lines)
 
 
-def extract_texts(files: DataFrame, extractors: Extractors | None = None, least: int = MIN_CHARS) -> DataFrame:
-    """Adds text, error and short to files (path, extension, content).
+def extract_texts(files: DataFrame, extractors: Extractors | None = None, least: int = MIN_CHARS, fallback: Callable[[str, bytes], str] | None = None) -> DataFrame:
+    """Adds text, error, short and source to files (path, extension, content), reading each file once.
 
-    Text and HTML with valid UTF-8 never leave the JVM. Other rows go to Python in Arrow batches: invalid bytes are
+    Text and HTML with valid UTF-8 are decoded in the JVM, and their bytes aren't sent to Python. The other bytes are read there, in the same pass in Arrow batches: invalid bytes are
     dropped, DOCX is read with the standard library, and PDF, images and the rest need an extractor, without which the row gets
-    an error and an empty text. The parts are separate branches, so that the function runs on its rows only.
+    an error and an empty text. fallback, as a reader of images would be, gets path and bytes of the rows whose text is too short and not native; source says
+    whose text it is, and short whether the first reader's was too short. An error of the fallback is the row's.
     """
     known: Extractors = {".txt": decode_lossy, ".html": decode_lossy, ".htm": decode_lossy, ".docx": docx_text, **(extractors or {})}
     others = [c for c in files.columns if c != "content"]
-    native = F.col("extension").isin(".txt", ".html", ".htm") & F.is_valid_utf8(F.col("content").cast("string"))
+    native = F.coalesce(F.col("extension").isin(".txt", ".html", ".htm") & F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
+
+    def read(path: str, kind: str, content: bytes) -> tuple[str, str | None, bool, str]:
+        text, error = "", None
+        try:
+            if kind not in known:
+                raise ValueError(f"no extractor for {kind or 'files without extension'}")
+            text = known[kind](content)
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+        short = len(" ".join(text.replace("\0", " ").split())) < least
+        if not short or fallback is None:
+            return text, error, short, "embedded"
+        try:
+            return fallback(path, content), error, short, "fallback"
+        except Exception as e:
+            return text, f"{type(e).__name__}: {e}", short, "fallback"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, errors = [], []
-            for kind, content in zip(b["extension"], b["content"], strict=True):
-                try:
-                    if kind not in known:
-                        raise ValueError(f"no extractor for {kind or 'files without extension'}")
-                    texts.append(known[kind](bytes(content)))
-                    errors.append(None)
-                except Exception as e:
-                    texts.append("")
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield b.drop(columns="content").assign(raw=texts, error=errors)
-
-    plain = files.where(native).select(*others, F.col("content").cast("string").alias("raw"), F.lit(None).cast("string").alias("error"))
-    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in others) + ", raw string, error string"
-    rest = files.where(~F.coalesce(native, F.lit(False))).select(*others, "content").mapInPandas(run, schema)
-    out = plain.unionByName(rest)
-    text = F.when(F.col("extension").isin(".html", ".htm"), strip_html(F.col("raw"))).otherwise(clean_text(F.col("raw")))
-    return out.withColumn("text", text).drop("raw").withColumn("short", F.length("text") < least)
+            rows = [(raw, None, False, "native") if content is None else read(path, kind, bytes(content)) for path, kind, raw, content in zip(b["path"], b["extension"], b["raw"], b["content"], strict=True)]
+            raw, error, short, source = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+            yield b.drop(columns=["content", "raw"]).assign(raw=raw, error=error, first_short=short, source=source)
+
+    sent = files.select(*others, F.when(native, F.col("content").cast("string")).alias("raw"), F.when(~native, F.coalesce("content", F.lit("").cast("binary"))).alias("content"))
+    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in others) + ", raw string, error string, first_short boolean, source string"
+    out = sent.mapInPandas(run, schema)
+    text = F.when(F.col("extension").isin(".html", ".htm") & (F.col("source") != "fallback"), strip_html(F.col("raw"))).otherwise(clean_text(F.col("raw")))
+    short = F.when(F.col("source") == "fallback", F.col("first_short")).otherwise(F.length("text") < least)
+    return out.withColumn("text", text).withColumn("short", short).drop("raw", "first_short")
 
 
 def with_fallback(df: DataFrame, embedded: str, ocr: Callable[[DataFrame], DataFrame], least: int = MIN_CHARS) -> DataFrame:
-    """OCR on those rows only whose embedded text is too short; the two branches are united by name."""
+    """OCR, as a function of a table, on those rows only whose embedded text is too short; the two branches are united by name. df is read by both,
+    so give a written table; where the second reader is a function of bytes, ``extract_texts(fallback=...)`` needs one pass alone."""
     enough = F.length(clean_text(F.col(embedded))) >= least
     return df.where(enough).unionByName(ocr(df.where(~enough)))
 

@@ -3,6 +3,7 @@ import struct
 import zipfile
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.sources import files, sinks
@@ -62,6 +63,44 @@ def test_scan_and_extract(spark, tmp_path):
     assert up.text == "hi" and up.short
 
 
+def test_each_file_is_read_once(spark, tmp_path):
+    """The second reader gets what is too short and not native; its errors are the row's."""
+    calls = str(tmp_path / "calls")
+
+    def embedded(content):
+        with open(calls, "a") as f:
+            f.write("embedded\n")
+        return content.decode()
+
+    def image(path, content):
+        with open(calls, "a") as f:
+            f.write("image\n")
+        if path.startswith("bad"):
+            raise OSError("unreadable")
+        return f"from the image of {path}, {len(content)} bytes"
+
+    rows = [("a.pdf", ".pdf", b"long enough to be a text of its own"), ("b.pdf", ".pdf", b"short"), ("bad.pdf", ".pdf", b""), ("c.txt", ".txt", b"tiny"), ("d.txt", ".txt", b"\xff" + b"invalid bytes but long enough"), ("e.bin", ".bin", b"xyz"), ("n.pdf", ".pdf", None)]
+    df = spark.createDataFrame(rows, "path string, extension string, content binary").coalesce(1)
+    out = {r.path: r for r in files.extract_texts(df, {".pdf": embedded}, fallback=image).collect()}
+    assert (out["a.pdf"].source, out["a.pdf"].short) == ("embedded", False)
+    assert (out["b.pdf"].source, out["b.pdf"].text, out["b.pdf"].short) == ("fallback", "from the image of b.pdf, 5 bytes", True)
+    assert out["bad.pdf"].error == "OSError: unreadable" and out["bad.pdf"].text == ""
+    assert (out["c.txt"].source, out["c.txt"].text, out["c.txt"].short) == ("native", "tiny", True)
+    assert out["d.txt"].text == "invalid bytes but long enough" and out["d.txt"].error is None
+    assert out["e.bin"].error == "ValueError: no extractor for .bin" and out["e.bin"].source == "fallback"
+    assert out["n.pdf"].text == "from the image of n.pdf, 0 bytes"
+    assert open(calls).read().split() .count("embedded") == 4
+
+
+def test_csv_types_are_inferred(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("id,share,name,ok,day\n1,0.5,\"a, b\nc\",true,2024-01-02\n2,,x,false,2024-01-03\n", encoding="utf-8-sig")
+    df = files.read_csv(spark, str(tmp_path / "x.csv"))
+    assert dict(df.dtypes) == {"id": "int", "share": "double", "name": "string", "ok": "boolean", "day": "date"}
+    assert df.orderBy("id").first().name == "a, b\nc" and files.read_csv(spark, str(tmp_path / "none.csv")) is None
+    with pytest.raises(ValueError):
+        files.read_csv(spark, str(tmp_path / "x.csv"), required=["nope"])
+
+
 def test_images(spark, tmp_path):
     (tmp_path / "i").mkdir()
     (tmp_path / "i" / "x.png").write_bytes(png(4, 2, (255, 0, 0)))
