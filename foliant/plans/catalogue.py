@@ -479,13 +479,8 @@ _SHARE = f"SELECT predicted_label AS class, count(*) / sum(count(*)) OVER () AS
 
 @query(f"SELECT class, round(coalesce(a.p, 0.0), 6) AS first, round(coalesce(b.p, 0.0), 6) AS second FROM ({_SHARE}'lexicon' GROUP BY 1) a FULL JOIN ({_SHARE}'charset' GROUP BY 1) b USING (class)")
 def q_two_model_outer(spark, d):
-    """The share of each class among the predictions of either model."""
-
-    def share(model):
-        counts = predictions(spark, d).where((F.col("model") == model) & (F.col("status") == "success")).groupBy(F.col("predicted_label").alias("class")).agg(F.count("*").alias("n"))
-        return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("t")))).select("class", (F.col("n") / F.col("t")).alias("probability"))
-
-    out = metrics.compare_two(share("lexicon"), share("charset"))
+    """From one pass over the predictions of both models."""
+    out = metrics.compare_shares(predictions(spark, d), "lexicon", "charset")
     return out.select("class", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"))
 
 

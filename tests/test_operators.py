@@ -171,3 +171,11 @@ def test_two_models_fill_missing_classes(spark):
     side = lambda rows: spark.createDataFrame(rows, "class string, probability double")
     got = {r["class"]: (r["first"], r["second"]) for r in metrics.compare_two(side([("a", 0.25), ("b", 0.75)]), side([("b", 0.5), ("c", 0.5)])).collect()}
     assert got == {"a": (0.25, 0.0), "b": (0.75, 0.5), "c": (0.0, 0.5)}
+
+
+def test_shares_from_one_pass(spark):
+    rows = [("m", "a", "success"), ("m", "a", "success"), ("m", "b", "success"), ("m", "c", "failed"), ("n", "b", "success"), ("other", "z", "success")]
+    out = metrics.compare_shares(spark.createDataFrame(rows, "model string, predicted_label string, status string"), "m", "n")
+    assert {r["class"]: (round(r["first"], 6), r["second"]) for r in out.collect()} == {"a": (0.666667, 0.0), "b": (0.333333, 1.0)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan ExistingRDD") == 1
