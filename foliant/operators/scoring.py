@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.num import argmax, label_at, softmax, total
@@ -165,11 +165,17 @@ def score_provider(df: DataFrame, provider: Provider, key: str, label: str, colu
     return records(scored, provider.name, "k", "l", F.col("logits"), classes, F.col("error"), F.col("seconds"))
 
 
-def observed(records_df: DataFrame) -> tuple[DataFrame, Observation]:
-    """The records, and totals that come with whatever action first runs them: documents, processed, failed, and seconds of prediction. No second pass."""
-    totals = Observation()
+def recorded(records_df: DataFrame, path: str) -> tuple[DataFrame, dict]:
+    """Writes the records and returns them read back, with totals: documents, processed, failed, and seconds of prediction.
+
+    The models run once: the totals are summed over two columns of the written table. (An observation on the plan would save that small scan, but
+    a session with one can't run Spark ML afterwards, as its closures hold the session.)
+    """
+    records_df.write.parquet(path)
+    back = records_df.sparkSession.read.schema(records_df.schema).parquet(path)
     ok = F.col("status") == "success"
-    return records_df.observe(totals, F.count(F.lit(1)).alias("documents"), F.count(F.when(ok, 1)).alias("processed"), F.count(F.when(~ok, 1)).alias("failed"), F.coalesce(F.sum("prediction_time_seconds"), F.lit(0.0)).alias("seconds")), totals
+    totals = back.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(ok, 1)).alias("processed"), F.count(F.when(~ok, 1)).alias("failed"), F.coalesce(F.sum("prediction_time_seconds"), F.lit(0.0)).alias("seconds")).first()
+    return back, totals.asDict()
 
 
 def ranked(records_df: DataFrame, classes: list[str]) -> DataFrame:

@@ -610,7 +610,7 @@ def _first_ids():
 
 @query(None)
 def q_batch_inference(spark, d):
-    """A provider that takes padded batches of subword ids, over all documents; its totals are observed on the way."""
+    """A provider that takes padded batches of subword ids, over all documents."""
     ship(spark)
     own = subwords.subword_tokens(docs(spark, d, "doc_id", "lang", "text"), public_tokenizers.path(VOCABULARY))
     scored = scoring.score_provider(own, scoring.Provider("batch", _first_ids, 8), "doc_id", "lang", "tokens", CLASSES)

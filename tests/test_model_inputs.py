@@ -53,13 +53,12 @@ def test_a_failed_batch_is_halved(spark, tmp_path):
         return score
 
     df = spark.range(40).select("id", F.lit("a").alias("label"), F.expr("repeat('x', cast(id as int))").alias("text")).coalesce(1)
-    scored, totals = scoring.observed(scoring.score_provider(df, scoring.Provider("m", load, 8), "id", "label", "text", CLASSES))
+    scored, found = scoring.recorded(scoring.score_provider(df, scoring.Provider("m", load, 8), "id", "label", "text", CLASSES), str(tmp_path / "records"))
     out = {r.document: r for r in scored.collect()}
     assert {k for k, r in out.items() if r.status == "failed"} == {3, 13, 23, 33} and out[3].error_message == "RuntimeError: bad length"
     assert all(r.predicted_label == "a" and r.prediction_time_seconds >= 0 for k, r in out.items() if r.status == "success")
     sizes = [int(x) for x in open(calls).read().split()]
     assert sizes.count(8) == 5 and len(sizes) < 40
-    found = totals.get
     assert (found["documents"], found["processed"], found["failed"]) == (40, 36, 4) and abs(found["seconds"] - sum(r.prediction_time_seconds or 0 for r in out.values())) < 1e-9
 
 
