@@ -66,7 +66,8 @@ class BallTree:
         point with a margin far above its error, so a tie is never taken for a decision.
         """
         far = z.astype(np.float64)
-        at, open_ = np.zeros(1, np.int64), np.ones((1, len(z)), bool)
+        at, open_ = np.zeros(1, np.int64), np.zeros((1, len(z)), bool)
+        open_[0, np.unique(z, axis=0, return_index=True)[1]] = True  # of equal centroids only the first takes any
         whole, who, rest = [], [], [np.zeros(0, np.int64)]
         while len(at):
             count = self.nodes[at, 1] - self.nodes[at, 0]
@@ -225,8 +226,10 @@ def cluster(df: DataFrame, key: str, vector: str, seed: Column, k: int = 8, roun
 
 def with_inertia(found: Clustering) -> DataFrame:
     """The rows with the sums of the distances over their cluster and over all, and the SHA-256 of their centroid as decimal numbers.
-    The sums are one row a centroid, so that they come back as literals."""
+    The sums are one row a centroid, so that they come back as literals. An inertia that leaves a long raises."""
     sums = {r.cluster: r.s for r in found.rows.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
+    if sum(sums.values()) >= 2**63:
+        raise ValueError("the inertia leaves a long")
     k = range(len(found.centroids))
     by = lambda values, kind: F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>")[F.col("cluster")]
     digest = [hashlib.sha256(",".join(map(str, z)).encode()).hexdigest() for z in found.centroids]

@@ -196,7 +196,8 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, r
     """(how often each labeler is right when it speaks, share of personal spans among the undecided), by expectation-maximisation.
 
     Rows: a pattern of votes, how many spans have it, and the truth where it is known (1 or 0, else -1). Pseudocounts (right four times in
-    five, one undecided span in five personal) keep what few spans say from becoming certain.
+    five, one undecided span in five personal) keep what few spans say from becoming certain. A labeler that is wrong more often than right counts nothing,
+    and not against what it says.
     """
     vote = patterns[:, None] // 3 ** np.arange(len(LABELERS)) % 3 - 1
     right, share, undecided = np.full(len(LABELERS), 0.8), 0.2, known < 0
@@ -204,7 +205,7 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, r
         p = np.where(undecided, _logistic(log_odds(patterns, right, share)), known)
         share = float((10 * 0.2 + (p * counts)[undecided].sum()) / (10 + counts[undecided].sum()))
         good = (np.where(vote > 0, p[:, None], np.where(vote < 0, 1 - p[:, None], 0)) * counts[:, None]).sum(axis=0)
-        right = (4 + good) / (5 + ((vote != 0) * counts[:, None]).sum(axis=0))
+        right = np.maximum(0.5, (4 + good) / (5 + ((vote != 0) * counts[:, None]).sum(axis=0)))
     return right, share
 
 
