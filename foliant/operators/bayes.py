@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import clean_text
+from foliant.session import shared_dir
 
 #: Rows of the most frequent features, which are broadcast: a bound whatever the vocabulary's size.
 FREQUENT = 20_000
@@ -37,21 +39,25 @@ class Bayes:
     unseen: list[float]
 
 
-def fit(features: DataFrame, label: str, documents: DataFrame, classes: list[str], alpha: float = 1.0) -> Bayes:
+def fit(features: DataFrame, label: str, documents: DataFrame, classes: list[str], alpha: float = 1.0, folder: str | None = None) -> Bayes:
     """From (label, feature) rows of the training documents, and one row of ``documents`` for each document's label.
 
     P(feature | class) = (n + alpha) / (N + alpha * V) with n of the class's N features and V distinct features in all; a class's prior is its share of
     the documents, with alpha more for each class. Unknown labels and null features go. Only a row for each class reaches the driver.
+    The counts are written once, to ``folder`` or the shared folder, as the totals and every scoring read them.
     """
+    spark, place = features.sparkSession, folder or f"{shared_dir(features.sparkSession)}/bayes-{uuid.uuid4().hex}"
     own = features.where(F.col(label).isin(*classes) & F.col("feature").isNotNull())
     sums = own.groupBy("feature").agg(F.count("*").alias("n"), *(F.count(F.when(F.col(label) == c, 1)).alias(f"_{i}") for i, c in enumerate(classes)))
+    sums.write.parquet(place)
+    sums = spark.read.schema(sums.schema).parquet(place)
     totals = sums.agg(F.count("*"), *(F.coalesce(F.sum(f"_{i}"), F.lit(0)) for i in range(len(classes)))).first()
     found = {r[0]: r[1] for r in documents.where(F.col(label).isin(*classes)).groupBy(label).count().collect()}
     start = F.array(*(F.log(F.lit((found.get(c, 0) + alpha) / (sum(found.values()) + alpha * len(classes)))) for c in classes))
     below = [float(totals[i + 1]) + alpha * float(totals[0]) for i in range(len(classes))]
     logs = F.array(*(F.log((F.col(f"_{i}") + F.lit(float(alpha))) / F.lit(b)) for i, b in enumerate(below)))
     unseen = F.array(*(F.log(F.lit(alpha / b if b else 1.0)) for b in below))
-    one = features.sparkSession.range(1).select(start.alias("s"), unseen.alias("u")).first()
+    one = spark.range(1).select(start.alias("s"), unseen.alias("u")).first()
     return Bayes(sums.select("feature", "n", logs.alias("logs")), classes, list(one.s), list(one.u))
 
 

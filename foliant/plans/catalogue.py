@@ -555,10 +555,6 @@ def bayes_records(spark, d, name: str, features: Callable[[DataFrame], DataFrame
     own = docs(spark, d, "doc_id", "lang", "text")
     train = split.stratified_split(docs(spark, d, "doc_id", "lang"), "lang", "doc_id").where("split = 'train'").select("doc_id", "lang")
     model = bayes.fit(features(own.join(train.select("doc_id"), "doc_id", "left_semi")), "lang", train, CLASSES)
-    # the table is read twice for the scores and its sums once for the model
-    place = f"{shared_dir(spark)}/bayes-{uuid.uuid4().hex}"
-    model.table.write.parquet(place)
-    model = replace(model, table=spark.read.schema("feature string, n bigint, logs array<double>").parquet(place))
     short = F.when(text.clean_length(F.col("text")) < text.MIN_CHARS, scoring.SHORT)
     scored = own.select("doc_id", "lang", short.alias("error")).join(bayes.scores(features(own), "doc_id", model), "doc_id")
     out = scoring.records(scored, name, "doc_id", "lang", F.col("scores"), CLASSES, F.col("error"))
