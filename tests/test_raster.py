@@ -66,6 +66,18 @@ def test_pages_are_the_plain_raster(spark, tmp_path):
     assert raster.rendered(df.where("false"), "id", "body").count() == 0
 
 
+def test_page_features_are_those_of_the_rendered_page(spark):
+    """Against the raster, pixel for pixel: also words that leave the page, more lines than it has room for, and what is kept of the features."""
+    texts = ["The Mill, it's 12:30|", "", None, "W" * 90 + " x " + "i" * 400 + " été 日本 😀", "word Mit wWm@% " * 900, "ab " * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string").repartition(2)
+    for mean, std in (((0, 0, 0), (1, 1, 1)), ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))):
+        want = {r.origin: np.array(r.features) for r in files.image_features(raster.rendered(df, "id", "body"), 224, mean, std).collect()}
+        got = {r.origin: np.array(r.features) for r in raster.page_features(df, "id", "body", 224, mean, std).collect()}
+        assert set(got) == set(want) and all(np.abs(got[k] - want[k]).max() < 1e-9 for k in want)
+        kept = raster.page_features(df, "id", "body", 224, mean, std, lambda f: (len(f), float(f.mean())), "n int, m double").collect()
+        assert all(r.n == 3 * 224 * 224 and abs(r.m - want[r.origin].mean()) < 1e-9 for r in kept) and len(kept) == len(texts)
+
+
 def test_heat_images(spark, tmp_path):
     cells = spark.createDataFrame([("m", t, p, 10 * i, 20, 255) for i, (t, p) in enumerate([("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")])], "model string, true_label string, predicted_label string, red int, green int, blue int")
     row = raster.heat_images(cells, ["a", "b"], 3).first()
