@@ -78,6 +78,12 @@ def test_page_features_are_those_of_the_rendered_page(spark):
         assert all(r.n == 3 * 224 * 224 and abs(r.m - want[r.origin].mean()) < 1e-9 for r in kept) and len(kept) == len(texts)
 
 
+def test_a_line_is_cut_in_one_pass_over_its_text(spark):
+    """A text of 300,000 words; before, each word looked through the lines that were done."""
+    lines = spark.createDataFrame([(1, "a bc Mit " * 100_000)], "id int, body string").select(raster.wrapped(F.col("body"), 200).alias("l")).first().l
+    assert [r.line for r in lines] == plain_lines("a bc Mit " * 100_000, 200) and all(r.width == sum(map(raster.advance, r.line)) <= 200 for r in lines)
+
+
 def test_heat_images(spark, tmp_path):
     cells = spark.createDataFrame([("m", t, p, 10 * i, 20, 255) for i, (t, p) in enumerate([("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")])], "model string, true_label string, predicted_label string, red int, green int, blue int")
     row = raster.heat_images(cells, ["a", "b"], 3).first()
