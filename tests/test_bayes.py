@@ -28,6 +28,30 @@ def test_scores_are_the_plain_ones(spark, monkeypatch, frequent):
     assert set(got) == set(want) and all(abs(x - y) < 1e-6 for k in want for x, y in zip(got[k], want[k], strict=True))
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 20_000])
+def test_lists_score_as_rows_do(spark, monkeypatch, frequent):
+    """Lists of features, counted and summed in Arrow batches, against rows of one feature."""
+    monkeypatch.setattr(bayes, "FREQUENT", frequent)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab cd EF gh ij kl mn \u00e9t\u00e9".split()) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    frame = spark.createDataFrame([(i, rng.choice(["a", "b", "zz", None]), t or None) for i, t in enumerate(texts)], "id int, label string, text string").repartition(3)
+    found = []
+    for cut in (bayes.word_features, bayes.word_lists):
+        model = bayes.fit(cut(frame, "id", "text", "label"), "label", frame, CLASSES)
+        assert model.table.groupBy("feature").count().where("count > 1").count() == 0
+        found.append({r.id: r.scores for r in bayes.scores(cut(frame, "id", "text"), "id", model).collect()})
+    assert len(found[1]) == 60 and all(abs(x - y) < 1e-9 for k in found[0] for x, y in zip(found[0][k], found[1][k], strict=True))
+
+
+def test_a_row_goes_to_a_shuffle_for_each_seldom_word_alone(spark):
+    """What scoring sends on: one row for each document and one for each of its words beyond the frequent ones; before, one for each word."""
+    frame = spark.createDataFrame([(i, "ab"[i % 2], "common words " * 200) for i in range(50)], "id int, label string, text string")
+    model = bayes.fit(bayes.word_lists(frame, "id", "text", "label"), "label", frame, CLASSES)
+    out = bayes.scores(bayes.word_lists(frame, "id", "text"), "id", model)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and out.count() == 50
+
+
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "id int, label string, text string")
     model = bayes.fit(bayes.word_features(none, "id", "text", "label"), "label", none, CLASSES)
