@@ -52,6 +52,20 @@ def test_a_row_goes_to_a_shuffle_for_each_seldom_word_alone(spark):
     assert "Generate explode" not in plan and out.count() == 50
 
 
+def test_grid_lists_are_the_grid_features(spark):
+    from foliant.functions import nested
+    from foliant.plans import catalogue
+
+    df = spark.createDataFrame([(1, "en", "The CAT sat. a \u00c9T\u00c9 \u65e5\u672c \u0391\u03a3 x" * 90), (2, "fr", None), (3, None, "Z " + "y" * 300)], "doc_id int, lang string, text string")
+    words = df.select("doc_id", F.posexplode(nested.tokens(F.col("text"), None)).alias("position", "word"))
+    cell = bayes.grid_feature(F.col("word"), *catalogue.word_box(F.col("position"), F.col("word")))
+    want = {}
+    for r in words.select("doc_id", "position", cell.alias("f")).orderBy("doc_id", "position").collect():
+        want.setdefault(r.doc_id, []).append(r.f)
+    got = {r.doc_id: (r.lang, r.feature) for r in catalogue.grid_lists(df).collect()}
+    assert got == {1: ("en", want[1]), 2: ("fr", []), 3: (None, want[3])}
+
+
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "id int, label string, text string")
     model = bayes.fit(bayes.word_features(none, "id", "text", "label"), "label", none, CLASSES)
