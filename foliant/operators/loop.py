@@ -229,7 +229,7 @@ class Run:
 def train(rows: DataFrame, classes: list[str], settings: Settings = Settings(), path: str | None = None) -> Run:
     """Softmax regression on the rows of split train, judged on those of split validation after each epoch.
 
-    rows: what ``features`` gives, as a written table; the rows of either split are packed once. An epoch deals its documents by a seeded hash into
+    rows: what ``features`` gives, as a written table; the rows of either split are packed and dealt evenly once. An epoch deals its documents by a seeded hash into
     n / batch mini-batches and writes them in folders by step, so that a step reads its own rows only; each task deals its rows where they are, without
     a shuffle, and a step has as many tasks as its files fill. The gradient of a step is the sum of its batches' mean gradients, each divided by
     accumulation (the last step of an epoch may have fewer batches), clipped, and given to AdamW. train_loss and train_accuracy are weighted by batch size,
@@ -242,8 +242,10 @@ def train(rows: DataFrame, classes: list[str], settings: Settings = Settings(),
     n = rows.where("split = 'train'").count()
     if not n:
         raise ValueError("no training rows")
+    # Dealt evenly once, whatever the files of the given table; every epoch and step has as many tasks then.
+    parts = max(1, n // 20_000, min(spark.sparkContext.defaultParallelism, n // 500))
     for part in ("train", "validation"):
-        packed(rows.where(F.col("split") == part)).write.mode("overwrite").parquet(f"{root}/{part}")
+        packed(rows.where(F.col("split") == part)).repartition(parts, F.xxhash64("document")).write.mode("overwrite").parquet(f"{root}/{part}")
     own, judged = (spark.read.schema(PACKED).parquet(f"{root}/{part}") for part in ("train", "validation"))
     batches = -(-n // settings.batch)
     steps = -(-batches // settings.accumulation)
