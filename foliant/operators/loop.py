@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -39,18 +40,20 @@ class Settings:
 def features(df: DataFrame, key: str, label: str, text: str, split: str, classes: list[str], dim: int) -> DataFrame:
     """(document, y, split, at, x): places and values of the hashed words of each whole text, log(1 + count) scaled to unit length.
 
-    Words are cut from the cleaned text in lower case and hashed in the JVM; counts are taken in Arrow batches. Rows of unknown labels go; a
+    Words are cut from the cleaned text in lower case in the JVM; Arrow batches hash each of their words once and take the counts. Rows of unknown labels go; a
     text without words has no places.
     """
-    words = F.split(F.lower(clean_text(F.col(text))), " ")
-    buckets = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dim)).cast("int"))
-    own = df.select(F.col(key).cast("bigint").alias("document"), (F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1).cast("int").alias("y"), F.col(split).alias("split"), buckets.alias("at"))
+    given = df.withColumn("_clean", F.lower(clean_text(F.col(text))))
+    words = F.when(F.col("_clean") != "", F.split("_clean", " ")).otherwise(F.array().cast("array<string>"))
+    own = given.select(F.col(key).cast("bigint").alias("document"), (F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1).cast("int").alias("y"), F.col(split).alias("split"), words.alias("at"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(3)
             row = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            pairs, n = np.unique(row * dim + lists.flatten().to_numpy(), return_counts=True)
+            coded = lists.flatten().dictionary_encode()
+            hashed = np.array([zlib.crc32(w.encode()) % dim for w in coded.dictionary.to_pylist()], np.int64)
+            pairs, n = np.unique(row * dim + hashed[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True)
             row, x = pairs // dim, np.log1p(n)
             x /= np.sqrt(np.bincount(row, x * x, len(b)))[row]
             offsets = pa.array(np.searchsorted(row, np.arange(len(b) + 1)), pa.int32())
